@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logvigil.operators.skew import attach
-from logvigil.schema import EVIDENCE_COLUMNS, ROW_ORDER, evidence_struct, shape_alerts
+from logvigil.schema import EVIDENCE_COLUMNS, EVIDENCE_STRUCT, ROW_ORDER, shape_alerts
 from logvigil.session import stage
 
 DETECTOR, DETECTOR_ORD = "brute_force", 0
@@ -21,6 +21,8 @@ GROUPS = {
     "distributed_brute_force": ["account"],
 }
 KINDS = tuple(GROUPS)
+EVENT_COLUMNS = [*[c for c in EVIDENCE_COLUMNS if c != "entry_hash"], "tz_offset"]
+OUTCOME_COLUMNS = [*EVENT_COLUMNS, "is_failure", "is_success", "named", "account"]
 
 
 @dataclass(frozen=True)
@@ -37,88 +39,66 @@ class AuthConfig:
         return self.window_minutes * 60_000_000
 
 
-def _has(column: str) -> Column:
-    return F.col(column).isNotNull() & (F.col(column) != "")
+# SQL text: a failed login, in whatever log it is reported.
+FAILED_AUTH = """(
+  lower(message) LIKE '%failed%' OR lower(message) LIKE '%failure%'
+  OR lower(message) LIKE '%invalid%' OR lower(message) LIKE '%denied%'
+  OR coalesce(action IN ('ssh_failure', 'ssh_invalid_user', 'sudo_failure', 'logon_failure'), false)
+  OR coalesce(status_code = 0 AND log_type = 'auth', false)
+  OR coalesce(event_id = 4625, false))"""
 
-
-def failed_auth() -> Column:
-    """A failed login, in whatever log it is reported."""
-    text = F.lower(F.coalesce("message", F.lit("")))
-    words = text.contains("failed") | text.contains("failure") | text.contains("invalid") | text.contains("denied")
-    terms = [
-        words,
-        F.col("action").isin("ssh_failure", "ssh_invalid_user", "sudo_failure", "logon_failure"),
-        (F.col("status_code") == 0) & (F.col("log_type") == "auth"),
-        F.col("event_id") == 4625,
-    ]
-    out = F.lit(False)
-    for term in terms:
-        out = out | F.coalesce(term, F.lit(False))
-    return out
-
-
-def successful_auth() -> Column:
-    """A successful login; a row that also counts as failed is not one."""
-    text = F.lower(F.coalesce("message", F.lit("")))
-    terms = [
-        text.contains("accepted") | text.contains("succeeded"),
-        F.col("action").isin("ssh_success", "sudo_success", "logon_success"),
-        (F.col("status_code") == 1) & (F.col("log_type") == "auth"),
-        F.col("event_id") == 4624,
-    ]
-    out = F.lit(False)
-    for term in terms:
-        out = out | F.coalesce(term, F.lit(False))
-    return ~failed_auth() & out
+# SQL text: a successful login; a row that also counts as failed is not one.
+SUCCESSFUL_AUTH = f"""(NOT {FAILED_AUTH} AND (
+  lower(message) LIKE '%accepted%' OR lower(message) LIKE '%succeeded%'
+  OR coalesce(action IN ('ssh_success', 'sudo_success', 'logon_success'), false)
+  OR coalesce(status_code = 1 AND log_type = 'auth', false)
+  OR coalesce(event_id = 4624, false)))"""
 
 
 def login_outcomes(entries: DataFrame) -> DataFrame:
     """Rows that tell a login result, with the account the attempt counts for."""
-    return (
-        entries.where(_has("source_ip"))
-        .withColumn("is_failure", failed_auth())
-        .withColumn("is_success", successful_auth())
-        .where(F.col("is_failure") | F.col("is_success"))
-        .withColumn("named", _has("user"))
-        .withColumn("account", F.when(F.col("named"), F.col("user")).otherwise("unknown"))
+    return entries.where(f"source_ip <> '' AND ({FAILED_AUTH} OR {SUCCESSFUL_AUTH})").selectExpr(
+        "*",
+        f"{FAILED_AUTH} AS is_failure",
+        f"{SUCCESSFUL_AUTH} AS is_success",
+        "coalesce(`user` <> '', false) AS named",
+        "coalesce(nullif(`user`, ''), 'unknown') AS account",
     )
 
 
 def pair_totals(outcomes: DataFrame) -> DataFrame:
     """Per (source_ip, account): all failures, the last one, and the last successful login."""
     return (
-        outcomes.groupBy("source_ip", "account")
+        outcomes.groupBy(*PAIR)
         .agg(
-            F.count_if("is_failure").alias("failures"),
-            F.max(F.when(F.col("is_failure"), F.col("ts"))).alias("last_failure"),
-            F.max(F.when(F.col("is_success") & F.col("named"), F.col("ts"))).alias("last_success"),
-            F.bool_or(F.col("is_failure") & F.col("named")).alias("named_account"),
+            F.expr("count_if(is_failure) AS failures"),
+            F.expr("max(CASE WHEN is_failure THEN ts END) AS last_failure"),
+            F.expr("max(CASE WHEN is_success AND named THEN ts END) AS last_success"),
+            F.expr("bool_or(is_failure AND named) AS named_account"),
         )
-        .where(F.col("failures") > 0)
+        .where("failures > 0")
     )
 
 
 def pair_windows(outcomes: DataFrame, config: AuthConfig = AuthConfig()) -> DataFrame:
     """Per (source_ip, account): the failures in the window that ends with the last failure."""
-    failures = outcomes.where("is_failure").select(
-        "source_ip", "account", "ts", "ts_local", "tz_offset", "file_path", "line_seq"
-    )
+    failures = outcomes.where("is_failure").select(*PAIR, "ts", "ts_local", "tz_offset", "file_path", "line_seq")
     looked_up = attach(failures, pair_totals(outcomes), PAIR, "failures", ROW_ORDER)
     return (
-        looked_up.where(_in_window("ts", "last_failure", config))
+        looked_up.where(_in_window("last_failure", config))
         .groupBy(*PAIR)
         .agg(
-            F.count(F.lit(1)).alias("attempt_count"),
-            F.min("ts").alias("first_ts"),
-            F.max(F.struct("ts", "ts_local", "tz_offset")).alias("last"),
-            F.bool_or("named_account").alias("named_account"),
-            F.max("last_success").alias("last_success"),
+            F.expr("count(*) AS attempt_count"),
+            F.expr("min(ts) AS first_ts"),
+            F.expr("max(struct(ts, ts_local, tz_offset)) AS last"),
+            F.expr("bool_or(named_account) AS named_account"),
+            F.expr("max(last_success) AS last_success"),
         )
     )
 
 
-def _in_window(ts: str, end: str, config: AuthConfig) -> Column:
-    return F.unix_micros(ts) >= F.unix_micros(end) - F.lit(config.window_micros)
+def _in_window(end: str, config: AuthConfig) -> str:
+    return f"unix_micros(ts) >= unix_micros({end}) - {config.window_micros}"
 
 
 def _newest(keys: list[str]):
@@ -133,11 +113,11 @@ def _recent_failures(outcomes: DataFrame, config: AuthConfig) -> DataFrame:
     """
     return (
         outcomes.where("is_failure")
-        .select("account", *EVIDENCE_COLUMNS)
+        .select("account", *EVENT_COLUMNS)
         .withColumn("_n", F.row_number().over(_newest(PAIR)))
         .where(F.col("_n") <= config.evidence)
         .withColumn("_last", F.max("ts").over(Window.partitionBy(*PAIR)))
-        .where(_in_window("ts", "_last", config))
+        .where(_in_window("_last", config))
         .drop("_n", "_last")
     )
 
@@ -145,7 +125,7 @@ def _recent_failures(outcomes: DataFrame, config: AuthConfig) -> DataFrame:
 def _evidence(recent: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """The last ``limit`` failures per key, oldest first; other pair columns are null."""
     newest_first = (
-        recent.select(*[F.col(k).alias(f"_{k}") for k in keys], *ROW_ORDER, evidence_struct().alias("_row"))
+        recent.select(*[F.col(k).alias(f"_{k}") for k in keys], *ROW_ORDER, F.expr(EVIDENCE_STRUCT).alias("_row"))
         .withColumn("_n", F.row_number().over(_newest([f"_{k}" for k in keys])))
         .where(F.col("_n") <= limit)
     )
@@ -186,144 +166,110 @@ def grouped_attempts(outcomes: DataFrame, config: AuthConfig, kinds: tuple[str,
     A row with both keys is a guessing attack, one without account is stuffing from one ip,
     one without source_ip is an attack on one account from many.
     """
-    pairs = pair_windows(outcomes, config)
-    named = F.col("named_account")
-    both = F.col("source_ip").isNotNull() & F.col("account").isNotNull()
-    grouped = pairs.groupingSets([GROUPS[kind] for kind in kinds], *PAIR).agg(
-        F.sum("attempt_count").alias("all_attempts"),
-        F.min("first_ts").alias("first_ts"),
-        F.max("last").alias("last_all"),
-        F.max("last_success").alias("last_success"),
-        F.count_if(named).alias("members"),
-        F.sum(F.when(named, F.col("attempt_count"))).alias("named_attempts"),
-        F.max(F.when(named, F.col("last"))).alias("last_named"),
-    )
+    grouped = pair_windows(outcomes, config).groupingSets([GROUPS[kind] for kind in kinds], *PAIR)
     return (
-        grouped.withColumn(
-            "threat_type",
-            F.when(both, "brute_force")
-            .when(F.col("account").isNull(), "credential_stuffing")
-            .otherwise("distributed_brute_force"),
+        grouped.agg(
+            F.expr("sum(attempt_count) AS all_attempts"),
+            F.expr("min(first_ts) AS first_ts"),
+            F.expr("max(last) AS last_all"),
+            F.expr("max(last_success) AS last_success"),
+            F.expr("count_if(named_account) AS members"),
+            F.expr("sum(CASE WHEN named_account THEN attempt_count END) AS named_attempts"),
+            F.expr("max(CASE WHEN named_account THEN last END) AS last_named"),
+        )
+        .selectExpr(
+            "*",
+            "CASE WHEN account IS NULL THEN 'credential_stuffing' "
+            "WHEN source_ip IS NULL THEN 'distributed_brute_force' ELSE 'brute_force' END AS threat_type",
+        )
+        .selectExpr(
+            "threat_type", *PAIR, "members", "first_ts", "last_success",
+            "CASE WHEN threat_type = 'brute_force' THEN all_attempts ELSE named_attempts END AS attempts",
+            "CASE WHEN threat_type = 'brute_force' THEN last_all ELSE last_named END AS last",
         )
-        .withColumn("attempts", F.when(both, F.col("all_attempts")).otherwise(F.col("named_attempts")))
-        .withColumn("last", F.when(both, F.col("last_all")).otherwise(F.col("last_named")))
         .where(
-            F.when(both, F.col("attempts") >= config.failed_attempts)
-            .when(F.col("account").isNull(), F.col("members") >= config.stuffing_users)
-            .otherwise(F.col("members") >= config.distributed_ips)
+            f"CASE threat_type WHEN 'brute_force' THEN attempts >= {config.failed_attempts} "
+            f"WHEN 'credential_stuffing' THEN members >= {config.stuffing_users} "
+            f"ELSE members >= {config.distributed_ips} END"
         )
-        .select(
-            "threat_type", "source_ip", "account", "attempts", "members", "first_ts", "last_success",
-            F.col("last.ts").alias("ts"),
-            F.col("last.ts_local").alias("ts_local"),
-            F.col("last.tz_offset").alias("tz_offset"),
+        .selectExpr(
+            "threat_type", *PAIR, "attempts", "members", "first_ts", "last_success", "last.ts", "last.ts_local",
+            "last.tz_offset",
         )
     )
 
 
 def with_time_span(alerts: DataFrame) -> DataFrame:
     """Minutes between first and last attempt (at least one) and the attempts per minute."""
-    minutes = (F.unix_micros("ts") - F.unix_micros("first_ts")) / F.lit(60_000_000.0)
-    return alerts.withColumn("span_minutes", F.greatest(F.lit(1.0), minutes)).withColumn(
-        "attempts_per_minute", F.col("attempts") / F.col("span_minutes")
-    )
+    return alerts.selectExpr(
+        "*", "greatest(1.0D, (unix_micros(ts) - unix_micros(first_ts)) / 60000000.0D) AS span_minutes"
+    ).selectExpr("*", "attempts / span_minutes AS attempts_per_minute")
+
+
+# Texts and facts per kind of attack, as SQL over the grouped row.
+_WORDING = {
+    "brute_force": {
+        "level": "CASE WHEN last_success IS NOT NULL THEN 5 WHEN attempts >= 50 THEN 4 WHEN attempts >= 20 THEN 3 ELSE 2 END",
+        "source": "source_ip",
+        "target": "account",
+        "description": "concat('Brute force attack detected: ', attempts, ' failed login attempts from ', source_ip, "
+        "' targeting user \\'', account, '\\'', "
+        "CASE WHEN last_success IS NOT NULL THEN ' - SUCCESSFUL LOGIN DETECTED AFTER ATTACK' ELSE '' END)",
+        "mitre": "array('T1110.001')",
+        "advice": "concat(CASE WHEN last_success IS NOT NULL THEN array("
+        "concat('URGENT: Force password reset for user \\'', account, '\\''), "
+        "'Check for unauthorized activities from this account') ELSE array() END, "
+        "array(concat('Block IP address ', source_ip, ' at the firewall'), "
+        "concat('Review account \\'', account, '\\' for unauthorized access'), "
+        "'Implement rate limiting on authentication endpoints', "
+        "'Consider implementing multi-factor authentication'))",
+        "facts": "named_struct('attempt_count', attempts, 'compromised', last_success IS NOT NULL, "
+        "'success_after', last_success > ts, 'time_span_minutes', span_minutes, "
+        "'attempts_per_minute', attempts_per_minute)",
+    },
+    "credential_stuffing": {
+        "level": "4",
+        "source": "source_ip",
+        "target": "concat(members, ' accounts')",
+        "description": "concat('Credential stuffing attack detected: ', source_ip, ' attempted to authenticate to ', "
+        "members, ' different accounts')",
+        "mitre": "array('T1110.004')",
+        "advice": "array(concat('Block IP address ', source_ip, ' immediately'), "
+        "'Review all targeted accounts for compromise', 'Implement CAPTCHA on login pages', "
+        "'Check if credentials appear in known breach databases')",
+        "facts": "named_struct('targeted_users', sample_account, 'total_users_targeted', members, "
+        "'total_attempts', attempts)",
+    },
+    "distributed_brute_force": {
+        "level": "4",
+        "source": "concat(members, ' IPs')",
+        "target": "account",
+        "description": "concat('Distributed brute force attack detected: ', members, "
+        "' different IPs targeting user \\'', account, '\\'')",
+        "mitre": "array('T1110.003')",
+        "advice": "array(concat('Force password reset for user \\'', account, '\\''), "
+        "'Enable multi-factor authentication for this account', 'Review source IPs for botnet indicators', "
+        "'Consider geo-blocking if IPs are from unusual locations')",
+        "facts": "named_struct('source_ips', sample_source_ip, 'total_ips', members, 'total_attempts', attempts)",
+    },
+}
+
+
+def _by_kind(part: str, wrap: str = "{}") -> str:
+    arms = " ".join(f"WHEN '{kind}' THEN {wrap.format(texts[part])}" for kind, texts in _WORDING.items())
+    return f"CASE threat_type {arms} END"
 
 
 def _texts(alerts: DataFrame) -> DataFrame:
-    kind = F.col("threat_type")
-    guessing, stuffing = kind == "brute_force", kind == "credential_stuffing"
-    ip, account, members = F.col("source_ip"), F.col("account"), F.col("members").cast("string")
-    compromised = F.col("last_success").isNotNull()
-    level = (
-        F.when(~guessing, 4)
-        .when(compromised, 5)
-        .when(F.col("attempts") >= 50, 4)
-        .when(F.col("attempts") >= 20, 3)
-        .otherwise(2)
-    )
-    description = (
-        F.when(
-            guessing,
-            F.concat(
-                F.lit("Brute force attack detected: "), F.col("attempts").cast("string"),
-                F.lit(" failed login attempts from "), ip, F.lit(" targeting user '"), account, F.lit("'"),
-                F.when(compromised, " - SUCCESSFUL LOGIN DETECTED AFTER ATTACK").otherwise(""),
-            ),
-        )
-        .when(
-            stuffing,
-            F.concat(
-                F.lit("Credential stuffing attack detected: "), ip, F.lit(" attempted to authenticate to "),
-                members, F.lit(" different accounts"),
-            ),
-        )
-        .otherwise(
-            F.concat(
-                F.lit("Distributed brute force attack detected: "), members,
-                F.lit(" different IPs targeting user '"), account, F.lit("'"),
-            )
-        )
-    )
-    guessing_advice = F.concat(
-        F.when(
-            compromised,
-            F.array(
-                F.concat(F.lit("URGENT: Force password reset for user '"), account, F.lit("'")),
-                F.lit("Check for unauthorized activities from this account"),
-            ),
-        ).otherwise(F.array().cast("array<string>")),
-        F.array(
-            F.concat(F.lit("Block IP address "), ip, F.lit(" at the firewall")),
-            F.concat(F.lit("Review account '"), account, F.lit("' for unauthorized access")),
-            F.lit("Implement rate limiting on authentication endpoints"),
-            F.lit("Consider implementing multi-factor authentication"),
-        ),
-    )
-    stuffing_advice = F.array(
-        F.concat(F.lit("Block IP address "), ip, F.lit(" immediately")),
-        F.lit("Review all targeted accounts for compromise"),
-        F.lit("Implement CAPTCHA on login pages"),
-        F.lit("Check if credentials appear in known breach databases"),
-    )
-    distributed_advice = F.array(
-        F.concat(F.lit("Force password reset for user '"), account, F.lit("'")),
-        F.lit("Enable multi-factor authentication for this account"),
-        F.lit("Review source IPs for botnet indicators"),
-        F.lit("Consider geo-blocking if IPs are from unusual locations"),
-    )
-    guessing_facts = F.struct(
-        F.col("attempts").alias("attempt_count"),
-        compromised.alias("compromised"),
-        (F.col("last_success") > F.col("ts")).alias("success_after"),
-        F.col("span_minutes").alias("time_span_minutes"),
-        "attempts_per_minute",
-    )
-    stuffing_facts = F.struct(
-        F.col("sample_account").alias("targeted_users"),
-        F.col("members").alias("total_users_targeted"),
-        F.col("attempts").alias("total_attempts"),
-    )
-    distributed_facts = F.struct(
-        F.col("sample_source_ip").alias("source_ips"),
-        F.col("members").alias("total_ips"),
-        F.col("attempts").alias("total_attempts"),
-    )
-    # Right-hand sides see the old columns: source_ip and target are rewritten in one select.
-    return alerts.select(
+    return alerts.selectExpr(
         "ts", "ts_local", "tz_offset", "threat_type", "evidence",
-        level.alias("level_value"),
-        F.when(guessing | stuffing, ip).otherwise(F.concat(members, F.lit(" IPs"))).alias("source_ip"),
-        F.when(stuffing, F.concat(members, F.lit(" accounts"))).otherwise(account).alias("target"),
-        description.alias("description"),
-        F.when(guessing, F.array(F.lit("T1110.001")))
-        .when(stuffing, F.array(F.lit("T1110.004")))
-        .otherwise(F.array(F.lit("T1110.003")))
-        .alias("mitre_attack"),
-        F.when(guessing, guessing_advice).when(stuffing, stuffing_advice).otherwise(distributed_advice).alias("recommendations"),
-        F.when(guessing, F.to_json(guessing_facts))
-        .when(stuffing, F.to_json(stuffing_facts))
-        .otherwise(F.to_json(distributed_facts))
-        .alias("metadata"),
+        f"{_by_kind('level')} AS level_value",
+        f"{_by_kind('source')} AS source_ip",
+        f"{_by_kind('target')} AS target",
+        f"{_by_kind('description')} AS description",
+        f"{_by_kind('mitre')} AS mitre_attack",
+        f"{_by_kind('advice')} AS recommendations",
+        f"{_by_kind('facts', 'to_json({})')} AS metadata",
     )
 
 
@@ -338,7 +284,7 @@ def auth_alerts(
     The login outcomes are a small part of the logs; they are written out once so that the
     groupings, the evidence and the samples do not scan the logs again.
     """
-    outcomes = login_outcomes(entries)
+    outcomes = login_outcomes(entries).select(*OUTCOME_COLUMNS)
     if staged:
         outcomes = stage(outcomes, "login-outcomes")
     alerts = with_time_span(grouped_attempts(outcomes, config, kinds))

@@ -19,17 +19,14 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, ro
     must tell rows apart; the salt is a hash of it, so a re-run task repeats its output.
     """
     values = [c for c in per_key.columns if c not in keys]
-    packed = per_key.select(*keys, F.struct(*values).alias("_v"))
-    hot = (
-        packed.orderBy(F.desc(f"_v.{weight}"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.col("_v").alias("_hot"))
+    key_sql = [f"`{k}`" for k in keys]
+    packed = per_key.selectExpr(*key_sql, f"struct({', '.join(f'`{v}`' for v in values)}) AS _v")
+    hot = packed.orderBy(F.desc(f"_v.{weight}"), *keys).limit(HOT_KEYS).withColumnRenamed("_v", "_hot")
+    off_shuffle = " OR ".join(["_hot IS NOT NULL", *[f"{k} IS NULL" for k in key_sql]])
+    salt = f"CASE WHEN {off_shuffle} THEN 1 + CAST(pmod(xxhash64({', '.join(row_id)}), {SPREAD}) AS INT) ELSE 0 END"
+    tagged = rows.join(F.broadcast(hot), keys, "left").selectExpr("*", f"{salt} AS _salt")
+    cold = packed.selectExpr(*key_sql, "0 AS _salt", "_v AS _cold")
+    found = tagged.join(cold, [*keys, "_salt"], "left")
+    return found.selectExpr(
+        *[f"`{c}`" for c in rows.columns], *[f"coalesce(_hot, _cold).`{v}` AS `{v}`" for v in values]
     )
-    off_shuffle = F.col("_hot").isNotNull()
-    for key in keys:
-        off_shuffle = off_shuffle | F.col(key).isNull()
-    salt = F.when(off_shuffle, F.pmod(F.xxhash64(*row_id), F.lit(SPREAD)).cast("int") + 1).otherwise(0)
-    tagged = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
-    cold = packed.select(*keys, F.lit(0).alias("_salt"), F.col("_v").alias("_cold"))
-    found = tagged.join(cold, [*keys, "_salt"], "left").withColumn("_v", F.coalesce("_hot", "_cold"))
-    return found.select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvigil.functions.payload import detect_path, detect_sqli, detect_xss, first_source, sqli_text
+from logvigil.functions.payload import detect_path, detect_sqli, detect_xss, first_source, literal, sqli_text
 from logvigil.functions.signatures import SUCCESS_CODES
 from logvigil.operators.skew import attach
-from logvigil.schema import ROW_ORDER, evidence_struct, level_name, shape_alerts
+from logvigil.schema import EVIDENCE_COLUMNS, EVIDENCE_STRUCT, ROW_ORDER, shape_alerts
 from logvigil.session import stage
 
 WEB_LOGS = ["apache", "nginx", "nginx_error"]
@@ -17,46 +17,69 @@ WEB_LOGS = ["apache", "nginx", "nginx_error"]
 SEVERITY_LEVEL = {"critical": 5, "high": 4, "medium": 3, "low": 2}
 
 
-def _level(severity: Column) -> Column:
-    out = F.lit(3)
-    for word, value in SEVERITY_LEVEL.items():
-        out = F.when(severity == word, value).otherwise(out)
-    return out
+def _level(severity: str) -> str:
+    return f"CASE {severity} " + " ".join(f"WHEN '{w}' THEN {v}" for w, v in SEVERITY_LEVEL.items()) + " ELSE 3 END"
 
 
 def _web(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("log_type").isin(*WEB_LOGS))
 
 
-def _row_facts(entries: DataFrame, **columns: Column) -> DataFrame:
-    return entries.select(
+def _advice(*texts: str) -> str:
+    return "array(" + ", ".join(literal(t) for t in texts) + ")"
+
+
+def _row_alerts(found: DataFrame, threat_type: str, detector_ord: int, **columns: str) -> DataFrame:
+    """One alert per found row: the row's own columns plus the given SQL texts."""
+    alerts = found.selectExpr(
         "ts", "ts_local", "tz_offset", "source_ip", "file_path", "line_seq",
-        F.array(evidence_struct()).alias("evidence"),
-        F.col("resource").alias("target"),
-        *[value.alias(name) for name, value in columns.items()],
+        f"array({EVIDENCE_STRUCT}) AS evidence",
+        "resource AS target",
+        f"'{threat_type}' AS threat_type",
+        *[f"{value} AS {name}" for name, value in columns.items()],
     )
+    return shape_alerts(alerts, detector=threat_type, detector_ord=detector_ord)
+
+
+# SQL texts: what each kind of attack looks for in a request. The url counts for SQL injection
+# on its twice decoded form, referer and user agent on the form decoded once.
+MATCHERS = {
+    "sqli": first_source(
+        detect_sqli, [("url", sqli_text("resource")), ("referer", "referer"), ("user_agent", "user_agent")]
+    ),
+    "xss": first_source(detect_xss, [("url", "resource"), ("referer", "referer"), ("user_agent", "user_agent")]),
+    "path": f"CASE WHEN resource <> '' THEN {detect_path('resource')} END",
+}
 
+MATCH_COLUMNS = [*[c for c in EVIDENCE_COLUMNS if c != "entry_hash"], "tz_offset"]
 
-def sql_injection_hits(entries: DataFrame) -> DataFrame:
-    """One alert per web request with a SQL injection signature, without looking at other rows.
 
-    The url is matched on its twice decoded form, referer and user agent on the form
-    decoded once.
+def web_matches(entries: DataFrame, kinds: tuple[str, ...] = tuple(MATCHERS)) -> DataFrame:
+    """Web requests with a match of any of the kinds, one struct column per kind.
+
+    One pass over the logs serves all kinds. Only requests with a match leave it.
     """
-    sources = [("url", sqli_text("resource")), ("referer", "referer"), ("user_agent", "user_agent")]
-    found = (
-        _web(entries).withColumn("_hit", F.expr(first_source(detect_sqli, sources))).where(F.col("_hit").isNotNull())
+    return (
+        _web(entries)
+        .selectExpr(*[f"`{c}`" for c in MATCH_COLUMNS], "referer", "user_agent")
+        .selectExpr("*", *[f"{MATCHERS[kind]} AS {kind}" for kind in kinds])
+        .where(" OR ".join(f"{kind} IS NOT NULL" for kind in kinds))
+        .drop("referer", "user_agent")
     )
-    text = F.col("_hit.hit.matched")
-    excerpt = F.when(F.length(text) > 50, F.concat(F.substring(text, 1, 50), F.lit("..."))).otherwise(text)
-    alerts = _row_facts(
+
+
+def sql_injection_hits(matches: DataFrame) -> DataFrame:
+    """One alert per request with a SQL injection signature, without looking at other rows."""
+    found = matches.where("sqli IS NOT NULL").withColumnRenamed("sqli", "_hit")
+    text = "_hit.hit.matched"
+    return _row_alerts(
         found,
-        threat_type=F.lit("sql_injection"),
-        level_value=_level(F.col("_hit.hit.severity")),
-        description=F.concat(
-            F.lit("SQL injection attempt detected in "), F.col("_hit.source"), F.lit(": '"), excerpt, F.lit("'")
-        ),
-        mitre_attack=F.array(F.lit("T1190")),
+        "sql_injection",
+        1,
+        level_value=_level("_hit.hit.severity"),
+        description=f"concat('SQL injection attempt detected in ', _hit.source, ': \\'', "
+        f"CASE WHEN length({text}) > 50 THEN concat(substring({text}, 1, 50), '...') ELSE {text} END, '\\'')",
+        mitre_attack="array('T1190')",
         recommendations=_advice(
             "Block the source IP address",
             "Review and patch vulnerable application code",
@@ -64,71 +87,49 @@ def sql_injection_hits(entries: DataFrame) -> DataFrame:
             "Deploy a Web Application Firewall (WAF)",
             "Conduct application security assessment",
         ),
-        metadata=F.to_json(
-            F.struct(
-                F.col("_hit.hit.pattern").alias("pattern_matched"),
-                F.substring(text, 1, 200).alias("payload_excerpt"),
-                F.col("_hit.source").alias("injection_point"),
-                F.substring("resource", 1, 500).alias("full_request"),
-            )
-        ),
+        metadata=f"to_json(named_struct('pattern_matched', _hit.hit.pattern, "
+        f"'payload_excerpt', substring({text}, 1, 200), 'injection_point', _hit.source, "
+        "'full_request', substring(resource, 1, 500)))",
     )
-    return shape_alerts(alerts, detector="sql_injection", detector_ord=1)
 
 
-def xss_hits(entries: DataFrame) -> DataFrame:
-    """One alert per web request with a cross-site scripting signature."""
-    sources = [("url", "resource"), ("referer", "referer"), ("user_agent", "user_agent")]
-    found = (
-        _web(entries).withColumn("_hit", F.expr(first_source(detect_xss, sources))).where(F.col("_hit").isNotNull())
-    )
-    text = F.col("_hit.hit.matched")
-    alerts = _row_facts(
+def xss_hits(matches: DataFrame) -> DataFrame:
+    """One alert per request with a cross-site scripting signature."""
+    found = matches.where("xss IS NOT NULL").withColumnRenamed("xss", "_hit")
+    text = "_hit.hit.matched"
+    return _row_alerts(
         found,
-        threat_type=F.lit("xss"),
-        level_value=_level(F.col("_hit.hit.severity")),
-        description=F.concat(
-            F.lit("XSS attempt detected in "), F.col("_hit.source"), F.lit(": '"), F.substring(text, 1, 50), F.lit("'")
-        ),
-        mitre_attack=F.array(F.lit("T1059.007")),
+        "xss",
+        2,
+        level_value=_level("_hit.hit.severity"),
+        description=f"concat('XSS attempt detected in ', _hit.source, ': \\'', substring({text}, 1, 50), '\\'')",
+        mitre_attack="array('T1059.007')",
         recommendations=_advice(
             "Implement Content Security Policy (CSP)",
             "Sanitize and encode all user input",
             "Use HTTPOnly and Secure cookie flags",
             "Deploy XSS protection headers",
         ),
-        metadata=F.to_json(
-            F.struct(
-                F.col("_hit.hit.pattern").alias("pattern_matched"),
-                F.substring(text, 1, 200).alias("payload_excerpt"),
-                F.col("_hit.source").alias("injection_point"),
-            )
-        ),
+        metadata=f"to_json(named_struct('pattern_matched', _hit.hit.pattern, "
+        f"'payload_excerpt', substring({text}, 1, 200), 'injection_point', _hit.source))",
     )
-    return shape_alerts(alerts, detector="xss", detector_ord=2)
 
 
-def traversal_hits(entries: DataFrame) -> DataFrame:
-    """One alert per web request that leaves the web root or asks for a sensitive file."""
+def traversal_hits(matches: DataFrame) -> DataFrame:
+    """One alert per request that leaves the web root or asks for a sensitive file.
+
+    A successful response raises a finding by one step (medium to high, high to critical).
+    """
+    codes = ", ".join(str(c) for c in SUCCESS_CODES)
     found = (
-        _web(entries)
-        .where(F.col("resource").isNotNull() & (F.col("resource") != ""))
-        .withColumn("_hit", F.expr(detect_path("resource")))
-        .where(F.col("_hit").isNotNull())
-        .withColumn("_won", F.coalesce(F.col("status_code").isin(*SUCCESS_CODES), F.lit(False)))
-    )
-    base = F.coalesce("_hit.file.severity", F.lit("medium"))
-    severity = (
-        F.when(F.col("_won") & (base == "high"), "critical")
-        .when(F.col("_won") & (base != "critical"), "high")
-        .otherwise(base)
-    )
-    target_file = F.coalesce("_hit.file.matched", "_hit.decoded")
-    description = F.concat(
-        F.when(F.col("_won"), "SUCCESSFUL ").otherwise(""),
-        F.when(F.col("_hit.traversal"), "Directory traversal").otherwise("Sensitive file access"),
-        F.lit(" attempt: "),
-        F.substring(target_file, 1, 100),
+        matches.where("path IS NOT NULL")
+        .withColumnRenamed("path", "_hit")
+        .selectExpr(
+            "*",
+            f"coalesce(status_code IN ({codes}), false) AS _won",
+            "coalesce(_hit.file.severity, 'medium') AS _severity",
+            "coalesce(_hit.file.matched, _hit.decoded) AS _file",
+        )
     )
     usual = _advice(
         "Validate and sanitize all file path inputs",
@@ -136,31 +137,19 @@ def traversal_hits(entries: DataFrame) -> DataFrame:
         "Use chroot or containerization",
         "Configure web server to deny access to sensitive files",
     )
-    urgent = _advice(
-        "URGENT: Review accessed file for data exposure", "Check for lateral movement from this access"
-    )
-    alerts = _row_facts(
+    urgent = _advice("URGENT: Review accessed file for data exposure", "Check for lateral movement from this access")
+    return _row_alerts(
         found,
-        threat_type=F.lit("directory_traversal"),
-        level_value=_level(severity),
-        description=description,
-        mitre_attack=F.array(F.lit("T1083"), F.lit("T1005")),
-        recommendations=F.when(F.col("_won"), F.concat(urgent, usual)).otherwise(usual),
-        metadata=F.to_json(
-            F.struct(
-                target_file.alias("target_file"),
-                F.col("_hit.traversal").alias("traversal_detected"),
-                F.col("_won").alias("successful"),
-                F.col("status_code"),
-                F.col("_hit.decoded").alias("decoded_path"),
-            )
-        ),
+        "directory_traversal",
+        3,
+        level_value=_level("CASE WHEN _won THEN if(_severity = 'medium', 'high', 'critical') ELSE _severity END"),
+        description="concat(if(_won, 'SUCCESSFUL ', ''), "
+        "if(_hit.traversal, 'Directory traversal', 'Sensitive file access'), ' attempt: ', substring(_file, 1, 100))",
+        mitre_attack="array('T1083', 'T1005')",
+        recommendations=f"if(_won, concat({urgent}, {usual}), {usual})",
+        metadata="to_json(named_struct('target_file', _file, 'traversal_detected', _hit.traversal, "
+        "'successful', _won, 'status_code', status_code, 'decoded_path', _hit.decoded))",
     )
-    return shape_alerts(alerts, detector="directory_traversal", detector_ord=3)
-
-
-def _advice(*texts: str) -> Column:
-    return F.array(*[F.lit(t) for t in texts])
 
 
 def raise_repeat_offenders(alerts: DataFrame, min_alerts: int, note: str) -> DataFrame:
@@ -170,39 +159,41 @@ def raise_repeat_offenders(alerts: DataFrame, min_alerts: int, note: str) -> Dat
     of all alerts does not end in one task.
     """
     per_ip = (
-        alerts.where(F.col("source_ip").isNotNull() & (F.col("source_ip") != ""))
+        alerts.where("source_ip <> ''")
         .groupBy("source_ip")
         .agg(F.count(F.lit(1)).alias("_alerts"))
     )
     counted = attach(alerts, per_ip, ["source_ip"], "_alerts", ROW_ORDER)
-    raised = F.coalesce(F.col("_alerts") >= min_alerts, F.lit(False)) & (F.col("level_value") < 4)
-    return (
-        counted.withColumn("_raised", raised)
-        .withColumn("level_value", F.when(F.col("_raised"), 4).otherwise(F.col("level_value")).cast("int"))
-        .withColumn("level", level_name(F.col("level_value")))
-        .withColumn(
-            "description", F.when(F.col("_raised"), F.concat("description", F.lit(note))).otherwise(F.col("description"))
-        )
-        .select(*alerts.columns)
-    )
+    raised = f"coalesce(_alerts >= {min_alerts}, false) AND level_value < 4"
+    changed = {
+        "level_value": f"if({raised}, 4, level_value)",
+        "level": f"if({raised}, 'HIGH', level)",
+        "description": f"if({raised}, concat(description, {literal(note)}), description)",
+    }
+    return counted.selectExpr(*[f"{changed.get(c, f'`{c}`')} AS `{c}`" for c in alerts.columns])
+
+
+def _matches(entries: DataFrame, kind: str, staged: bool) -> DataFrame:
+    matches = web_matches(entries, (kind,))
+    return stage(matches, f"{kind}-matches") if staged else matches
 
 
-def sql_injection_alerts(entries: DataFrame, campaign: int = 3, staged: bool = True) -> DataFrame:
+def sql_injection_alerts(
+    entries: DataFrame, campaign: int = 3, staged: bool = True, matches: DataFrame | None = None
+) -> DataFrame:
     """SQL injection alerts; an ip with a campaign has all of them at HIGH or above."""
-    hits = sql_injection_hits(entries)
-    if staged:
-        hits = stage(hits, "sqli-hits")
+    hits = sql_injection_hits(_matches(entries, "sqli", staged) if matches is None else matches)
     return raise_repeat_offenders(hits, campaign, " (Part of sustained attack campaign)")
 
 
-def xss_alerts(entries: DataFrame) -> DataFrame:
+def xss_alerts(entries: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """Cross-site scripting alerts (no escalation over rows)."""
-    return xss_hits(entries)
+    return xss_hits(web_matches(entries, ("xss",)) if matches is None else matches)
 
 
-def traversal_alerts(entries: DataFrame, repeats: int = 5, staged: bool = True) -> DataFrame:
+def traversal_alerts(
+    entries: DataFrame, repeats: int = 5, staged: bool = True, matches: DataFrame | None = None
+) -> DataFrame:
     """Traversal alerts; repeat offenders have all of them at HIGH or above."""
-    hits = traversal_hits(entries)
-    if staged:
-        hits = stage(hits, "traversal-hits")
+    hits = traversal_hits(_matches(entries, "path", staged) if matches is None else matches)
     return raise_repeat_offenders(hits, repeats, " (Multiple traversal attempts from same IP)")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Severity names and their order.
@@ -76,52 +75,44 @@ ENTRY_SCHEMA = _struct_type(ENTRY_TYPES)
 ALERT_SCHEMA = _struct_type(ALERT_TYPES)
 
 
-def python_time_text(ts_local: Column, tz_offset: Column) -> Column:
-    """A timestamp as Python's ``str(datetime)`` writes it (micros and zone only when present)."""
-    micros = F.date_format(ts_local, "SSSSSS")
-    return F.concat(
-        F.date_format(ts_local, "yyyy-MM-dd HH:mm:ss"),
-        F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""),
-        F.coalesce(tz_offset, F.lit("")),
-    )
-
-
-def iso_time_text(ts_local: Column, tz_offset: Column) -> Column:
-    """A timestamp in ISO form, as ``datetime.isoformat()`` writes it."""
-    return F.replace(python_time_text(ts_local, tz_offset), F.lit(" "), F.lit("T"))
-
-
-def entry_hash() -> Column:
-    """Sixteen hex digits of sha256 over time, ip, message and raw line."""
-    return F.substring(
-        F.sha2(
-            F.concat(
-                F.coalesce(python_time_text(F.col("ts_local"), F.col("tz_offset")), F.lit("None")),
-                F.coalesce("source_ip", F.lit("None")),
-                F.coalesce("message", F.lit("")),
-                F.coalesce("raw_line", F.lit("")),
-            ),
-            256,
-        ),
-        1,
-        16,
-    )
-
-
-def alert_id() -> Column:
-    """Twelve hex digits of sha256 over time, threat type, ip and target."""
-    return F.substring(
-        F.sha2(
-            F.concat(
-                F.coalesce(python_time_text(F.col("ts_local"), F.col("tz_offset")), F.lit("None")),
-                F.col("threat_type"),
-                F.coalesce("source_ip", F.lit("None")),
-                F.coalesce("target", F.lit("None")),
-            ),
-            256,
-        ),
-        1,
-        12,
+# SQL text: a timestamp as Python's str(datetime) writes it (micros and zone only when present).
+TIME_TEXT = (
+    "concat(date_format(ts_local, 'yyyy-MM-dd HH:mm:ss'), "
+    "CASE WHEN date_format(ts_local, 'SSSSSS') = '000000' THEN '' "
+    "ELSE concat('.', date_format(ts_local, 'SSSSSS')) END, coalesce(tz_offset, ''))"
+)
+# SQL text: the same in ISO form, as datetime.isoformat() writes it.
+ISO_TIME_TEXT = f"replace({TIME_TEXT}, ' ', 'T')"
+
+# SQL text: sixteen hex digits of sha256 over time, ip, message and raw line.
+ENTRY_HASH = (
+    f"substring(sha2(concat(coalesce({TIME_TEXT}, 'None'), coalesce(source_ip, 'None'), "
+    "coalesce(message, ''), coalesce(raw_line, '')), 256), 1, 16)"
+)
+# SQL text: twelve hex digits of sha256 over time, threat type, ip and target.
+ALERT_ID = (
+    f"substring(sha2(concat(coalesce({TIME_TEXT}, 'None'), threat_type, coalesce(source_ip, 'None'), "
+    "coalesce(target, 'None')), 256), 1, 12)"
+)
+LEVEL_NAME = (
+    "CASE level_value " + " ".join(f"WHEN {v} THEN '{name}'" for name, v in LEVEL_VALUES.items()) + " END"
+)
+# SQL text: an entry as evidence. The hash is computed here, for alerts only.
+EVIDENCE_STRUCT = (
+    "struct("
+    + ", ".join(f"{ENTRY_HASH} AS entry_hash" if c == "entry_hash" else f"`{c}`" for c in EVIDENCE_COLUMNS)
+    + ")"
+)
+
+
+def project(df: DataFrame, types: dict[str, str], computed: dict[str, str]) -> DataFrame:
+    """Select all columns of a layout: computed ones, present ones, nulls for the rest."""
+    have = set(df.columns)
+    return df.selectExpr(
+        *[
+            f"CAST({computed.get(name, f'`{name}`' if name in have else 'NULL')} AS {ddl}) AS `{name}`"
+            for name, ddl in types.items()
+        ]
     )
 
 
@@ -134,52 +125,26 @@ def conform_entries(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     if "ts" not in have and "ts_local" not in have:
         raise ValueError("entries need a ts or ts_local column")
-    computed = {
-        "ts": F.col("ts" if "ts" in have else "ts_local"),
-        "ts_local": F.col("ts_local" if "ts_local" in have else "ts"),
-        "ts_fallback": F.col("ts_fallback") if "ts_fallback" in have else F.lit(False),
-        "message": F.coalesce("message", F.lit("")) if "message" in have else F.lit(""),
-        "raw_line": F.coalesce("raw_line", F.lit("")) if "raw_line" in have else F.lit(""),
-        "log_type": F.coalesce("log_type", F.lit("unknown")) if "log_type" in have else F.lit("unknown"),
-        "file_path": F.coalesce("file_path", F.lit("")) if "file_path" in have else F.lit(""),
-        "line_seq": F.col("line_seq") if "line_seq" in have else F.monotonically_increasing_id(),
-    }
-    shaped = df.select(
-        *[
-            computed.get(name, F.col(name) if name in have else F.lit(None)).cast(ddl).alias(name)
-            for name, ddl in ENTRY_TYPES.items()
-        ]
-    )
+    defaults = {"ts_fallback": "false", "message": "''", "raw_line": "''", "log_type": "'unknown'", "file_path": "''"}
+    computed = {c: f"coalesce(`{c}`, {v})" if c in have else v for c, v in defaults.items()}
+    computed["ts"] = "ts" if "ts" in have else "ts_local"
+    computed["ts_local"] = "ts_local" if "ts_local" in have else "ts"
+    if "line_seq" not in have:
+        computed["line_seq"] = "monotonically_increasing_id()"
     if "entry_hash" in have:
-        return shaped
-    return shaped.withColumn("entry_hash", entry_hash())
-
-
-def evidence_struct() -> Column:
-    return F.struct(*EVIDENCE_COLUMNS)
-
-
-def level_name(value: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, number in LEVEL_VALUES.items():
-        out = F.when(value == number, F.lit(name)).otherwise(out)
-    return out
+        return project(df, ENTRY_TYPES, computed)
+    shaped = project(df, {c: t for c, t in ENTRY_TYPES.items() if c != "entry_hash"}, computed)
+    return project(shaped, ENTRY_TYPES, {"entry_hash": ENTRY_HASH})
 
 
 def shape_alerts(df: DataFrame, *, detector: str, detector_ord: int) -> DataFrame:
     """Project a detector's typed result to the alert layout and give every alert its id."""
-    have = set(df.columns)
-    extra = {
-        "alert_id": alert_id(),
-        "level": level_name(F.col("level_value")),
-        "evidence_count": F.coalesce(F.size("evidence"), F.lit(0)),
-        "coordinated_attack": F.lit(False),
-        "detector": F.lit(detector),
-        "detector_ord": F.lit(detector_ord),
+    computed = {
+        "alert_id": ALERT_ID,
+        "level": LEVEL_NAME,
+        "evidence_count": "coalesce(size(evidence), 0)",
+        "coordinated_attack": "false",
+        "detector": f"'{detector}'",
+        "detector_ord": str(detector_ord),
     }
-    return df.select(
-        *[
-            extra.get(name, F.col(name) if name in have else F.lit(None)).cast(ddl).alias(name)
-            for name, ddl in ALERT_TYPES.items()
-        ]
-    )
+    return project(df, ALERT_TYPES, computed)

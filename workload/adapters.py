@@ -60,3 +60,27 @@ def auth_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def web_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return conform_entries(spark.sql(WEB_SQL.format(pages="{pages}", **_SPARK), pages=pages))
+
+
+# A geo table over the ips of the login log: nation i places ip 10.0.0.i.
+GEO_SQL = """
+SELECT concat('10.0.0.', CAST(n_nationkey AS {string})) AS ip, n_name AS country,
+  CASE n_nationkey WHEN 4 THEN 'RU' WHEN 9 THEN 'CN' ELSE concat('N', CAST(n_nationkey % 12 AS {string})) END AS country_code,
+  concat('city', CAST(n_nationkey AS {string})) AS city,
+  CAST(n_nationkey * 7 - 60 AS DOUBLE) AS latitude, CAST(n_nationkey * 13 - 160 AS DOUBLE) AS longitude,
+  n_nationkey IN (5, 3) AS is_vpn, n_nationkey = 3 AS is_tor, n_nationkey IN (7, 5) AS is_proxy
+FROM {nation} WHERE n_nationkey < 14
+"""
+
+GEO_DUCK = GEO_SQL.format(nation="nation", **_DUCK)
+
+
+def geo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(GEO_SQL.format(nation="{nation}", **_SPARK), nation=table(spark, sf_dir, "nation"))
+
+
+def all_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The login log and the web log as one."""
+    auth = auth_entries(spark, sf_dir).withColumn("file_path", F.lit("auth"))
+    web = web_entries(spark, sf_dir).withColumn("file_path", F.lit("web"))
+    return auth.unionByName(web)
