@@ -28,14 +28,15 @@ SELECT event_id AS line_seq, ts AS ts_local, 'auth' AS log_type, '' AS message,
 FROM {events}
 """
 
-# url_path is the part of the url after the host; every tenth page carries an attack.
+# url_path is the part of the url after the host; seven of ten pages carry an attack or a probe.
 WEB_SQL = """
 SELECT page_id AS line_seq, 'apache' AS log_type,
   TIMESTAMP{ntz} '2024-01-15 10:00:00' + {minutes} AS ts_local,
   concat('10.1.0.', CAST(page_id % 23 AS {string})) AS source_ip,
   concat(regexp_replace(url, '^https?://[^/]+', ''),
     CASE page_id % 10 WHEN 0 THEN '?q=1''+UNION+SELECT+NULL--' WHEN 1 THEN '?id=1%27%20OR%20%271%27=%271'
-      WHEN 2 THEN '?q=%3Cscript%3Ealert(1)' WHEN 3 THEN '/..%252f..%252fetc/passwd' WHEN 4 THEN '/.env' ELSE '' END) AS resource,
+      WHEN 2 THEN '?q=%3Cscript%3Ealert(1)' WHEN 3 THEN '/..%252f..%252fetc/passwd' WHEN 4 THEN '/.env'
+      WHEN 5 THEN '/robots.txt' WHEN 6 THEN '/a/%2e%2e/b' ELSE '' END) AS resource,
   CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 403 WHEN 2 THEN 404 ELSE 500 END AS status_code,
   'GET' AS action,
   CASE page_id % 7 WHEN 0 THEN 'x'' having 1=1' WHEN 1 THEN '-' ELSE url END AS referer,
@@ -84,3 +85,7 @@ def all_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     auth = auth_entries(spark, sf_dir).withColumn("file_path", F.lit("auth"))
     web = web_entries(spark, sf_dir).withColumn("file_path", F.lit("web"))
     return auth.unionByName(web)
+
+
+# The login log spans a month, so login attacks are sought over a week.
+WINDOW_MINUTES = 10080
