@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import queries
+from workload import parse_queries, queries
 from workload.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries"]
+__all__ = ["ORACLES", "QUERIES", "parse_queries", "queries"]
