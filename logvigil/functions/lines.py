@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from logvigil.functions.payload import bind, literal
-from logvigil.schema import ENTRY_TYPES, conform_entries
+from logvigil.schema import ENTRY_HASH, ENTRY_TYPES, project
 
 # A character Unicode never assigns; lines that hold it all the same take the slow path.
 MARK = "\uffff"
@@ -107,24 +107,33 @@ def now_text(now: datetime | None) -> str:
     return "current_timestamp()" if now is None else f"TIMESTAMP '{now:%Y-%m-%d %H:%M:%S.%f}'"
 
 
-def finish(df: DataFrame, now: datetime | None) -> DataFrame:
-    """Entries from ``clock`` (wall clock or null), ``zone_min`` (or null) and the other columns.
+def emit(
+    df: DataFrame, ok: str, fields: dict[str, str], clock: str, zone_min: str = "NULL", now: datetime | None = None
+) -> DataFrame:
+    """Entries from SQL texts per column, a wall clock (or null) and minutes east of UTC (or null).
 
-    A line without a readable time gets ``now`` and is marked.
+    A line for which ``ok`` does not hold gives no entry. A line without a readable time gets
+    ``now`` and is marked. Every line is parsed exactly once: the entry leaves through a
+    generator, below which no later filter can be pushed to repeat the parsing.
     """
-    timed = df.selectExpr(
-        *[f"`{c}`" for c in df.columns if c not in ("clock", "zone_min")],
-        f"coalesce(clock, {now_text(now)}) AS _wall",
-        "clock IS NULL AS ts_fallback",
-        "if(clock IS NULL, NULL, zone_min) AS _zone",
+    struct = ", ".join(
+        f"'{name}', CAST({text} AS {ENTRY_TYPES[name]})"
+        for name, text in {"file_path": "file_path", "line_seq": "line_seq", "raw_line": "line", **fields}.items()
     )
-    return conform_entries(
-        timed.selectExpr(
-            *[f"`{c}`" for c in timed.columns if c in ENTRY_TYPES],
-            "CAST(_wall AS TIMESTAMP_NTZ) AS ts_local",
-            "timestampadd(MINUTE, -coalesce(_zone, 0), _wall) AS ts",
-            "CASE WHEN _zone IS NOT NULL THEN concat(if(_zone < 0, '-', '+'), "
-            "lpad(CAST(abs(_zone) div 60 AS STRING), 2, '0'), ':', lpad(CAST(abs(_zone) % 60 AS STRING), 2, '0')) END "
-            "AS tz_offset",
-        )
+    entries = df.selectExpr(
+        f"inline(CASE WHEN {ok} THEN array(named_struct({struct}, '_clock', {clock}, '_zone', CAST({zone_min} AS INT))) END)"
+    ).selectExpr(
+        *[name for name in ("file_path", "line_seq", "raw_line")],
+        *[f"`{name}`" for name in fields if name != "raw_line"],
+        "_clock IS NULL AS ts_fallback",
+        f"coalesce(_clock, {now_text(now)}) AS _wall",
+        "if(_clock IS NULL, NULL, _zone) AS _zone",
     )
+    computed = {
+        "ts": "timestampadd(MINUTE, -coalesce(_zone, 0), _wall)",
+        "ts_local": "_wall",
+        "tz_offset": "CASE WHEN _zone IS NOT NULL THEN concat(if(_zone < 0, '-', '+'), "
+        "lpad(CAST(abs(_zone) div 60 AS STRING), 2, '0'), ':', lpad(CAST(abs(_zone) % 60 AS STRING), 2, '0')) END",
+    }
+    timed = project(entries, {c: t for c, t in ENTRY_TYPES.items() if c != "entry_hash"}, computed)
+    return project(timed, ENTRY_TYPES, {"entry_hash": ENTRY_HASH})

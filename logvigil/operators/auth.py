@@ -22,7 +22,6 @@ GROUPS = {
 }
 KINDS = tuple(GROUPS)
 EVENT_COLUMNS = [*[c for c in EVIDENCE_COLUMNS if c != "entry_hash"], "tz_offset"]
-OUTCOME_COLUMNS = [*EVENT_COLUMNS, "is_failure", "is_success", "named", "account"]
 
 
 @dataclass(frozen=True)
@@ -40,29 +39,29 @@ class AuthConfig:
 
 
 # SQL text: a failed login, in whatever log it is reported.
-FAILED_AUTH = """(
-  lower(message) LIKE '%failed%' OR lower(message) LIKE '%failure%'
-  OR lower(message) LIKE '%invalid%' OR lower(message) LIKE '%denied%'
+FAILED_AUTH = """(rlike(message, '(?i)failed|failure|invalid|denied')
   OR coalesce(action IN ('ssh_failure', 'ssh_invalid_user', 'sudo_failure', 'logon_failure'), false)
   OR coalesce(status_code = 0 AND log_type = 'auth', false)
   OR coalesce(event_id = 4625, false))"""
 
-# SQL text: a successful login; a row that also counts as failed is not one.
-SUCCESSFUL_AUTH = f"""(NOT {FAILED_AUTH} AND (
-  lower(message) LIKE '%accepted%' OR lower(message) LIKE '%succeeded%'
+# SQL text: a successful login, provided it is not a failed one.
+SUCCESSFUL_AUTH = """(rlike(message, '(?i)accepted|succeeded')
   OR coalesce(action IN ('ssh_success', 'sudo_success', 'logon_success'), false)
   OR coalesce(status_code = 1 AND log_type = 'auth', false)
-  OR coalesce(event_id = 4624, false)))"""
+  OR coalesce(event_id = 4624, false))"""
 
 
 def login_outcomes(entries: DataFrame) -> DataFrame:
-    """Rows that tell a login result, with the account the attempt counts for."""
-    return entries.where(f"source_ip <> '' AND ({FAILED_AUTH} OR {SUCCESSFUL_AUTH})").selectExpr(
-        "*",
-        f"{FAILED_AUTH} AS is_failure",
-        f"{SUCCESSFUL_AUTH} AS is_success",
+    """Rows that tell a login result, with the account the attempt counts for.
+
+    The generator gives such a row its outcome and drops all others, testing each row once.
+    """
+    return entries.where("source_ip <> ''").selectExpr(
+        *[f"`{c}`" for c in EVENT_COLUMNS],
         "coalesce(`user` <> '', false) AS named",
         "coalesce(nullif(`user`, ''), 'unknown') AS account",
+        f"inline(CASE WHEN {FAILED_AUTH} THEN array(named_struct('is_failure', true, 'is_success', false)) "
+        f"WHEN {SUCCESSFUL_AUTH} THEN array(named_struct('is_failure', false, 'is_success', true)) END)",
     )
 
 
@@ -284,7 +283,7 @@ def auth_alerts(
     The login outcomes are a small part of the logs; they are written out once so that the
     groupings, the evidence and the samples do not scan the logs again.
     """
-    outcomes = login_outcomes(entries).select(*OUTCOME_COLUMNS)
+    outcomes = login_outcomes(entries)
     if staged:
         outcomes = stage(outcomes, "login-outcomes")
     alerts = with_time_span(grouped_attempts(outcomes, config, kinds))

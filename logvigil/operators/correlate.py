@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logvigil.operators.skew import attach
+from logvigil.schema import replace_columns
 
 # What tells two alerts of a run apart.
 ALERT_ROW = ["detector_ord", "threat_type", "ts", "file_path", "line_seq", "target", "alert_id"]
@@ -33,7 +34,7 @@ def correlate(alerts: DataFrame) -> DataFrame:
         "coordinated_attack": multi,
         "attack_vectors": f"if({multi}, _vectors, NULL)",
     }
-    return looked_up.selectExpr(*[f"{changed.get(c, f'`{c}`')} AS `{c}`" for c in alerts.columns])
+    return replace_columns(looked_up, alerts.columns, changed)
 
 
 def deduplicate(alerts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logvigil.functions.payload import detect_path, detect_sqli, detect_xss, first_source, literal, sqli_text
 from logvigil.functions.signatures import SUCCESS_CODES
 from logvigil.operators.skew import attach
-from logvigil.schema import EVIDENCE_COLUMNS, EVIDENCE_STRUCT, ROW_ORDER, shape_alerts
+from logvigil.schema import EVIDENCE_COLUMNS, EVIDENCE_STRUCT, ROW_ORDER, replace_columns, shape_alerts
 from logvigil.session import stage
 
 WEB_LOGS = ["apache", "nginx", "nginx_error"]
@@ -170,7 +170,7 @@ def raise_repeat_offenders(alerts: DataFrame, min_alerts: int, note: str) -> Dat
         "level": f"if({raised}, 'HIGH', level)",
         "description": f"if({raised}, concat(description, {literal(note)}), description)",
     }
-    return counted.selectExpr(*[f"{changed.get(c, f'`{c}`')} AS `{c}`" for c in alerts.columns])
+    return replace_columns(counted, alerts.columns, changed)
 
 
 def _matches(entries: DataFrame, kind: str, staged: bool) -> DataFrame:

@@ -107,13 +107,21 @@ EVIDENCE_STRUCT = (
 
 def project(df: DataFrame, types: dict[str, str], computed: dict[str, str]) -> DataFrame:
     """Select all columns of a layout: computed ones, present ones, nulls for the rest."""
-    have = set(df.columns)
-    return df.selectExpr(
-        *[
-            f"CAST({computed.get(name, f'`{name}`' if name in have else 'NULL')} AS {ddl}) AS `{name}`"
-            for name, ddl in types.items()
-        ]
-    )
+    have = dict(df.dtypes)
+
+    def column(name: str, ddl: str) -> str:
+        if name in computed:
+            return f"CAST({computed[name]} AS {ddl}) AS `{name}`"
+        if have.get(name) == ddl:
+            return f"`{name}`"
+        return f"CAST({f'`{name}`' if name in have else 'NULL'} AS {ddl}) AS `{name}`"
+
+    return df.selectExpr(*[column(name, ddl) for name, ddl in types.items()])
+
+
+def replace_columns(df: DataFrame, columns: list[str], changed: dict[str, str]) -> DataFrame:
+    """Select columns, some of them rewritten by an SQL text over the old ones."""
+    return df.selectExpr(*[f"{changed[c]} AS `{c}`" if c in changed else f"`{c}`" for c in columns])
 
 
 def conform_entries(df: DataFrame) -> DataFrame:
@@ -127,8 +135,10 @@ def conform_entries(df: DataFrame) -> DataFrame:
         raise ValueError("entries need a ts or ts_local column")
     defaults = {"ts_fallback": "false", "message": "''", "raw_line": "''", "log_type": "'unknown'", "file_path": "''"}
     computed = {c: f"coalesce(`{c}`, {v})" if c in have else v for c, v in defaults.items()}
-    computed["ts"] = "ts" if "ts" in have else "ts_local"
-    computed["ts_local"] = "ts_local" if "ts_local" in have else "ts"
+    if "ts" not in have:
+        computed["ts"] = "ts_local"
+    if "ts_local" not in have:
+        computed["ts_local"] = "ts"
     if "line_seq" not in have:
         computed["line_seq"] = "monotonically_increasing_id()"
     if "entry_hash" in have:

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from logvigil.functions.lines import finish, groups, http_clock, http_zone, no_dash, optional, zone_minutes
+from logvigil.functions.lines import emit, groups, http_clock, http_zone, no_dash, optional, zone_minutes
 
 # Fixed value: ip, ident, user, time, method, path, protocol, status, size, referer, agent.
 LINE = (
@@ -21,26 +21,24 @@ def matched(line: str) -> str:
 
 def parse_apache(lines: DataFrame, now: datetime | None = None, year: int | None = None) -> DataFrame:
     """Entries of Apache access lines."""
-    rows = (
-        lines.selectExpr("file_path", "line_seq", "line", f"{matched('line')} AS g")
-        .where("g IS NOT NULL")
-        .selectExpr(
-            "file_path",
-            "line_seq",
-            "g[1] AS source_ip",
-            f"{no_dash('g[3]')} AS `user`",
-            "g[5] AS action",
-            "g[6] AS resource",
-            "CAST(g[8] AS INT) AS status_code",
-            "concat(g[5], ' ', g[6]) AS message",
-            "'apache' AS log_type",
-            "line AS raw_line",
-            f"{optional('g[10]')} AS referer",
-            f"{optional('g[11]')} AS user_agent",
-            "map('protocol', g[7], 'response_size', if(rlike(g[9], '^[0-9]+$'), CAST(CAST(g[9] AS DECIMAL(38, 0)) AS STRING), '0'), "
-            "'ident', g[2]) AS metadata",
-            f"{http_clock('g[4]')} AS clock",
-            f"{zone_minutes(http_zone('g[4]'))} AS zone_min",
-        )
+    rows = lines.selectExpr("file_path", "line_seq", "line", f"{matched('line')} AS g")
+    return emit(
+        rows,
+        "g IS NOT NULL",
+        {
+            "source_ip": "g[1]",
+            "user": no_dash("g[3]"),
+            "action": "g[5]",
+            "resource": "g[6]",
+            "status_code": "CAST(g[8] AS INT)",
+            "message": "concat(g[5], ' ', g[6])",
+            "log_type": "'apache'",
+            "referer": optional("g[10]"),
+            "user_agent": optional("g[11]"),
+            "metadata": "map('protocol', g[7], 'response_size', if(rlike(g[9], '^[0-9]+$'), CAST(CAST(g[9] AS DECIMAL(38, 0)) AS STRING), '0'), "
+            "'ident', g[2])",
+        },
+        http_clock("g[4]"),
+        zone_minutes(http_zone("g[4]")),
+        now,
     )
-    return finish(rows, now)

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from logvigil.functions.lines import bsd_clock, extract, finish, found, groups, optional
+from logvigil.functions.lines import bsd_clock, extract, emit, found, groups, optional
 
 # Fixed value: time, host, process, pid, message.
 LINE = r"^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s*(.*)$"
@@ -79,7 +79,6 @@ def parse_auth(lines: DataFrame, now: datetime | None = None, year: int | None =
     year = year if year is not None else datetime.now().year
     rows = (
         lines.selectExpr("file_path", "line_seq", "line", f"{matched('line')} AS g")
-        .where("g IS NOT NULL")
         .selectExpr("*", "g[5] AS message", "g[3] AS process")
         .selectExpr(
             "*",
@@ -92,22 +91,23 @@ def parse_auth(lines: DataFrame, now: datetime | None = None, year: int | None =
             "coalesce(pam.type, ev.type, 'other') AS event_type",
             "if(pam.type IN ('session_open', 'pam_auth'), pam.success, ev.success) AS success",
         )
-        .selectExpr(
-            "file_path",
-            "line_seq",
-            "ev.ip AS source_ip",
-            "if(pam IS NOT NULL, pam.user, ev.user) AS `user`",
-            "event_type AS action",
-            "CAST(success AS INT) AS status_code",
-            "message",
-            "'auth' AS log_type",
-            "line AS raw_line",
-            "g[2] AS hostname",
-            "process",
-            f"map_concat(map('pid', {optional('g[4]')}, 'event_type', event_type, 'success', CAST(success AS STRING), "
-            "'port', ev.port), coalesce(ev.extras, CAST(map() AS MAP<STRING, STRING>))) AS metadata",
-            f"{bsd_clock('g[1]', year)} AS clock",
-            "CAST(NULL AS INT) AS zone_min",
-        )
     )
-    return finish(rows, now)
+    return emit(
+        rows,
+        "g IS NOT NULL",
+        {
+            "source_ip": "ev.ip",
+            "user": "if(pam IS NOT NULL, pam.user, ev.user)",
+            "action": "event_type",
+            "status_code": "CAST(success AS INT)",
+            "message": "message",
+            "log_type": "'auth'",
+            "hostname": "g[2]",
+            "process": "process",
+            "metadata": f"map_concat(map('pid', {optional('g[4]')}, 'event_type', event_type, 'success', CAST(success AS STRING), "
+            "'port', ev.port), coalesce(ev.extras, CAST(map() AS MAP<STRING, STRING>)))",
+        },
+        bsd_clock('g[1]', year),
+        "NULL",
+        now,
+    )

@@ -194,17 +194,20 @@ class Parsed:
 
 def parse_stats(lines: DataFrame, entries: DataFrame, log_type: str) -> DataFrame:
     """Per file: lines read, entries parsed, data lines without an entry, success rate in percent."""
-    seen = lines.groupBy("file_path").agg(
-        F.expr("count(*) AS lines_processed"), F.expr(f"count_if(line <> '' AND {NOT_COMMENT}) AS data_lines")
-    )
-    got = entries.groupBy("file_path").agg(F.expr("count(*) AS n"))
-    return seen.join(got, "file_path", "left").selectExpr(
-        "file_path",
-        f"'{log_type}' AS log_type",
-        "lines_processed",
-        "coalesce(n, 0) AS lines_parsed",
-        "data_lines - coalesce(n, 0) AS parse_errors",
-        "coalesce(n, 0) / lines_processed * 100 AS success_rate",
+    seen = lines.selectExpr("file_path", "1 AS seen", f"if(line <> '' AND {NOT_COMMENT}, 1, 0) AS data", "0 AS parsed")
+    got = entries.selectExpr("file_path", "0 AS seen", "0 AS data", "1 AS parsed")
+    return (
+        seen.unionByName(got)
+        .groupBy("file_path")
+        .agg(F.expr("sum(seen) AS n"), F.expr("sum(data) AS d"), F.expr("sum(parsed) AS p"))
+        .selectExpr(
+            "file_path",
+            f"'{log_type}' AS log_type",
+            "n AS lines_processed",
+            "p AS lines_parsed",
+            "d - p AS parse_errors",
+            "p / n * 100 AS success_rate",
+        )
     )
 
 

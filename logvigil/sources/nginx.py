@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from logvigil.functions.lines import extract, finish, groups, http_clock, http_zone, no_dash, optional, zone_minutes
+from logvigil.functions.lines import extract, emit, groups, http_clock, http_zone, no_dash, optional, zone_minutes
 
 # Fixed value: ip, user, time, request, status, bytes, referer, agent, forwarded for.
 ACCESS = (
@@ -35,34 +35,34 @@ def parse_nginx(lines: DataFrame, now: datetime | None = None, year: int | None
     rows = (
         lines.selectExpr("file_path", "line_seq", "line", f"{matched_access('line')} AS a")
         .selectExpr("*", f"CASE WHEN a IS NULL THEN {matched_error('line')} END AS e")
-        .where("a IS NOT NULL OR e IS NOT NULL")
         .selectExpr(
             "*",
             "a IS NOT NULL AS is_access",
             "filter(split(trim(a[4]), '\\\\s+'), p -> p <> '') AS parts",
             f"{http_zone('a[3]')} AS zone",
         )
-        .selectExpr(
-            "file_path",
-            "line_seq",
-            "CASE WHEN is_access THEN if(a[9] NOT IN ('', '-'), trim(split(a[9], ',')[0]), a[1]) "
-            f"ELSE {extract('e[6]', r'client:\s*([\d.]+)')} END AS source_ip",
-            f"if(is_access, {no_dash('a[2]')}, NULL) AS `user`",
-            "if(is_access, coalesce(get(parts, 0), 'GET'), 'ERROR') AS action",
-            "if(is_access, coalesce(get(parts, 1), '/'), NULL) AS resource",
-            "if(is_access, CAST(a[5] AS INT), NULL) AS status_code",
-            "if(is_access, a[4], e[6]) AS message",
-            "if(is_access, 'nginx', 'nginx_error') AS log_type",
-            "line AS raw_line",
-            f"if(is_access, {optional('a[7]')}, NULL) AS referer",
-            f"if(is_access, {optional('a[8]')}, NULL) AS user_agent",
-            "if(is_access, map('protocol', coalesce(get(parts, 2), 'HTTP/1.1'), "
+    )
+    return emit(
+        rows,
+        "is_access OR e IS NOT NULL",
+        {
+            "source_ip": "CASE WHEN is_access THEN if(a[9] NOT IN ('', '-'), trim(split(a[9], ',')[0]), a[1]) "
+            f"ELSE {extract('e[6]', r'client:\s*([\d.]+)')} END",
+            "user": f"if(is_access, {no_dash('a[2]')}, NULL)",
+            "action": "if(is_access, coalesce(get(parts, 0), 'GET'), 'ERROR')",
+            "resource": "if(is_access, coalesce(get(parts, 1), '/'), NULL)",
+            "status_code": "if(is_access, CAST(a[5] AS INT), NULL)",
+            "message": "if(is_access, a[4], e[6])",
+            "log_type": "if(is_access, 'nginx', 'nginx_error')",
+            "referer": f"if(is_access, {optional('a[7]')}, NULL)",
+            "user_agent": f"if(is_access, {optional('a[8]')}, NULL)",
+            "metadata": "if(is_access, map('protocol', coalesce(get(parts, 2), 'HTTP/1.1'), "
             "'response_size', if(a[6] = '-', '0', CAST(CAST(a[6] AS DECIMAL(38, 0)) AS STRING)), 'original_ip', a[1], "
             f"'x_forwarded_for', {optional('a[9]')}), "
-            f"map('level', e[2], 'pid', e[3], 'tid', e[4], 'connection_id', {optional('e[5]')})) AS metadata",
-            f"CASE WHEN NOT is_access THEN try_to_timestamp(regexp_replace(e[1], '\\\\s+', ' '), 'yyyy/MM/dd HH:mm:ss') "
-            f"WHEN zone <> '' THEN {http_clock('a[3]')} END AS clock",
-            f"if(is_access, {zone_minutes('zone')}, NULL) AS zone_min",
-        )
+            f"map('level', e[2], 'pid', e[3], 'tid', e[4], 'connection_id', {optional('e[5]')}))",
+        },
+        f"CASE WHEN NOT is_access THEN try_to_timestamp(regexp_replace(e[1], '\\\\s+', ' '), 'yyyy/MM/dd HH:mm:ss') "
+            f"WHEN zone <> '' THEN {http_clock('a[3]')} END",
+        f"if(is_access, {zone_minutes('zone')}, NULL)",
+        now,
     )
-    return finish(rows, now)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from logvigil.functions.lines import (
-    bsd_clock, extract, finish, groups, iso_clock, iso_zone, lookup, optional, zone_minutes,
+    bsd_clock, extract, emit, groups, iso_clock, iso_zone, lookup, optional, zone_minutes,
 )
 
 # Facility and severity names by code.
@@ -90,7 +90,6 @@ def parse_syslog(lines: DataFrame, now: datetime | None = None, year: int | None
         lines.selectExpr("file_path", "line_seq", "line", f"{matched_5424('line')} AS n")
         .selectExpr("*", f"CASE WHEN n IS NULL THEN {matched_3164('line')} END AS o")
         .selectExpr("*", f"CASE WHEN n IS NULL AND o IS NULL THEN {matched_simple('line')} END AS s")
-        .where("n IS NOT NULL OR o IS NOT NULL OR s IS NOT NULL")
         .selectExpr(
             "*",
             "coalesce(n[9], o[6], s[3]) AS message",
@@ -102,25 +101,26 @@ def parse_syslog(lines: DataFrame, now: datetime | None = None, year: int | None
             f"ELSE {bsd_clock('coalesce(o[2], s[1])', year)} END AS clock",
             f"CASE WHEN n IS NOT NULL THEN {zone_minutes(iso_zone('n[3]'))} END AS zone_min",
         )
-        .selectExpr(
-            "file_path",
-            "line_seq",
-            f"{message_ip('message')} AS source_ip",
-            f"{message_user('message')} AS `user`",
-            "coalesce(process, 'syslog') AS action",
-            "message",
-            "'syslog' AS log_type",
-            "line AS raw_line",
-            "hostname",
-            "process",
-            "CASE WHEN priority IS NULL THEN map('hostname', hostname) ELSE map_concat("
+    )
+    return emit(
+        rows,
+        "message IS NOT NULL",
+        {
+            "source_ip": message_ip("message"),
+            "user": message_user("message"),
+            "action": "coalesce(process, 'syslog')",
+            "message": "message",
+            "log_type": "'syslog'",
+            "hostname": "hostname",
+            "process": "process",
+            "metadata": "CASE WHEN priority IS NULL THEN map('hostname', hostname) ELSE map_concat("
             f"map('pid', CASE WHEN n IS NOT NULL THEN n[6] ELSE {optional('o[5]')} END, "
             f"'facility_code', CAST(priority div 8 AS STRING), 'facility', {facility('priority')}, "
             f"'severity_code', CAST(priority % 8 AS STRING), 'severity', {severity('priority')}), "
             "CASE WHEN n IS NOT NULL THEN map('msgid', n[7], 'structured_data', n[8]) "
-            "ELSE CAST(map() AS MAP<STRING, STRING>) END) END AS metadata",
-            "clock",
-            "zone_min",
-        )
+            "ELSE CAST(map() AS MAP<STRING, STRING>) END) END",
+        },
+        "clock",
+        "zone_min",
+        now,
     )
-    return finish(rows, now)

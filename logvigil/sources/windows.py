@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logvigil.functions.lines import finish, groups, iso_clock, lookup, optional
+from logvigil.functions.lines import emit, groups, iso_clock, lookup, optional
 from logvigil.functions.payload import literal
 
 # Event id to category.
@@ -93,31 +93,31 @@ def parse_windows(lines: DataFrame, now: datetime | None = None, year: int | Non
     rows = (
         lines.selectExpr("file_path", "line_seq", "line", f"{matched_text('line')} AS t")
         .selectExpr("*", f"CASE WHEN t IS NULL THEN {matched_csv('line')} END AS c")
-        .where("t IS NOT NULL OR c IS NOT NULL")
         .selectExpr(
             "*",
             "CAST(coalesce(t[5], c[4]) AS INT) AS event_id",
             "regexp_replace(CASE WHEN t IS NOT NULL THEN concat(t[1], ' ', trim(t[2])) ELSE c[2] END, '\\\\s+', ' ') AS at",
         )
         .selectExpr("*", f"{category('event_id')} AS event_type")
-        .selectExpr(
-            "file_path",
-            "line_seq",
-            "event_type AS action",
-            "event_id AS status_code",
-            "line AS message",
-            "'windows' AS log_type",
-            "line AS raw_line",
-            "event_id",
-            "map_concat(map('level', coalesce(t[3], c[1]), 'source', coalesce(t[4], c[3]), 'event_type', event_type), "
+    )
+    return emit(
+        rows,
+        "event_id IS NOT NULL",
+        {
+            "action": "event_type",
+            "status_code": "event_id",
+            "message": "line",
+            "log_type": "'windows'",
+            "event_id": "event_id",
+            "metadata": "map_concat(map('level', coalesce(t[3], c[1]), 'source', coalesce(t[4], c[3]), 'event_type', event_type), "
             f"CASE WHEN t IS NOT NULL THEN map('task_category', {optional('t[6]')}) "
-            "ELSE CAST(map() AS MAP<STRING, STRING>) END) AS metadata",
-            "coalesce(try_to_timestamp(at, 'M/d/yyyy h:m:s a'), "
-            "CASE WHEN t IS NOT NULL THEN try_to_timestamp(at, 'M/d/yyyy H:m:s') END) AS clock",
-            "CAST(NULL AS INT) AS zone_min",
-        )
+            "ELSE CAST(map() AS MAP<STRING, STRING>) END)",
+        },
+        "coalesce(try_to_timestamp(at, 'M/d/yyyy h:m:s a'), "
+            "CASE WHEN t IS NOT NULL THEN try_to_timestamp(at, 'M/d/yyyy H:m:s') END)",
+        "NULL",
+        now,
     )
-    return finish(rows, now)
 
 
 XML_SCHEMA = (
@@ -137,11 +137,13 @@ def split_xml_events(documents: DataFrame) -> DataFrame:
 def parse_windows_xml(documents: DataFrame, now: datetime | None = None, year: int | None = None) -> DataFrame:
     """Entries of XML events held in ``line`` (one event or many, with or without namespace)."""
     events = split_xml_events(documents)
+    # The generator keeps later filters from parsing the XML once more.
     return _xml_entries(
         events.selectExpr(
-            "file_path", "line_seq", "line",
-            f"from_xml(regexp_replace(line, '(</?)\\\\w+:', '$1'), '{XML_SCHEMA}', map('rowTag', 'Event')) AS x",
-        ).selectExpr("file_path", "line_seq", "substring(line, 1, 500) AS raw_line", "x.System", "x.EventData"),
+            "file_path", "line_seq", "substring(line, 1, 500) AS raw_line",
+            "inline(array(from_xml(regexp_replace(line, '(</?)\\\\w+:', '$1'), "
+            f"'{XML_SCHEMA}', map('rowTag', 'Event'))))",
+        ),
         now,
     )
 
@@ -169,8 +171,7 @@ def _xml_entries(events: DataFrame, now: datetime | None) -> DataFrame:
         "NOT exists(slice(EventData.Data, i + 2, size(EventData.Data)), later -> later._Name = d._Name))"
     )
     rows = (
-        events.where("System IS NOT NULL")
-        .selectExpr(
+        events.selectExpr(
             "*",
             "if(coalesce(trim(System.EventID), '') = '', 0, try_cast(System.EventID AS INT)) AS event_id",
             f"map_from_entries(transform(coalesce({last_wins}, array()), "
@@ -184,28 +185,29 @@ def _xml_entries(events: DataFrame, now: datetime | None) -> DataFrame:
             "coalesce(data['TargetUserName'], data['SubjectUserName']) AS who",
             "nullif(data['LogonType'], '') AS logon_type",
         )
-        # An event id or logon type that is no number voids the event.
-        .where("event_id IS NOT NULL AND (logon_type IS NULL OR try_cast(logon_type AS INT) IS NOT NULL)")
-        .selectExpr(
-            "file_path",
-            "line_seq",
-            "nullif(ip, '') AS source_ip",
-            "who AS `user`",
-            "event_type AS action",
-            "event_id AS status_code",
-            "concat('Event ', event_id, ': ', event_type, if(who <> '', concat(' - User: ', who), ''), "
-            "if(ip <> '', concat(' from ', ip), '')) AS message",
-            "'windows' AS log_type",
-            "raw_line",
-            "event_id",
-            "hostname",
-            "map_concat(map('event_type', event_type, "
+    )
+    return emit(
+        rows,
+        "System IS NOT NULL AND event_id IS NOT NULL "
+            "AND (logon_type IS NULL OR try_cast(logon_type AS INT) IS NOT NULL)",
+        {
+            "source_ip": "nullif(ip, '')",
+            "user": "who",
+            "action": "event_type",
+            "status_code": "event_id",
+            "message": "concat('Event ', event_id, ': ', event_type, if(who <> '', concat(' - User: ', who), ''), "
+            "if(ip <> '', concat(' from ', ip), ''))",
+            "log_type": "'windows'",
+            "raw_line": "raw_line",
+            "event_id": "event_id",
+            "hostname": "hostname",
+            "metadata": "map_concat(map('event_type', event_type, "
             f"'logon_type', {logon_type_name('logon_type')}, "
             f"'failure_reason', {REASON}), "
             "map_filter(data, (k, v) -> k NOT IN ('IpAddress', 'TargetUserName', 'event_type', 'logon_type', "
-            "'failure_reason'))) AS metadata",
-            f"{iso_clock('System.TimeCreated._SystemTime', 'Z?')} AS clock",
-            "CAST(NULL AS INT) AS zone_min",
-        )
+            "'failure_reason')))",
+        },
+        iso_clock('System.TimeCreated._SystemTime', 'Z?'),
+        "NULL",
+        now,
     )
-    return finish(rows, now)

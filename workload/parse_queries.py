@@ -345,26 +345,30 @@ def parse_windows_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- files as a whole ---------------------------------------------------------------------
 
 
-def _file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of 25 lines, each of one of seven kinds, with a comment and a blank line in front."""
-    kinds = [
-        (APACHE_LIKE, 0), (ERROR_LINES, 1), (SYSLOG_LINES, 2), (AUTH_LINES, 3), (WINDOWS_CSV, 4), (NEW_SYSLOG_LINES, 5), (JUNK_LINES, 6),
-    ]
-    parts = []
-    for sql, kind in kinds:
-        lines = _spark(spark, sf_dir, sql, "events").where(f"line_seq div 25 % 7 = {kind}")
-        parts.append(lines.selectExpr("concat('file', line_seq div 25) AS file_path", "line_seq", "line"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.selectExpr(
-        "file_path", "line_seq", "CASE line_seq % 25 WHEN 0 THEN '# comment' WHEN 1 THEN '' ELSE line END AS line"
-    )
-
-
 APACHE_LIKE = f"""SELECT 'x' AS file_path, line_seq, concat(ip, ' - ', who, ' [', {_CLOCK}, ' +0000] "GET /', num, ' HTTP/1.1" 200 ', num) AS line
   FROM ({EVENT_FIELDS})"""
 JUNK_LINES = f"SELECT 'x' AS file_path, line_seq, concat('nothing here ', num) AS line FROM ({EVENT_FIELDS})"
+KINDS = [APACHE_LIKE, ERROR_LINES, SYSLOG_LINES, AUTH_LINES, WINDOWS_CSV, NEW_SYSLOG_LINES, JUNK_LINES]
+
+
+def _line_of(sql: str) -> str:
+    """The expression that builds the line in one of the texts above."""
+    return sql.split("line_seq, ", 1)[1].split(" AS line", 1)[0]
+
+
+# Files of 25 lines, each of one of seven kinds, with a comment and a blank line in front.
+FILE_LINES = (
+    "SELECT concat('file', CAST(line_seq div 25 AS STRING)) AS file_path, line_seq, CASE WHEN line_seq % 25 = 0 THEN '# comment' "
+    "WHEN line_seq % 25 = 1 THEN '' "
+    + " ".join(f"WHEN line_seq div 25 % 7 = {n} THEN {_line_of(sql)}" for n, sql in enumerate(KINDS))
+    + f" END AS line FROM ({EVENT_FIELDS})"
+)
+
+
+def _file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spark(spark, sf_dir, FILE_LINES, "events")
+
+
 _FORMAT = (
     "CASE event_id // 25 % 7 WHEN 0 THEN 'apache' WHEN 1 THEN 'nginx' WHEN 2 THEN 'syslog' WHEN 3 THEN 'syslog' "
     "WHEN 4 THEN 'windows' WHEN 5 THEN 'syslog' END"
