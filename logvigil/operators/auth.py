@@ -310,6 +310,10 @@ def auth_alerts(
     return shape_alerts(_texts(alerts), detector=DETECTOR, detector_ord=DETECTOR_ORD)
 
 
+def failures_of(entries: DataFrame) -> DataFrame:
+    return login_outcomes(entries).where("is_failure").drop("is_failure", "is_success")
+
+
 def trailing_failures(entries: DataFrame, config: AuthConfig = AuthConfig()) -> DataFrame:
     """Every failed login with the number of failures of its pair in the window ending there.
 
@@ -318,25 +322,54 @@ def trailing_failures(entries: DataFrame, config: AuthConfig = AuthConfig()) ->
     its slices and no task sees all of it.
     """
     width = config.window_micros
-    copies = (
-        login_outcomes(entries)
-        .where("is_failure")
-        .withColumn("_us", F.unix_micros("ts"))
-        .withColumn("_own", F.floor(F.col("_us") / F.lit(width)))
-        .withColumn("_slice", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    )
-    in_slice = Window.partitionBy(*PAIR, "_slice")
-    place = F.row_number().over(in_slice.orderBy("_us", "file_path", "line_seq"))
-    expired = F.count(F.lit(1)).over(
-        in_slice.orderBy("_us").rangeBetween(Window.unboundedPreceding, -(width + 1))
+    failures = failures_of(entries)
+    copies = failures.selectExpr("*", "unix_micros(ts) AS _us").selectExpr(
+        "*", f"floor(_us / {width}) AS _own", f"explode(sequence(floor(_us / {width}), floor(_us / {width}) + 1)) AS _slice"
     )
+    pair = "OVER (PARTITION BY source_ip, account, _slice ORDER BY _us"
     return (
-        copies.withColumn("trailing_count", place - expired)
-        .where(F.col("_slice") == F.col("_own"))
-        .drop("_us", "_own", "_slice", "is_failure", "is_success")
+        copies.selectExpr(
+            "*",
+            f"row_number() {pair}, file_path, line_seq) "
+            f"- count(*) {pair} RANGE BETWEEN UNBOUNDED PRECEDING AND {width + 1} PRECEDING) AS trailing_count",
+            f"timestamp_micros(min(_us) {pair} RANGE BETWEEN {width} PRECEDING AND CURRENT ROW)) AS first_ts",
+        )
+        .where("_slice = _own")
+        .select(*failures.columns, "trailing_count", "first_ts")
+    )
+
+
+def online_alerts(counted: DataFrame, config: AuthConfig = AuthConfig()) -> DataFrame:
+    """Alerts of the one-record-at-a-time form: every failure from the threshold on.
+
+    It knows nothing of later logins, so no account counts as compromised. The evidence is the
+    failure that raised the alert.
+    """
+    facts = (
+        "named_struct('attempt_count', attempts, 'compromised', false, 'time_span_minutes', span_minutes, "
+        "'attempts_per_minute', attempts_per_minute)"
+    )
+    found = with_time_span(
+        counted.where(f"trailing_count >= {config.failed_attempts}").withColumnRenamed("trailing_count", "attempts")
+    )
+    alerts = found.selectExpr(
+        "ts", "ts_local", "tz_offset", "source_ip", "file_path", "line_seq",
+        "'brute_force' AS threat_type",
+        "CASE WHEN attempts >= 50 THEN 4 WHEN attempts >= 20 THEN 3 ELSE 2 END AS level_value",
+        "if(named, account, NULL) AS target",
+        "concat('Brute force attack detected: ', attempts, ' failed login attempts from ', source_ip, "
+        "' targeting user \\'', account, '\\'') AS description",
+        f"array({EVIDENCE_STRUCT}) AS evidence",
+        "array('T1110.001') AS mitre_attack",
+        "array(concat('Block IP address ', source_ip, ' at the firewall'), "
+        "concat('Review account \\'', if(named, account, 'None'), '\\' for unauthorized access'), "
+        "'Implement rate limiting on authentication endpoints', "
+        "'Consider implementing multi-factor authentication') AS recommendations",
+        f"to_json({facts}) AS metadata",
     )
+    return shape_alerts(alerts, detector=DETECTOR, detector_ord=DETECTOR_ORD)
 
 
 def online_brute_force(entries: DataFrame, config: AuthConfig = AuthConfig()) -> DataFrame:
-    """What the one-record-at-a-time form reports: every failure from the threshold on."""
-    return trailing_failures(entries, config).where(F.col("trailing_count") >= config.failed_attempts)
+    """What the one-record-at-a-time form reports when rows arrive in time order."""
+    return online_alerts(trailing_failures(entries, config), config)

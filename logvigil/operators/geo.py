@@ -96,35 +96,38 @@ def with_previous_place(located: DataFrame) -> DataFrame:
     )
 
 
-def with_travel(located: DataFrame) -> DataFrame:
-    """Add distance, hours and speed since the user's previous row; null unless that is strictly earlier."""
+def travelled(rows: DataFrame) -> DataFrame:
+    """Add distance, hours and speed since ``previous``; null unless that is strictly earlier."""
     distance = haversine_km("previous.latitude", "previous.longitude", "latitude", "longitude")
-    return (
-        with_previous_place(located)
-        .selectExpr(
-            "*",
-            f"CASE WHEN previous.ts < ts THEN {distance} END AS distance_km",
-            "CASE WHEN previous.ts < ts THEN (unix_micros(ts) - unix_micros(previous.ts)) / 1e6D / 3600D END "
-            "AS travel_hours",
-        )
-        .selectExpr("*", "distance_km / travel_hours AS speed_kmh")
+    return rows.selectExpr(
+        "*",
+        f"CASE WHEN previous.ts < ts THEN {distance} END AS distance_km",
+        "CASE WHEN previous.ts < ts THEN (unix_micros(ts) - unix_micros(previous.ts)) / 1e6D / 3600D END "
+        "AS travel_hours",
+    ).selectExpr("*", "distance_km / travel_hours AS speed_kmh")
+
+
+def with_travel(located: DataFrame) -> DataFrame:
+    """Located rows with the way from the user's previous row."""
+    return travelled(with_previous_place(located))
+
+
+def flagged(rows: DataFrame, config: GeoConfig = GeoConfig()) -> DataFrame:
+    """Add the checks as flags to rows with travel columns and ``known_countries`` (null unless new)."""
+    risky = ", ".join(f"'{c}'" for c in config.high_risk_countries) or "NULL"
+    return rows.selectExpr(
+        "*",
+        f"coalesce(country_code IN ({risky}), false) AS high_risk",
+        f"coalesce(speed_kmh > {float(config.max_speed_kmh)}D, false) AS impossible_travel",
+        "known_countries IS NOT NULL AS new_country",
     )
 
 
 def geo_findings(entries: DataFrame, geo: DataFrame, config: GeoConfig = GeoConfig()) -> DataFrame:
     """Located rows with the four checks as flags."""
     located = geo_enrich(entries.where("ts IS NOT NULL"), geo)
-    risky = ", ".join(f"'{c}'" for c in config.high_risk_countries) or "NULL"
-    return (
-        with_travel(located)
-        .join(new_country_rows(located, config), ["user", *ROW_ORDER], "left")
-        .selectExpr(
-            "*",
-            f"coalesce(country_code IN ({risky}), false) AS high_risk",
-            f"coalesce(speed_kmh > {float(config.max_speed_kmh)}D, false) AS impossible_travel",
-            "known_countries IS NOT NULL AS new_country",
-        )
-    )
+    fresh = new_country_rows(located, config)
+    return flagged(with_travel(located).join(fresh, ["user", *ROW_ORDER], "left"), config)
 
 
 def geo_alerts_from(findings: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from logvigil.operators.correlate import correlate, deduplicate, ranked
 from logvigil.operators.geo import GeoConfig, geo_alerts
 from logvigil.operators.temporal import TemporalConfig, temporal_alerts
 from logvigil.operators.web import sql_injection_alerts, traversal_alerts, web_matches, xss_alerts
-from logvigil.schema import ALERT_TYPES
+from logvigil.schema import ALERT_TYPES, ddl
 from logvigil.session import stage
 
 BUILT_IN = ("brute_force", "sql_injection", "xss", "directory_traversal", "temporal_anomaly", "geo_anomaly")
@@ -88,7 +88,7 @@ def detect(entries: DataFrame, settings: Settings = Settings(), geo: DataFrame |
         )
     parts = [job() for name, job in jobs.items() if name in wanted]
     if not parts:
-        return entries.sparkSession.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in ALERT_TYPES.items()))
+        return entries.sparkSession.createDataFrame([], ddl(ALERT_TYPES))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 # Severity names and their order.
 LEVEL_VALUES = {"CRITICAL": 5, "HIGH": 4, "MEDIUM": 3, "LOW": 2, "INFO": 1}
@@ -67,12 +66,9 @@ ALERT_TYPES: dict[str, str] = {
 ROW_ORDER = ["ts", "file_path", "line_seq"]
 
 
-def _struct_type(types: dict[str, str]) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{name}` {ddl}" for name, ddl in types.items()))
-
-
-ENTRY_SCHEMA = _struct_type(ENTRY_TYPES)
-ALERT_SCHEMA = _struct_type(ALERT_TYPES)
+def ddl(types: dict[str, str]) -> str:
+    """A layout as Spark schema text."""
+    return ", ".join(f"`{name}` {kind}" for name, kind in types.items())
 
 
 # SQL text: a timestamp as Python's str(datetime) writes it (micros and zone only when present).

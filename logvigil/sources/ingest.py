@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logvigil.functions.lines import stripped
-from logvigil.schema import ENTRY_SCHEMA
+from logvigil.schema import ENTRY_TYPES, ddl
 from logvigil.sources import apache, auth, nginx, syslog, windows
+from logvigil.sources.heads import SAMPLE_LINES, read_heads
 
 # Names of log files in a folder.
 FILE_GLOB = "{*.log,*.txt,auth,secure,messages,syslog}"
-SAMPLE_LINES = 20
 TESTED_LINES = 10
 
 Parser = Callable[..., DataFrame]
@@ -141,24 +139,9 @@ def data_lines(lines: DataFrame) -> DataFrame:
     return lines.where(f"line <> '' AND {NOT_COMMENT}")
 
 
-def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
-    for batch in batches:
-        for path in batch["file_path"]:
-            uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and "//" not in path else path
-            files, name = fs.FileSystem.from_uri(uri)
-            with files.open_input_stream(name) as raw:
-                text = io.TextIOWrapper(io.BufferedReader(raw), encoding="utf-8", errors="replace")
-                head = [line for _, line in zip(range(SAMPLE_LINES), text)]
-            yield pd.DataFrame(
-                {"file_path": path, "place": range(1, len(head) + 1), "line": [line.strip() for line in head]}
-            )
-
-
 def sample_lines(files: DataFrame) -> DataFrame:
     """The first lines of every file, read in tasks that stop after them."""
-    return files.select("file_path").mapInPandas(_heads, "file_path string, place int, line string")
+    return files.select("file_path").mapInPandas(read_heads, "file_path string, place int, line string")
 
 
 def detect_formats(sample: DataFrame, formats: Formats = Formats()) -> DataFrame:
@@ -270,7 +253,7 @@ def parse_logs(
         entries = parse_lines(lines, name, formats, now, year)
         parts.append((entries, parse_stats(lines, entries, name), parse_errors(lines, entries)))
     if not parts:
-        empty = spark.createDataFrame([], ENTRY_SCHEMA)
+        empty = spark.createDataFrame([], ddl(ENTRY_TYPES))
         none = spark.createDataFrame([], "file_path string, line_seq bigint, line string")
         parts.append((empty, parse_stats(none, empty, ""), parse_errors(none, empty)))
     entries, stats, errors = (reduce(DataFrame.unionByName, column) for column in zip(*parts))

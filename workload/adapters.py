@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 AUTH_SQL = """
 SELECT event_id AS line_seq, ts AS ts_local, 'auth' AS log_type, '' AS message,
   concat('10.0.0.', CAST(CASE WHEN user_id % 10 = 0 THEN 1 ELSE event_id % 16 END AS {string})) AS source_ip,
@@ -52,14 +58,14 @@ AUTH_DUCK = AUTH_SQL.format(events="events", **_DUCK)
 WEB_DUCK = WEB_SQL.format(pages="pages", **_DUCK)
 
 
-def auth_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+def auth_entries(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    events = read(spark, sf_dir, "events")
     rows = spark.sql(AUTH_SQL.format(events="{events}", **_SPARK), events=events)
     return conform_entries(rows.withColumnRenamed("user_name", "user"))
 
 
-def web_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+def web_entries(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
     return conform_entries(spark.sql(WEB_SQL.format(pages="{pages}", **_SPARK), pages=pages))
 
 

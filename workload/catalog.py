@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import parse_queries, queries
+from workload import parse_queries, queries, stream_queries
 from workload.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "parse_queries", "queries"]
+__all__ = ["ORACLES", "QUERIES", "parse_queries", "queries", "stream_queries"]

@@ -82,8 +82,18 @@ distributed AS (SELECT max(last_ts) AS ts, 'distributed_brute_force' AS threat_t
 TRAILING = f"""
 trailed AS (SELECT *, count(*) OVER (PARTITION BY source_ip, account ORDER BY ts, file_path, line_seq)
   - count(*) OVER (PARTITION BY source_ip, account ORDER BY ts
-      RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '{WINDOW_MINUTES * 60}.000001 seconds' PRECEDING) AS trailing_count
-  FROM fails)"""
+      RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '{WINDOW_MINUTES * 60}.000001 seconds' PRECEDING) AS trailing_count,
+  min(ts) OVER (PARTITION BY source_ip, account ORDER BY ts
+      RANGE BETWEEN INTERVAL '{WINDOW_MINUTES} minutes' PRECEDING AND CURRENT ROW) AS first_ts
+  FROM fails),
+online AS (SELECT ts, 'brute_force' AS threat_type, CASE WHEN trailing_count >= 50 THEN 4 WHEN trailing_count >= 20 THEN 3 ELSE 2 END AS level_value,
+  source_ip, user_name AS target,
+  'Brute force attack detected: ' || trailing_count || ' failed login attempts from ' || source_ip || ' targeting user ''' || account || '''' AS description,
+  1 AS evidence_count, 'T1110.001' AS mitre, ['Block IP address ' || source_ip || ' at the firewall',
+   'Review account ''' || coalesce(user_name, 'None') || ''' for unauthorized access',
+   'Implement rate limiting on authentication endpoints', 'Consider implementing multi-factor authentication'] AS advice,
+  line_seq, round(greatest(1.0, (epoch_us(ts) - epoch_us(first_ts)) / 6e7), 4) AS span_minutes
+  FROM trailed WHERE trailing_count >= 5)"""
 
 # -- web attacks --------------------------------------------------------------------------
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from logvigil.operators import auth
 from logvigil.plans.analysis import Settings, analyze
 from logvigil.schema import ENTRY_HASH
+from logvigil.session import stage
 from logvigil.sources import apache, auth as auth_logs, ingest, nginx, sinks, syslog, windows
 from workload import oracle as O
 from workload.adapters import _DUCK, _SPARK, auth_entries, table, web_entries
@@ -366,7 +367,8 @@ FILE_LINES = (
 
 
 def _file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spark(spark, sf_dir, FILE_LINES, "events")
+    # The lines are written out first, as log files are.
+    return stage(_spark(spark, sf_dir, FILE_LINES, "events"), "lines")
 
 
 _FORMAT = (

@@ -129,6 +129,17 @@ def trailing_failure_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("line_seq", "source_ip", "account", F.col("trailing_count").cast("bigint"))
 
 
+ONLINE_BRUTE_FORCE = O.over(
+    O.AUTH_E, f"{O.PAIRS},{O.TRAILING}", f"SELECT {O.ALERT_TABLE}, line_seq, span_minutes FROM online"
+)
+SPAN = "round(CAST(get_json_object(metadata, '$.time_span_minutes') AS DOUBLE), 4) AS span_minutes"
+
+
+@register("brute_force_online", ONLINE_BRUTE_FORCE)
+def brute_force_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alert_table(auth.online_brute_force(auth_entries(spark, sf_dir), AUTH), "line_seq", SPAN)
+
+
 # -- web attacks --------------------------------------------------------------------------
 
 _HIT = ("get_json_object(metadata, '$.pattern_matched') AS pattern", "get_json_object(metadata, '$.injection_point') AS place")
