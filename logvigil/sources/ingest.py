@@ -116,8 +116,8 @@ def log_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fal
 def scan_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """All lines with their file and a number that grows along the file.
 
-    The number joins the megabyte at which the split starts with the place inside the task,
-    so it follows the file's order although splits are read apart.
+    The number joins the place at which the split starts with the place inside the task, so it
+    follows the file's order although splits are read apart.
     """
     parts = [
         _numbered(_reader(spark, p, recursive).text(p)) for p in ([paths] if isinstance(paths, str) else paths)
@@ -125,11 +125,19 @@ def scan_lines(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     return reduce(DataFrame.unionByName, parts)
 
 
+def _split_bits(spark: SparkSession) -> int:
+    """Bits of the smallest split Spark makes of a file under the session's settings, 20 (a megabyte) at most."""
+    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    settings = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    return min(20, int(min(bytes_of(spark.conf.get(name)) for name in settings)).bit_length() - 1)
+
+
 def _numbered(text: DataFrame) -> DataFrame:
+    """Trimmed lines with their file and number: which split, then which row of the task."""
+    split = f"shiftright(_metadata.file_block_start, {_split_bits(text.sparkSession)})"
     return text.selectExpr(
         "_metadata.file_path AS file_path",
-        "shiftleft(shiftright(_metadata.file_block_start, 20), 40) "
-        "+ (monotonically_increasing_id() & 8589934591L) AS line_seq",
+        f"shiftleft({split}, 40) + (monotonically_increasing_id() & 8589934591L) AS line_seq",
         f"{stripped('value')} AS line",
     )
 

@@ -494,13 +494,13 @@ def parse_marked(lines: DataFrame, now: datetime | None = None, year: int | None
 
 @register(
     "custom_parser",
-    f"""SELECT 'marked' AS format, line_seq, ip AS source_ip, who AS user_name, event_type AS message
+    f"""SELECT 'marked' AS format, line_seq, ip AS source_ip, who AS user_name, num AS message
   FROM ({_duck(EVENT_FIELDS, 'events')})""",
 )
 def custom_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     formats = ingest.Formats().register_parser("marked", parse_marked, "startswith(line, 'MARK|')")
     lines = _spark(
-        spark, sf_dir, f"SELECT 'own.log' AS file_path, line_seq, concat('MARK|', ip, '|', who, '|', event_type) AS line FROM ({EVENT_FIELDS})",
+        spark, sf_dir, f"SELECT 'own.log' AS file_path, line_seq, concat('MARK|', ip, '|', who, '|', num) AS line FROM ({EVENT_FIELDS})",
         "events",
     )
     detected = ingest.detect_formats(ingest.first_lines(lines), formats)
