@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logvigil.functions.geo import fixed, haversine_km
-from logvigil.operators.skew import attach
+from logvigil.operators.skew import SPREAD, attach
 from logvigil.schema import EVIDENCE_STRUCT, ROW_ORDER, project, shape_alerts
 
 DETECTOR, DETECTOR_ORD = "geo_anomaly", 5
@@ -18,8 +18,6 @@ GEO_TYPES = {
     "latitude": "double", "longitude": "double", "is_vpn": "boolean", "is_tor": "boolean", "is_proxy": "boolean",
 }
 
-SPREAD = 64
-
 
 @dataclass(frozen=True)
 class GeoConfig:
@@ -80,10 +78,10 @@ def with_previous_place(located: DataFrame) -> DataFrame:
     rows = located.selectExpr("*", "date_trunc('hour', ts) AS _hour", lane)
     last_of_hour = (
         rows.where(HAS_USER)
-        .groupBy("user", "_hour")
+        .groupBy("user", "_hour", "_lane")
         .agg(F.expr(f"max(struct({', '.join(ROW_ORDER)}, {PLACE} AS place)).place AS _last"))
         .selectExpr(
-            "`user`", "_hour", "0 AS _lane", "lag(_last) OVER (PARTITION BY `user` ORDER BY _hour) AS _carried"
+            "`user`", "_hour", "_lane", "lag(_last) OVER (PARTITION BY `user` ORDER BY _hour) AS _carried"
         )
     )
     in_hour = f"OVER (PARTITION BY `user`, _hour, _lane ORDER BY {', '.join(ROW_ORDER)})"

@@ -2,44 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Networks of at most this prefix length are few (below 2 ** 13 in all) and may hold most ips.
+COARSE = 12
 
-def ip_number(ip: Column) -> Column:
-    """A dotted IPv4 address as a number; null for anything else."""
-    parts = F.split(ip, r"\.")
-    valid = ip.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
-    octets = [F.when(valid, F.get(parts, F.lit(i))).cast("bigint") for i in range(4)]
-    in_range = (octets[0] < 256) & (octets[1] < 256) & (octets[2] < 256) & (octets[3] < 256)
-    return F.when(in_range, octets[0] * (1 << 24) + octets[1] * (1 << 16) + octets[2] * (1 << 8) + octets[3])
+
+def ip_number(ip: str) -> str:
+    """SQL text: a dotted IPv4 address as a number; null for anything else."""
+    octets = [f"try_cast(get(split({ip}, '[.]'), {i}) AS INT)" for i in range(4)]
+    valid = " AND ".join(f"{o} <= 255" for o in octets)
+    number = " + ".join(f"CAST({o} AS BIGINT) * {1 << (24 - 8 * i)}L" for i, o in enumerate(octets))
+    return f"CASE WHEN rlike({ip}, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') AND {valid} THEN {number} END"
+
+
+BASE = "split_part(cidr, '/', 1)"
+
+
+def _network(number: str, prefix: str) -> str:
+    return f"shiftright({number}, 32 - {prefix})"
 
 
 def ip_reputation(entries: DataFrame, ranges: DataFrame | None) -> DataFrame:
     """Distinct source ips inside a listed range; ``ranges`` has ``cidr`` and ``label``.
 
     An ip is in a range exactly when its first ``prefix`` bits equal the range's, so the range
-    join is an equality join on (prefix length, network). Every ip is offered once per prefix
-    length in use, at most 33 times. Without a table nothing is listed.
+    join is an equality join on (prefix length, network), with every ip offered once per
+    prefix length. Short prefixes have few networks, which are broadcast; a network of a longer
+    prefix has less than 2 ** 20 ips. Without a table nothing is listed.
     """
-    addresses = (
-        entries.select("source_ip").distinct()
-        .withColumn("_ip", ip_number(F.col("source_ip")))
-        .where(F.col("_ip").isNotNull())
-    )
+    addresses = entries.select("source_ip").distinct().selectExpr("source_ip", f"{ip_number('source_ip')} AS _ip")
+    addresses = addresses.where("_ip IS NOT NULL")
     if ranges is None:
-        return addresses.where(F.lit(False)).select(
-            "source_ip", F.lit(None).cast("string").alias("cidr"), F.lit(None).cast("string").alias("label")
+        return addresses.where("false").selectExpr(
+            "source_ip", "CAST(NULL AS STRING) AS cidr", "CAST(NULL AS STRING) AS label"
         )
-    parts = F.split("cidr", "/")
-    nets = (
-        ranges.withColumn("_prefix", F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(32)))
-        .withColumn("_size", F.pow(F.lit(2), 32 - F.col("_prefix")).cast("bigint"))
-        .withColumn("_net", F.floor(ip_number(F.get(parts, F.lit(0))) / F.col("_size")))
-        .select("cidr", "label", "_prefix", "_net")
-    )
-    offered = (
-        addresses.withColumn("_prefix", F.explode(F.sequence(F.lit(0), F.lit(32))))
-        .withColumn("_net", F.floor(F.col("_ip") / F.pow(F.lit(2), 32 - F.col("_prefix")).cast("bigint")))
+    networks = (
+        ranges.selectExpr(
+            "cidr", "label", "coalesce(CAST(get(split(cidr, '/'), 1) AS INT), 32) AS _prefix",
+            f"{ip_number(BASE)} AS _base",
+        )
+        .selectExpr("cidr", "label", "_prefix", f"{_network('_base', '_prefix')} AS _net")
+        .groupBy("_prefix", "_net")
+        .agg(F.collect_set(F.struct("cidr", "label")).alias("_listed"))
     )
-    return offered.join(nets, ["_prefix", "_net"]).select("source_ip", "cidr", "label")
+    coarse = F.broadcast(networks.where(f"_prefix <= {COARSE}"))
+    fine = networks.where(f"_prefix > {COARSE}")
+    found = [
+        addresses.selectExpr("source_ip", "_ip", f"explode(sequence({first}, {last})) AS _prefix")
+        .selectExpr("source_ip", "_prefix", f"{_network('_ip', '_prefix')} AS _net")
+        .join(listed, ["_prefix", "_net"])
+        for first, last, listed in ((0, COARSE, coarse), (COARSE + 1, 32, fine))
+    ]
+    return found[0].unionByName(found[1]).selectExpr("source_ip", "inline(_listed)")

@@ -33,9 +33,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Used where several consumers would otherwise repeat an expensive scan (the signature
     matching). The copy survives the loss of executors and carries its true size, so
-    the optimizer picks broadcast or shuffle joins on it from facts.
+    the optimizer picks broadcast or shuffle joins on it from facts. What is left of a big scan
+    is small and unevenly spread; rebalancing writes it in files of a sensible size instead
+    of one per scan task.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.hint("rebalance").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
