@@ -70,7 +70,7 @@ def pair_totals(outcomes: DataFrame) -> DataFrame:
     return (
         outcomes.groupBy(*PAIR)
         .agg(
-            F.expr("count_if(is_failure) AS failures"),
+            F.expr("count(CASE WHEN is_failure THEN 1 END) AS failures"),
             F.expr("max(CASE WHEN is_failure THEN ts END) AS last_failure"),
             F.expr("max(CASE WHEN is_success AND named THEN ts END) AS last_success"),
             F.expr("bool_or(is_failure AND named) AS named_account"),

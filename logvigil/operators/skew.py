@@ -20,14 +20,18 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, ro
     """
     values = [c for c in per_key.columns if c not in keys]
     key_sql = [f"`{k}`" for k in keys]
-    packed = per_key.selectExpr(*key_sql, f"struct({', '.join(f'`{v}`' for v in values)}) AS _v")
+    # Null keys match nothing. Dropping them first leaves both uses below the same aggregation,
+    # so Spark computes it once and reuses the exchange.
+    packed = per_key.where(" AND ".join(f"{k} IS NOT NULL" for k in key_sql)).selectExpr(
+        *key_sql, f"struct({', '.join(f'`{v}`' for v in values)}) AS _v"
+    )
     hot = packed.orderBy(F.desc(f"_v.{weight}"), *keys).limit(HOT_KEYS).withColumnRenamed("_v", "_hot")
     off_shuffle = " OR ".join(["_hot IS NOT NULL", *[f"{k} IS NULL" for k in key_sql]])
     salt = f"CASE WHEN {off_shuffle} THEN 1 + CAST(pmod(xxhash64({', '.join(row_id)}), {SPREAD}) AS INT) ELSE 0 END"
     tagged = rows.join(F.broadcast(hot), keys, "left").selectExpr("*", f"{salt} AS _salt")
     # Always 0, but not a constant to the optimizer: it would turn a constant into a filter on the
     # other side and take the salt out of the partitioning.
-    zero = f"CAST(pmod(xxhash64({', '.join(key_sql)}), 1) AS INT)"
+    zero = f"coalesce(CAST(pmod(xxhash64({', '.join(key_sql)}), 1) AS INT), 0)"
     cold = packed.selectExpr(*key_sql, f"{zero} AS _salt", "_v AS _cold")
     found = tagged.join(cold, [*keys, "_salt"], "left")
     return found.selectExpr(
