@@ -339,6 +339,16 @@ def trailing_failures(entries: DataFrame, config: AuthConfig = AuthConfig()) ->
     )
 
 
+def any_window(entries: DataFrame, config: AuthConfig = AuthConfig()) -> DataFrame:
+    """Pairs over the threshold in any window, not only the one that ends with the last failure."""
+    return (
+        trailing_failures(entries, config)
+        .groupBy(*PAIR)
+        .agg(F.expr("max(trailing_count) AS most_attempts"))
+        .where(f"most_attempts >= {config.failed_attempts}")
+    )
+
+
 def online_alerts(counted: DataFrame, config: AuthConfig = AuthConfig()) -> DataFrame:
     """Alerts of the one-record-at-a-time form: every failure from the threshold on.
 

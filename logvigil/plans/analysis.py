@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logvigil.operators import reports
@@ -16,7 +16,8 @@ from logvigil.operators.geo import GeoConfig, geo_alerts
 from logvigil.operators.temporal import TemporalConfig, temporal_alerts
 from logvigil.operators.web import sql_injection_alerts, traversal_alerts, web_matches, xss_alerts
 from logvigil.schema import ALERT_TYPES, ddl
-from logvigil.session import stage
+from logvigil.session import stage, stage_entries
+from logvigil.sources.ingest import Parsed, parse_logs
 
 BUILT_IN = ("brute_force", "sql_injection", "xss", "directory_traversal", "temporal_anomaly", "geo_anomaly")
 
@@ -136,3 +137,16 @@ def analyze(
         found = stage(found, "alerts")
     correlated = correlate(found)
     return Analysis(entries, found, correlated, deduplicate(correlated))
+
+
+def analyze_logs(
+    spark: SparkSession,
+    paths: str | list[str],
+    settings: Settings = Settings(),
+    geo: DataFrame | None = None,
+    **parsing,
+) -> tuple[Analysis, Parsed]:
+    """From files to alerts. The files are parsed once; ``parsing`` goes to ``parse_logs``."""
+    parsed = parse_logs(spark, paths, **parsing)
+    entries = stage_entries(parsed.entries)
+    return analyze(entries, settings, geo), replace(parsed, entries=entries)

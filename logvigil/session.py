@@ -41,3 +41,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.hint("rebalance").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_entries(entries: DataFrame) -> DataFrame:
+    """Write parsed entries once, a folder per log type, and read them back.
+
+    For entries parsed from text: the detectors read them several times, and what looks at web
+    logs only then reads only those folders. Tasks write where they are; nothing is shuffled.
+    """
+    spark = entries.sparkSession
+    path = f"{shared_dir(spark)}/entries-{uuid.uuid4().hex}"
+    entries.write.partitionBy("log_type").parquet(path)
+    return spark.read.schema(entries.schema).parquet(path).select(*entries.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from logvigil.functions.lines import (
     bsd_clock, extract, emit, groups, iso_clock, iso_zone, lookup, optional, zone_minutes,
 )
+from logvigil.functions.payload import bind
 
 # Facility and severity names by code.
 FACILITIES = dict(
@@ -65,10 +66,11 @@ def message_ip(message: str) -> str:
 
 def message_user(message: str) -> str:
     """The first user the patterns find; placeholders make way for the next pattern."""
-    names = [extract(message, "(?i)" + p) for p in USER_PATTERNS]
-    return "coalesce(" + ", ".join(
-        f"CASE WHEN lower({n}) NOT IN ('unknown', 'invalid', '(unknown)') THEN {n} END" for n in names
-    ) + ")"
+    names = [
+        bind("u", extract(message, "(?i)" + p), "CASE WHEN lower(u) NOT IN ('unknown', 'invalid', '(unknown)') THEN u END")
+        for p in USER_PATTERNS
+    ]
+    return f"coalesce({', '.join(names)})"
 
 
 def matched_5424(line: str) -> str:

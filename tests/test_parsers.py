@@ -3,6 +3,8 @@ from datetime import datetime
 
 import pytest
 
+from logvigil.operators import web
+from logvigil.plans.analysis import analyze_logs
 from logvigil.sources import apache, auth, ingest, nginx, syslog, windows
 
 NOW = datetime(2024, 6, 1)
@@ -152,6 +154,17 @@ def test_hints_and_recursion(spark, folder):
         ingest.parse_logs(spark, str(folder), fmt="nothing")
 
 
+def test_files_to_alerts(spark, folder):
+    lines = "".join(f"Jan 15 10:23:{n:02d} server sshd[1]: Failed password for admin from 1.2.3.4 port 22 ssh2\n" for n in range(20))
+    (folder / "secure").write_text(lines)
+    hints = {str(folder / "secure"): "auth"}
+    result, parsed = analyze_logs(spark, str(folder), hints=hints, now=NOW, year=2024)
+    (alert,) = result.alerts.collect()
+    assert (alert.threat_type, alert.source_ip, alert.target, alert.level) == ("brute_force", "1.2.3.4", "admin", "MEDIUM")
+    assert parsed.entries.count() == 53
+    assert "PartitionFilters: [log_type" in web.web_matches(parsed.entries)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scan_numbers_lines_along_the_file(spark, tmp_path):
     (tmp_path / "a.log").write_text("".join(f"line {n}\n" for n in range(5000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")

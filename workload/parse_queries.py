@@ -453,6 +453,18 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "export_entries",
+    f"""SELECT {_ISO.replace('ts', 'ts_local')} AS timestamp, source_ip, user_name, action, CAST(status_code AS VARCHAR) AS status_code, message, log_type,
+  substr(sha256(strftime(ts_local, '%Y-%m-%d %H:%M:%S') || CASE WHEN epoch_us(ts_local) % 1000000 = 0 THEN ''
+  ELSE strftime(ts_local, '.%f') END || source_ip || message || raw_line), 1, 16) AS entry_hash FROM ({O.AUTH_DUCK})""",
+)
+def export_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = sinks.as_json(sinks.entry_records(auth_entries(spark, sf_dir)))
+    names = ["timestamp", "source_ip", "action", "status_code", "message", "log_type", "entry_hash"]
+    return texts.selectExpr(*[f"get_json_object(json, '$.{c}') AS {c}" for c in names], "get_json_object(json, '$.user') AS user_name")
+
+
 def server_errors(entries: DataFrame) -> DataFrame:
     """An example of a user's own detector: ips with server errors."""
     return (

@@ -129,6 +129,17 @@ def trailing_failure_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("line_seq", "source_ip", "account", F.col("trailing_count").cast("bigint"))
 
 
+@register(
+    "brute_force_any_window",
+    O.over(
+        O.AUTH_E, f"{O.PAIRS},{O.TRAILING}",
+        "SELECT source_ip, account, max(trailing_count) AS most_attempts FROM trailed GROUP BY ALL HAVING max(trailing_count) >= 5",
+    ),
+)
+def brute_force_any_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return auth.any_window(auth_entries(spark, sf_dir), AUTH).withColumn("most_attempts", F.col("most_attempts").cast("bigint"))
+
+
 ONLINE_BRUTE_FORCE = O.over(
     O.AUTH_E, f"{O.PAIRS},{O.TRAILING}", f"SELECT {O.ALERT_TABLE}, line_seq, span_minutes FROM online"
 )
