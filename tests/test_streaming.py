@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import timedelta
 
@@ -32,6 +33,8 @@ def history(spark, entries_of, tmp_path_factory):
     source = tmp_path_factory.mktemp("source")
     for part, name in enumerate(files):
         (source / f"{part}.parquet").write_bytes(open(name, "rb").read())
+        # The source takes files by age.
+        os.utime(source / f"{part}.parquet", (1_700_000_000 + 60 * part,) * 2)
     batch = entries_of(rows)
 
     def stream():
