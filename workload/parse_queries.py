@@ -18,7 +18,7 @@ from logvigil.session import stage
 from logvigil.sources import apache, auth as auth_logs, ingest, nginx, sinks, syslog, windows
 from workload import oracle as O
 from workload.adapters import _DUCK, _SPARK, auth_entries, table, web_entries
-from workload.queries import AUTH, MAIN, register
+from workload.queries import AUTH, register
 
 NOW = datetime(2024, 6, 1)
 NOW_DUCK = "TIMESTAMP '2024-06-01 00:00:00'"

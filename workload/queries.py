@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvigil.operators import auth, correlate, geo, reports, reputation, temporal, web
+from logvigil.operators import auth, geo, reports, reputation, temporal, web
 from logvigil.operators.auth import AuthConfig
 from logvigil.plans.analysis import Settings, analyze
-from logvigil.sources import sinks
 from workload import oracle as O
 from workload.adapters import WINDOW_MINUTES, all_entries, auth_entries, geo_table, table, web_entries
 
