@@ -192,8 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     sample = training_sample(labels, label_col, sample_rows, id_col)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")
-    rows = texts.mapInArrow(features, f"_id {kind}, _label int, buckets array<int>")
-    found = rows.groupBy(F.lit(0)).applyInPandas(fitted, "weights binary, ratios binary, head array<double>").collect()
+    rows = texts.mapInArrow(features, f"_id {kind}, _label int, buckets array<int>").withColumn("_all", F.lit(0))
+    found = rows.groupBy("_all").applyInPandas(fitted, "weights binary, ratios binary, head array<double>").collect()
     if not found:
         return fit([], np.empty(0, np.int64))
     weights, ratios = (np.frombuffer(bytes(found[0][c]), np.float32) for c in ("weights", "ratios"))
