@@ -215,17 +215,17 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.where("doc_id IS NOT NULL")
     hashed = known.select("doc_id", word_hashes(F.col("text")).alias("hashes"))
-    keyed = known.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    keyed = stage(known.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")), "keys")
     same = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = stage(keyed.join(same, ["k1", "k2"]).where("doc_id > first").select("doc_id").distinct(), "copies")
-    found = hashed.where(F.size("hashes") >= WINDOW).mapInArrow(_anchor_rows, "anchor bigint, doc_id bigint, start int, count int")
+    found = stage(hashed.mapInArrow(_anchor_rows, "anchor bigint, doc_id bigint, start int, count int"), "anchors")
     per_anchor = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = found.join(per_anchor.where("low < high").select("anchor"), "anchor")
     per_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     live = stage(per_doc.join(copies, "doc_id", "left_anti"), "live")
     held = stage(known.join(live, "doc_id"), "held")
     texts = held.select("doc_id", "spans", word_hashes(F.col("text")).alias("hashes"))
-    windows = texts.mapInArrow(_window_rows, "w1 bigint, w2 int, doc_id bigint, start int")
+    windows = stage(texts.mapInArrow(_window_rows, "w1 bigint, w2 int, doc_id bigint, start int"), "windows")
     lowest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     hits = windows.join(lowest.select("w1", "w2", "low"), ["w1", "w2"]).where("doc_id > low").select("doc_id", "start")
     return hits, held.select("doc_id", "text"), copies

@@ -10,7 +10,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 def words(text: Column) -> Column:
     """Runs of other characters than ASCII white space; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
 
 
 def word_hashes(text: Column) -> Column:
