@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +15,17 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests, laptops)."""
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    fallback = tempfile.mkdtemp(prefix="logvigil-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return configured.rstrip("/")
+
+
+def ensure_shared_dir(spark: SparkSession) -> None:
+    """For entry points: where no shared folder is set, use one in the warehouse, which is shared by its nature."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
