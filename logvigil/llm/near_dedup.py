@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from logvigil.llm.components import components
 from logvigil.llm.words import word_hashes
-from logvigil.session import stage
+from logvigil.llm.scratch import Scratch
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 24, 4  # a pair at 0.8 shares no band with probability 0.5904^24, 3 in a million
 REGISTERS = BANDS * BAND_ROWS
 CENTERS = 2
+ESTIMATE_SLACK = 0.18  # pairs whose estimate is this far below the threshold (over four standard errors) are not verified
 BLOCK_ROWS, BLOCK_WORDS = 512, 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0xD1342543DE82EF95, k, 1 << 64) for k in range(64)], np.uint64)
@@ -102,13 +103,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = np.tile(band, (len(table), 1))
             for k in range(BAND_ROWS):
                 keys = mix(keys * _MULTIPLIER + table[:, k::BAND_ROWS][:, :BANDS])
+            short = np.ascontiguousarray(table & np.uint64(0xFFFFFFFF)).astype("<u4")
             rows = np.arange(len(table) + 1, dtype=np.int32) * BANDS
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in ("doc_id", "k1", "k2")],
                     pa.ListArray.from_arrays(pa.array(rows), pa.array(keys.ravel().view(np.int64))),
+                    pa.array([r.tobytes() for r in short], pa.binary()),
                 ],
-                ["doc_id", "k1", "k2", "bands"],
+                ["doc_id", "k1", "k2", "bands", "signature"],
             )
 
 
@@ -178,6 +181,17 @@ def _apart(similarity: float):
     return compare
 
 
+def _likely(least: float):
+    """Pairs whose signatures agree in a share of ``least`` registers."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, REGISTERS) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array((left == right).mean(axis=1) >= least))
+
+    return keep
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a, b`` whose texts are similar enough. Texts meet by equi-joins; a frequent ``b`` is split by adaptive execution."""
     left = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").withColumnRenamed("text", "ta")
@@ -194,7 +208,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     ``similarity``; classes are what links connect. Equal word sequences (``copies`` of them) are one text from the start and are never
     paired. Texts that share a band are candidates:
 
-    1. every text of a bucket is verified against ``CENTERS`` texts of the bucket, the lowest by as many hashes;
+    1. every text of a bucket is paired with ``CENTERS`` texts of the bucket, the lowest by as many hashes; pairs whose signatures
+       do not rule it out are verified;
     2. in buckets whose texts are still of different classes, every text outside the bucket's largest class is compared with all others of
        the bucket, in blocks, over an index of their shingles: only links are written, no pair is.
 
@@ -203,11 +218,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     ``links`` counts the verified links of the text. Texts under five words are one shingle; null, empty and blank texts are
     classes of their own. Rows with equal ids count as one document; a null id is given its text's class, or null.
     """
+    scratch = Scratch(docs.sparkSession)
+    stage = scratch.stage
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     hashed = rows.select("doc_id", word_hashes(F.lower("text")).alias("hashes")).select(
         "doc_id", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(1), "hashes").alias("k2"), "hashes"
     )
-    kinds = "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>"
+    kinds = "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, signature binary"
     signed = stage(hashed.where(F.size("hashes") > 0).mapInArrow(_sign, kinds), "signatures")
     classes = stage(
         signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "texts"
@@ -217,10 +234,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     lowest = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))) for k in range(CENTERS)]
     buckets = banded.groupBy("key").agg(F.array_distinct(F.array(*lowest)).alias("centers"), F.count("*").alias("n")).where("n > 1")
     members = stage(banded.join(buckets, "key"), "buckets")
-    texts = rows.where("doc_id IS NOT NULL")
     pairs = members.select(F.col("doc_id").alias("a"), F.explode("centers").alias("b")).where("a <> b")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stage(_verified(pairs, texts, similarity), "stars")
+    signs = first.select("doc_id", "signature")
+    for side in ("a", "b"):
+        pairs = pairs.join(signs.withColumnsRenamed({"doc_id": side, "signature": f"s{side}"}), side)
+    likely = stage(pairs.mapInArrow(_likely(similarity - ESTIMATE_SLACK), "a bigint, b bigint"), "likely")
+    # the texts that may be looked at, fetched once
+    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.where("n > 2").select("doc_id"))
+    needed = stage(needed.distinct(), "needed")
+    texts = stage(rows.join(needed, "doc_id"), "candidates")
+    links = stage(_verified(likely, texts, similarity), "stars")
     roots = stage(components(links), "roots")
     placed = members.where("n > 2").select("key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left")
     placed = placed.select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
@@ -229,9 +253,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     )
     apart = stage(placed.join(mixed.where("classes > 1"), "key"), "apart")
     if not apart.isEmpty():
-        needed = apart.select("doc_id").distinct()
-        texts_apart = texts.join(needed, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-        with_text = apart.join(stage(texts_apart.select("doc_id", word_hashes(F.lower("text")).alias("hashes")), "apart_texts"), "doc_id")
+        # 32 bits of each word's hash are enough inside a bucket and halve what is moved
+        narrow = F.transform(word_hashes(F.lower("text")), lambda h: F.shiftright(h, 32).cast("int"))
+        with_text = apart.join(texts.groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", narrow.alias("hashes")), "doc_id")
         width = apart.select(F.col("n"), "key").distinct()
         words = with_text.groupBy("key").agg(F.sum(F.size("hashes")).alias("words"))
         n_blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logvigil.llm.near_dedup import _lists, mix
+from logvigil.llm.scratch import Scratch
 from logvigil.llm.words import word_hashes, words
-from logvigil.session import stage
 
 WINDOW = 13
 ROUNDS = 2
@@ -200,9 +200,9 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(hits, held, copies)``: ``doc_id, start`` of windows that begin in a document with a smaller id too; the texts they
-    can be in; and ``doc_id`` of whole copies (same text, at least one window, not the smallest id).
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``doc_id, starts`` of the windows that begin in a document with a smaller id too, and ``doc_id`` of whole copies
+    (same text, not the smallest id), which are not in the first table.
 
     1. Every document is parsed by ``ROUNDS`` rounds: runs of a word, then left-right pairs of symbols, become one symbol. A name is
        a hash of what it stands for, so all tasks give equal things equal names without a shuffle. Every window has one anchor among
@@ -215,20 +215,24 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.where("doc_id IS NOT NULL")
     hashed = known.select("doc_id", word_hashes(F.col("text")).alias("hashes"))
-    keyed = stage(known.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")), "keys")
+    scratch = Scratch(docs.sparkSession)
+    keyed = scratch.stage(known.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")), "keys")
     same = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = stage(keyed.join(same, ["k1", "k2"]).where("doc_id > first").select("doc_id").distinct(), "copies")
-    found = stage(hashed.mapInArrow(_anchor_rows, "anchor bigint, doc_id bigint, start int, count int"), "anchors")
+    copies = scratch.stage(keyed.join(same, ["k1", "k2"]).where("doc_id > first").select("doc_id").distinct(), "copies")
+    found = scratch.stage(hashed.mapInArrow(_anchor_rows, "anchor bigint, doc_id bigint, start int, count int"), "anchors")
     per_anchor = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = found.join(per_anchor.where("low < high").select("anchor"), "anchor")
     per_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    live = stage(per_doc.join(copies, "doc_id", "left_anti"), "live")
-    held = stage(known.join(live, "doc_id"), "held")
-    texts = held.select("doc_id", "spans", word_hashes(F.col("text")).alias("hashes"))
-    windows = stage(texts.mapInArrow(_window_rows, "w1 bigint, w2 int, doc_id bigint, start int"), "windows")
+    live = scratch.stage(per_doc.join(copies, "doc_id", "left_anti"), "live")
+    scratch.drop(keyed, found)
+    texts = known.join(live, "doc_id").select("doc_id", "spans", word_hashes(F.col("text")).alias("hashes"))
+    windows = scratch.stage(texts.mapInArrow(_window_rows, "w1 bigint, w2 int, doc_id bigint, start int"), "windows")
+    scratch.drop(live)
     lowest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    hits = windows.join(lowest.select("w1", "w2", "low"), ["w1", "w2"]).where("doc_id > low").select("doc_id", "start")
-    return hits, held.select("doc_id", "text"), copies
+    hits = windows.join(lowest.select("w1", "w2", "low"), ["w1", "w2"]).where("doc_id > low")
+    per_doc = scratch.stage(hits.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "hits")
+    scratch.drop(windows)
+    return per_doc, copies
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,10 +242,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are runs of anything but ASCII white space, unchanged. Texts under 13 words lose nothing; null texts have no words. Rows
     with equal ids are one document to each other and keep their own words; a null id neither gives nor loses.
     """
-    hits, _, copies = repeated_windows(docs, id_col, text_col)
+    hits, copies = repeated_windows(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    per_doc = stage(hits.distinct().groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "hits")
-    marks = per_doc.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>"))).groupBy("doc_id").agg(
+    marks = hits.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>"))).groupBy("doc_id").agg(
         F.first("starts", ignorenulls=True).alias("starts"), F.lit(True).alias("_marked")
     )
     both = rows.join(marks, "doc_id", "left").withColumn("words", words(F.col("text"))).withColumn("n_words", F.size("words").cast("bigint"))
