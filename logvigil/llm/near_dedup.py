@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         "doc_id", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(1), "hashes").alias("k2"), "hashes"
     )
     kinds = "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, signature binary"
-    signed = stage(hashed.where(F.size("hashes") > 0).mapInArrow(_sign, kinds), "signatures")
+    signed = stage(hashed.where(F.size("hashes") > 0).mapInArrow(_sign, kinds), "signatures", even=False)
     classes = stage(
         signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "texts"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from logvigil import session
@@ -14,9 +16,12 @@ class Scratch:
         self.spark = spark
         self.path: dict[int, str] = {}
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
-        held = session.stage(df, name)
-        self.path[id(held)] = held.inputFiles()[0].rsplit("/", 1)[0] if held.inputFiles() else ""
+    def stage(self, df: DataFrame, name: str, even: bool = True) -> DataFrame:
+        """Write a frame once and read it back; ``even`` deals the rows out anew, for what is unevenly left of a scan."""
+        path = f"{session.shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        (df.hint("rebalance") if even else df).write.parquet(path)
+        held = self.spark.read.schema(df.schema).parquet(path)
+        self.path[id(held)] = path
         self._collect()
         return held
 

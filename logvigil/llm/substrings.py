@@ -219,16 +219,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = scratch.stage(known.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")), "keys")
     same = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = scratch.stage(keyed.join(same, ["k1", "k2"]).where("doc_id > first").select("doc_id").distinct(), "copies")
-    found = scratch.stage(hashed.mapInArrow(_anchor_rows, "anchor bigint, doc_id bigint, start int, count int"), "anchors")
+    found = scratch.stage(hashed.mapInArrow(_anchor_rows, "anchor bigint, doc_id bigint, start int, count int"), "anchors", even=False)
     per_anchor = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = found.join(per_anchor.where("low < high").select("anchor"), "anchor")
     per_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     live = scratch.stage(per_doc.join(copies, "doc_id", "left_anti"), "live")
     scratch.drop(keyed, found)
     texts = known.join(live, "doc_id").select("doc_id", "spans", word_hashes(F.col("text")).alias("hashes"))
-    windows = scratch.stage(texts.mapInArrow(_window_rows, "w1 bigint, w2 int, doc_id bigint, start int"), "windows")
+    windows = scratch.stage(texts.mapInArrow(_window_rows, "w1 bigint, w2 int, doc_id bigint, start int"), "windows", even=False)
     scratch.drop(live)
-    lowest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    lowest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
     hits = windows.join(lowest.select("w1", "w2", "low"), ["w1", "w2"]).where("doc_id > low")
     per_doc = scratch.stage(hits.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "hits")
     scratch.drop(windows)
