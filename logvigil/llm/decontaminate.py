@@ -72,12 +72,14 @@ def contamination(
     texts = rows.join(hits, "doc_id").select("doc_id", word_hashes(F.lower("text")).alias("hashes"), "hits")
     aligned = texts.withColumn("hit", F.explode("hits")).select("doc_id", "hashes", "hit.*").join(items, "item_id")
     same = aligned.withColumn(
-        "same", F.expr("transform(item, (w, j) -> CAST(position + j >= 0 AND w <=> get(hashes, greatest(position + j, 0)) AS INT))")
+        # a window must lie in the text: places outside spoil every sum
+        "same", F.expr("transform(item, (w, j) -> CASE WHEN position + j BETWEEN 0 AND size(hashes) - 1 "
+        "THEN CAST(w <=> get(hashes, greatest(position + j, 0)) AS INT) ELSE -100 END)")
     ).select("doc_id", "item_id", "position", "same")
     window = f"transform(sequence(0, size(same) - {WINDOW}), k -> aggregate(slice(same, k + 1, {WINDOW}), 0, (a, x) -> a + x))"
     best = F.when(F.size("same") >= WINDOW, F.expr(f"CASE WHEN size(same) >= {WINDOW} THEN array_max({window}) END") >= WINDOW - SUBSTITUTIONS)
     right = best.otherwise(F.array_min("same") == 1)
-    matched = F.aggregate("same", F.lit(0), lambda a, x: a + x)
+    matched = F.size(F.filter("same", lambda x: x == 1))
     verified = same.where(right).select("doc_id", "item_id", "position", matched.alias("matched"), F.size("same").alias("item_words"))
     pick = F.min(F.struct((-F.col("matched")).alias("m"), "position"))
     return verified.groupBy("doc_id", "item_id", "item_words").agg(pick.alias("_best")).select(

@@ -82,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _REPEATS = """
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), s AS (
   SELECT doc_id, words, unnest(range(len(words) - 12)) AS i FROM w WHERE len(words) >= 13
 ), g AS (
