@@ -75,12 +75,21 @@ def path_text(text: str) -> str:
     return f"replace(replace({url_decode(text, 5, keep_plus=True)}, '\\\\', '/'), '\\0', '')"
 
 
+# The same matches without trying every pair of places again: where the first "where", the first "and" or "or" after it and the
+# first end of a statement after that are not there, no later choice finds one either, so the choices need not be kept.
+_STEADY = {
+    r"\bwhere\b.*?\b(?:and|or)\b.*?(?:--|#|/\*)": r"\bwhere\b(?>.*?\b(?:and|or)\b)(?>.*?(?:--|#|/\*))",
+    r"(?:and|or).*?(?:sleep|benchmark)\s*\(": r"(?:and|or)(?>.*?(?:sleep|benchmark)\s*\()",
+    r"(?:%00|\\0).*?(?:select|union|drop)": r"(?:%00|\\0)(?>.*?(?:select|union|drop))",
+}
+
+
 def _pattern(pattern: str) -> str:
-    return literal(FLAGS + pattern)
+    return literal(FLAGS + _STEADY.get(pattern, pattern))
 
 
 def _any(patterns: list[str]) -> str:
-    return literal(FLAGS + "|".join(f"(?:{p})" for p in patterns))
+    return literal(FLAGS + "|".join(f"(?:{_STEADY.get(p, p)})" for p in patterns))
 
 
 def _flat(by_severity: dict[str, list[str]]) -> list[tuple[str, str, str]]:

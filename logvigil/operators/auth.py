@@ -30,7 +30,7 @@ class AuthConfig:
     window_minutes: int = 10
     stuffing_users: int = 3
     distributed_ips: int = 10
-    evidence: int = 10  # 0 leaves evidence out
+    evidence: int = 10
     samples: int = 20
 
     @property
@@ -287,20 +287,17 @@ def auth_alerts(
     if staged:
         outcomes = stage(outcomes, "login-outcomes")
     alerts = with_time_span(grouped_attempts(outcomes, config, kinds))
-    if config.evidence > 0:
-        found = _evidence_for(kinds, outcomes, config)
-        alerts = alerts.join(
-            found,
-            F.col("source_ip").eqNullSafe(F.col("_source_ip")) & F.col("account").eqNullSafe(F.col("_account")),
-            "left",
-        ).drop("_source_ip", "_account")
-    else:
-        alerts = alerts.withColumn("evidence", F.lit(None))
+    found = _evidence_for(kinds, outcomes, config)
+    alerts = alerts.join(
+        found,
+        F.col("source_ip").eqNullSafe(F.col("_source_ip")) & F.col("account").eqNullSafe(F.col("_account")),
+        "left",
+    ).drop("_source_ip", "_account")
     for kind, key, member in (
         ("credential_stuffing", "source_ip", "account"),
         ("distributed_brute_force", "account", "source_ip"),
     ):
-        if kind in kinds and config.samples > 0:
+        if kind in kinds:
             samples = _samples(outcomes, key, member, config.samples)
             alerts = alerts.join(
                 samples, (F.col("threat_type") == kind) & (F.col(key) == F.col(f"_{key}")), "left"

@@ -90,12 +90,19 @@ def recommendations(alerts: DataFrame, limit: int = 15) -> DataFrame:
     )
 
 
-def detector_stats(alerts: DataFrame) -> DataFrame:
-    """Alerts per detector and level (meant for the alerts after correlation, before de-duplication)."""
-    return alerts.groupBy("detector").agg(
+def detector_stats(alerts: DataFrame, detectors: list[str] | None = None) -> DataFrame:
+    """Alerts per detector and level (meant for the alerts after correlation, before de-duplication).
+
+    With a list of detectors there is a row for each of them, also for those without alerts.
+    """
+    counted = alerts.groupBy("detector").agg(
         F.count(F.lit(1)).alias("total_alerts"),
         *[F.count_if(F.col("level") == name).alias(name.lower()) for name in LEVEL_VALUES],
     )
+    if detectors is None:
+        return counted
+    every = alerts.sparkSession.createDataFrame([(name,) for name in detectors], "detector string")
+    return every.join(counted, "detector", "left").na.fill(0)
 
 
 def summary(alerts: DataFrame) -> DataFrame:

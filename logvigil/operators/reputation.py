@@ -30,7 +30,8 @@ def ip_reputation(entries: DataFrame, ranges: DataFrame | None) -> DataFrame:
     An ip is in a range exactly when its first ``prefix`` bits equal the range's, so the range
     join is an equality join on (prefix length, network), with every ip offered once per
     prefix length. Short prefixes have few networks, which are broadcast; a network of a longer
-    prefix has less than 2 ** 20 ips. Without a table nothing is listed.
+    prefix has less than 2 ** 20 ips. Without a table nothing is listed. Ranges that are no IPv4 network list nothing; see
+    :func:`bad_ranges`.
     """
     addresses = entries.select("source_ip").distinct().selectExpr("source_ip", f"{ip_number('source_ip')} AS _ip")
     addresses = addresses.where("_ip IS NOT NULL")
@@ -40,9 +41,10 @@ def ip_reputation(entries: DataFrame, ranges: DataFrame | None) -> DataFrame:
         )
     networks = (
         ranges.selectExpr(
-            "cidr", "label", "coalesce(CAST(get(split(cidr, '/'), 1) AS INT), 32) AS _prefix",
+            "cidr", "label", "CASE WHEN contains(cidr, '/') THEN try_cast(get(split(cidr, '/'), 1) AS INT) ELSE 32 END AS _prefix",
             f"{ip_number(BASE)} AS _base",
         )
+        .where("_prefix BETWEEN 0 AND 32 AND _base IS NOT NULL")
         .selectExpr("cidr", "label", "_prefix", f"{_network('_base', '_prefix')} AS _net")
         .groupBy("_prefix", "_net")
         .agg(F.collect_set(F.struct("cidr", "label")).alias("_listed"))
@@ -56,3 +58,9 @@ def ip_reputation(entries: DataFrame, ranges: DataFrame | None) -> DataFrame:
         for first, last, listed in ((0, COARSE, coarse), (COARSE + 1, 32, fine))
     ]
     return found[0].unionByName(found[1]).selectExpr("source_ip", "inline(_listed)")
+
+
+def bad_ranges(ranges: DataFrame) -> DataFrame:
+    """The rows of ``ranges`` that :func:`ip_reputation` cannot use: malformed, or not IPv4."""
+    prefix = "CASE WHEN contains(cidr, '/') THEN try_cast(get(split(cidr, '/'), 1) AS INT) ELSE 32 END"
+    return ranges.where(f"NOT coalesce({prefix} BETWEEN 0 AND 32 AND ({ip_number(BASE)}) IS NOT NULL, false)")

@@ -101,6 +101,7 @@ class Analysis:
     found: DataFrame
     correlated: DataFrame
     alerts: DataFrame
+    detectors: tuple[str, ...] = ()
 
     def ranked(self) -> DataFrame:
         return ranked(self.alerts)
@@ -115,8 +116,8 @@ class Analysis:
         return reports.summary(self.alerts)
 
     def detector_stats(self) -> DataFrame:
-        """Alerts per detector before de-duplication, with the entries every detector saw."""
-        counted = reports.detector_stats(self.correlated)
+        """Alerts per enabled detector before de-duplication, with the entries every detector saw."""
+        counted = reports.detector_stats(self.correlated, list(self.detectors) or None)
         seen = self.entries.agg(F.count(F.lit(1)).alias("n"))
         return counted.withColumn("entries_analyzed", seen.scalar())
 
@@ -136,7 +137,8 @@ def analyze(
     if staged:
         found = stage(found, "alerts")
     correlated = correlate(found)
-    return Analysis(entries, found, correlated, deduplicate(correlated))
+    names = settings.detectors if settings.detectors is not None else (*BUILT_IN, *settings.custom)
+    return Analysis(entries, found, correlated, deduplicate(correlated), tuple(names))
 
 
 def analyze_logs(

@@ -14,19 +14,20 @@ from logvigil.functions.payload import bind
 # Facility and severity names by code.
 FACILITIES = dict(
     enumerate(
-        "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp security console solaris-cron "
-        "local0 local1 local2 local3 local4 local5 local6 local7".split()
+        ["kern", "user", "mail", "daemon", "auth", "syslog", "lpr", "news", "uucp", "cron", "authpriv", "ftp", "ntp", "security",
+         "console", "solaris-cron", "local0", "local1", "local2", "local3", "local4", "local5", "local6", "local7"]
     )
-)
-SEVERITIES = dict(enumerate("emergency alert critical error warning notice info debug".split()))
+)
+SEVERITIES = dict(enumerate(["emergency", "alert", "critical", "error", "warning", "notice", "info", "debug"]))
 
 # Fixed values. RFC 3164: priority, time, host, process, pid, message.
 RFC3164 = (
     r"^(?:<(\d{1,3})>)?(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s*(.*)$"
 )
-# RFC 5424: priority, version, time, host, app, procid, msgid, structured data, message.
+# RFC 5424: priority, version, time, host, app, procid, msgid, structured data, message. The possessive group over elements
+# without a closing bracket matches what a lazy one would and does not recurse, however many elements a line has.
 RFC5424 = (
-    r"^<(\d{1,3})>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+((?:\[.*?\])*|-)\s*(.*)$"
+    r"^<(\d{1,3})>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+((?:\[[^\]]*\])*+|-)\s*(.*)$"
 )
 # Minimal: time, host, message.
 SIMPLE = r"^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(.*)$"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql.streaming.state import GroupState
@@ -21,31 +22,31 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def count_failures(width: int):
-    """State: the distinct times in the window and how many failures each has."""
+    """State: the distinct times that later rows can still need and how many failures each has.
+
+    A row counts the failures known so far in the ``width`` before it, whatever order rows come in; times are
+    given up once the watermark has left them behind by ``width``.
+    """
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times, counts = (list(part) for part in state.get) if state.exists else ([], [])
+        times, counts = (np.array(part, np.int64) for part in (state.get if state.exists else ([], [])))
         rows = _in_order(batches)
-        totals, firsts = [], []
-        start, live = 0, sum(counts)
-        for us in rows["us"]:
-            us = int(us)
-            while start < len(times) and times[start] < us - width:
-                live -= counts[start]
-                start += 1
-            if len(times) > start and times[-1] == us:
-                counts[-1] += 1
-            else:
-                times.append(us)
-                counts.append(1)
-            live += 1
-            totals.append(live)
-            firsts.append(times[start])
-        state.update((times[start:], counts[start:]))
-        state.setTimeoutTimestamp(max(times[-1] + width, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
+        us = rows["us"].to_numpy(np.int64)
+        before = np.concatenate(([0], np.cumsum(counts)))
+        low, high = np.searchsorted(times, us - width), np.searchsorted(times, us, side="right")
+        own = np.searchsorted(us, us - width)
+        totals = before[high] - before[low] + np.arange(len(us)) - own + 1
+        oldest = np.append(times, np.iinfo(np.int64).max)[low]
+        firsts = np.where(low < high, np.minimum(oldest, us[own]), us[own])
+        known, place = np.unique(np.concatenate((times, us)), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate((counts, np.ones(len(us))))).astype(np.int64)
+        watermark = state.getCurrentWatermarkMs() * 1000
+        live = known >= min(watermark, int(known[-1])) - width
+        state.update((known[live].tolist(), total[live].tolist()))
+        state.setTimeoutTimestamp(max(int(known[-1]) + width, watermark) // 1000 + 1)
         yield rows.drop(columns="event_time").assign(trailing_count=totals, first_us=firsts)
 
     return handle

@@ -133,5 +133,5 @@ def test_failed_words_count_in_any_log(entries_of):
 
 def test_only_requested_kinds(entries_of):
     rows = [failure("1.1.1.1", u, i) for u in "abc" for i in range(6)]
-    found = by_type(auth.auth_alerts(entries_of(rows), AuthConfig(evidence=0, samples=0), ("credential_stuffing",)))
+    found = by_type(auth.auth_alerts(entries_of(rows), AuthConfig(), ("credential_stuffing",)))
     assert set(found) == {"credential_stuffing"}

@@ -69,14 +69,14 @@ def web_entries(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     return conform_entries(spark.sql(WEB_SQL.format(pages="{pages}", **_SPARK), pages=pages))
 
 
-# A geo table over the ips of the login log: nation i places ip 10.0.0.i.
+# A geo table: nations 0 to 13 place ips of the login log, two of whose ips stay unplaced; the others place ips that never log in.
 GEO_SQL = """
-SELECT concat('10.0.0.', CAST(n_nationkey AS {string})) AS ip, n_name AS country,
+SELECT concat(CASE WHEN n_nationkey < 14 THEN '10.0.0.' ELSE '10.9.0.' END, CAST(n_nationkey AS {string})) AS ip, n_name AS country,
   CASE n_nationkey WHEN 4 THEN 'RU' WHEN 9 THEN 'CN' ELSE concat('N', CAST(n_nationkey % 12 AS {string})) END AS country_code,
   concat('city', CAST(n_nationkey AS {string})) AS city,
   CAST(n_nationkey * 7 - 60 AS DOUBLE) AS latitude, CAST(n_nationkey * 13 - 160 AS DOUBLE) AS longitude,
   n_nationkey IN (5, 3) AS is_vpn, n_nationkey = 3 AS is_tor, n_nationkey IN (7, 5) AS is_proxy
-FROM {nation} WHERE n_nationkey < 14
+FROM {nation}
 """
 
 GEO_DUCK = GEO_SQL.format(nation="nation", **_DUCK)

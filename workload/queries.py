@@ -20,7 +20,6 @@ ORACLES: dict[str, str] = {}
 
 AUTH = AuthConfig(window_minutes=WINDOW_MINUTES)
 # Report tables need neither evidence nor samples.
-LEAN = AuthConfig(window_minutes=WINDOW_MINUTES, evidence=0, samples=0)
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -388,13 +387,10 @@ def ip_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- the whole analysis -------------------------------------------------------------------
 
 EVERY = list(O.PARTS)
-MAIN = [d for d in EVERY if d != "geo_anomaly"]
 
 
-def _analysis(spark: SparkSession, sf_dir: str, detectors: list[str] = MAIN, lean: bool = True):
-    settings = Settings(detectors=tuple(detectors), auth=LEAN if lean else AUTH)
-    places = geo_table(spark, sf_dir) if "geo_anomaly" in detectors else None
-    return analyze(all_entries(spark, sf_dir), settings, places)
+def _analysis(spark: SparkSession, sf_dir: str):
+    return analyze(all_entries(spark, sf_dir), Settings(detectors=tuple(EVERY), auth=AUTH), geo_table(spark, sf_dir))
 
 
 _MORE = ", coordinated_attack, attack_vectors"
@@ -403,26 +399,22 @@ _MORE_SPARK = ("coordinated_attack", "array_join(attack_vectors, ',') AS attack_
 
 @register("analysis", O.with_alerts(O.ALL_E, EVERY, f"SELECT {O.ALERT_TABLE}{_MORE} FROM alerts"))
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alert_table(_analysis(spark, sf_dir, EVERY, lean=False).ranked(), *_MORE_SPARK)
+    return alert_table(_analysis(spark, sf_dir).ranked(), *_MORE_SPARK)
 
 
-_NO_EVIDENCE = "CASE WHEN detector = 'brute_force' THEN 0 ELSE evidence_count END"
-_LEAN_TABLE = O.ALERT_TABLE.replace("CAST(evidence_count AS INTEGER)", f"CAST({_NO_EVIDENCE} AS INTEGER)")
-
-
-@register("correlated_alerts", O.with_alerts(O.ALL_E, MAIN, f"SELECT {_LEAN_TABLE}{_MORE} FROM correlated"))
+@register("correlated_alerts", O.with_alerts(O.ALL_E, EVERY, f"SELECT {O.ALERT_TABLE}{_MORE} FROM correlated"))
 def correlated_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alert_table(_analysis(spark, sf_dir).correlated, *_MORE_SPARK)
 
 
-@register("dedup_alerts", O.with_alerts(O.ALL_E, MAIN, f"SELECT {_LEAN_TABLE}{_MORE} FROM alerts"))
+@register("dedup_alerts", O.with_alerts(O.ALL_E, EVERY, f"SELECT {O.ALERT_TABLE}{_MORE} FROM alerts"))
 def dedup_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alert_table(_analysis(spark, sf_dir).alerts, *_MORE_SPARK)
 
 
 @register(
     "min_severity",
-    O.with_alerts(O.ALL_E, MAIN, "SELECT threat_type, source_ip, count(*) AS alerts FROM alerts WHERE level_value >= 5 GROUP BY ALL"),
+    O.with_alerts(O.ALL_E, EVERY, "SELECT threat_type, source_ip, count(*) AS alerts FROM alerts WHERE level_value >= 5 GROUP BY ALL"),
 )
 def min_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysis(spark, sf_dir).at_least("CRITICAL").groupBy("threat_type", "source_ip").agg(F.expr("count(*) AS alerts"))
@@ -435,7 +427,7 @@ _SUMMARY = f"""SELECT l.level, CAST(l.level_value AS INTEGER) AS level_value,
   (SELECT count(*) FROM alerts WHERE alerts.level_value = l.level_value) AS alerts FROM {_LEVELS}"""
 
 
-@register("severity_summary", O.with_alerts(O.ALL_E, MAIN, _SUMMARY))
+@register("severity_summary", O.with_alerts(O.ALL_E, EVERY, _SUMMARY))
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.severity_summary(_analysis(spark, sf_dir).alerts)
 
@@ -443,7 +435,7 @@ def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "severity_distribution",
     O.with_alerts(
-        O.ALL_E, MAIN,
+        O.ALL_E, EVERY,
         f"SELECT level, level_value, alerts, round(alerts / greatest(sum(alerts) OVER (), 1) * 100, 6) AS percent, "
         f"CAST(floor(alerts / greatest(sum(alerts) OVER (), 1) * 100 / 2) AS INTEGER) AS bar FROM ({_SUMMARY})",
     ),
@@ -452,12 +444,12 @@ def severity_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.severity_distribution(_analysis(spark, sf_dir).alerts).withColumn("percent", F.round("percent", 6))
 
 
-@register("type_summary", O.with_alerts(O.ALL_E, MAIN, "SELECT threat_type, count(*) AS alerts FROM alerts GROUP BY ALL"))
+@register("type_summary", O.with_alerts(O.ALL_E, EVERY, "SELECT threat_type, count(*) AS alerts FROM alerts GROUP BY ALL"))
 def type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.type_summary(_analysis(spark, sf_dir).alerts)
 
 
-@register("level_summary", O.with_alerts(O.ALL_E, MAIN, f"SELECT {O.LEVEL} AS level, count(*) AS alerts FROM alerts GROUP BY ALL"))
+@register("level_summary", O.with_alerts(O.ALL_E, EVERY, f"SELECT {O.LEVEL} AS level, count(*) AS alerts FROM alerts GROUP BY ALL"))
 def level_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.level_summary(_analysis(spark, sf_dir).alerts)
 
@@ -465,7 +457,7 @@ def level_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "top_threats",
     O.with_alerts(
-        O.ALL_E, MAIN,
+        O.ALL_E, EVERY,
         "SELECT threat_type, count(*) AS alerts FROM alerts GROUP BY ALL ORDER BY alerts DESC, threat_type LIMIT 10",
     ),
 )
@@ -476,7 +468,7 @@ def top_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "top_attackers",
     O.with_alerts(
-        O.ALL_E, MAIN,
+        O.ALL_E, EVERY,
         "SELECT source_ip, count(*) AS alerts FROM alerts WHERE source_ip <> '' GROUP BY ALL ORDER BY alerts DESC, source_ip LIMIT 10",
     ),
 )
@@ -486,7 +478,7 @@ def top_attackers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "top_alerts",
-    O.with_alerts(O.ALL_E, MAIN, f"SELECT {_LEAN_TABLE} FROM (SELECT * FROM alerts ORDER BY level_value DESC, ts, {O.ORDER} LIMIT 50)"),
+    O.with_alerts(O.ALL_E, EVERY, f"SELECT {O.ALERT_TABLE} FROM (SELECT * FROM alerts ORDER BY level_value DESC, ts, {O.ORDER} LIMIT 50)"),
 )
 def top_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alert_table(reports.top_alerts(_analysis(spark, sf_dir).alerts))
@@ -495,8 +487,8 @@ def top_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "top_alerts_per_level",
     O.with_alerts(
-        O.ALL_E, MAIN,
-        f"""SELECT {_LEAN_TABLE}, CAST(place AS INTEGER) AS place, not_shown FROM (SELECT *,
+        O.ALL_E, EVERY,
+        f"""SELECT {O.ALERT_TABLE}, CAST(place AS INTEGER) AS place, not_shown FROM (SELECT *,
   row_number() OVER (PARTITION BY level_value ORDER BY ts, {O.ORDER}) AS place,
   greatest(count(*) OVER (PARTITION BY level_value) - 15, 0) AS not_shown FROM alerts WHERE level_value >= 3)
 WHERE place <= 15""",
@@ -509,7 +501,7 @@ def top_alerts_per_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "recommendations",
     O.with_alerts(
-        O.ALL_E, MAIN, "SELECT DISTINCT unnest(advice) AS recommendation FROM alerts ORDER BY recommendation LIMIT 15"
+        O.ALL_E, EVERY, "SELECT DISTINCT unnest(advice) AS recommendation FROM alerts ORDER BY recommendation LIMIT 15"
     ),
 )
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,7 +517,7 @@ _BY_LEVEL = ", ".join(
 @register(
     "engine_totals",
     O.with_alerts(
-        O.ALL_E, MAIN,
+        O.ALL_E, EVERY,
         f"""SELECT (SELECT count(*) FROM e) AS total_entries,
   (SELECT count(DISTINCT source_ip) FROM e WHERE source_ip <> '') AS unique_source_ips,
   (SELECT strftime(min(ts), {O.STAMP}) FROM e) AS first_ts, (SELECT strftime(max(ts), {O.STAMP}) FROM e) AS last_ts,
@@ -543,7 +535,7 @@ def engine_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "engine_summary",
     O.with_alerts(
-        O.ALL_E, MAIN,
+        O.ALL_E, EVERY,
         f"""SELECT count(*) AS total_alerts, {_BY_LEVEL},
   count(DISTINCT CASE WHEN source_ip <> '' THEN source_ip END) AS unique_attackers,
   array_to_string(list_sort(list(DISTINCT threat_type)), ',') AS attack_types,
@@ -557,9 +549,9 @@ def engine_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "detector_stats",
     O.with_alerts(
-        O.ALL_E, MAIN,
-        f"SELECT detector, count(*) AS total_alerts, {_BY_LEVEL}, (SELECT count(*) FROM e) AS entries_analyzed "
-        "FROM correlated GROUP BY detector",
+        O.ALL_E, EVERY,
+        f"SELECT d.detector, count(c.detector) AS total_alerts, {_BY_LEVEL}, (SELECT count(*) FROM e) AS entries_analyzed "
+        f"FROM (SELECT unnest({EVERY!r}) AS detector) d LEFT JOIN correlated c ON c.detector = d.detector GROUP BY d.detector",
     ),
 )
 def detector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
