@@ -56,7 +56,7 @@ def write_token_files(
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(encode, f"doc_id {kind}, n_tokens bigint, ids array<int>")
         .write.option("parquet.writer.version", "PARQUET_2_0")
