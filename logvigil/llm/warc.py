@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,25 +112,65 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def reachable(nodes: DataFrame) -> DataFrame:
-    """``file, off`` of the nodes ``file, off, succ`` on the chain from offset 0, by pointer jumping.
+def _leads_to(off: np.ndarray, succ: np.ndarray) -> np.ndarray:
+    """For ascending offsets: the row each row's successor is, or the row itself where the successor lies elsewhere."""
+    at = np.searchsorted(off, succ)
+    found = off[np.minimum(at, len(off) - 1)] == succ
+    return np.where(found, at, np.arange(len(off)))
 
-    Every round doubles the jump: after k rounds the first 2^k records of every file are known and ``jump`` leads 2^k records
-    on. A round is two equi-joins over distinct keys, so nothing is skewed, and its tables are written to the shared folder.
-    """
-    jump = stage(nodes.where("off >= 0 AND succ > off").select("file", "off", "succ"), "jump")
+
+def _leave(split: pd.DataFrame) -> pd.DataFrame:
+    """Adds ``leave``: where the chain from a candidate first leaves the split, by pointer jumping inside it."""
+    split = split.sort_values("off")
+    jump = _leads_to(split["off"].to_numpy(), split["succ"].to_numpy())
+    while (jump != (jump := jump[jump])).any():
+        pass
+    return split.assign(leave=split["succ"].to_numpy()[jump])
+
+
+def _passed(split: pd.DataFrame) -> pd.DataFrame:
+    """The candidates on the chain that enters the split at ``gate``."""
+    split = split.sort_values("off")
+    off = split["off"].to_numpy()
+    jump = _leads_to(off, split["succ"].to_numpy())
+    on = off == split["gate"].to_numpy()
+    reached = 0
+    while reached < (reached := on.sum()):
+        on[jump[on]] = True
+        jump = jump[jump]
+    return split.loc[on, ["file", "off"]]
+
+
+def _jump_on(gates: DataFrame) -> DataFrame:
+    """``file, off`` of what is reached from offset 0 over ``file, off, leave``; every round doubles the jump."""
+    jump = gates.select("file", "off", "leave")
     reach = jump.where("off = 0").select("file", "off")
-    while True:
-        step = reach.join(jump, ["file", "off"]).select("file", F.col("succ").alias("off"))
+    while not jump.isEmpty():
+        step = reach.join(jump, ["file", "off"]).select("file", F.col("leave").alias("off"))
         reach = stage(reach.unionAll(step), "reach")
-        on = jump.select("file", F.col("off").alias("succ"), F.col("succ").alias("_next"))
-        jump = stage(jump.join(on, ["file", "succ"]).select("file", "off", F.col("_next").alias("succ")), "jump")
-        if jump.isEmpty():
-            break
-    # one step more than there are records: the end of the file is no record
+        on = jump.select("file", F.col("off").alias("leave"), F.col("leave").alias("_next"))
+        jump = stage(jump.join(on, ["file", "leave"]).select("file", "off", F.col("_next").alias("leave")), "jump")
     return reach
 
 
+def reachable(nodes: DataFrame) -> DataFrame:
+    """``file, off`` of the nodes ``file, block, off, succ`` on the chain from offset 0, by pointer jumping on two levels.
+
+    Inside a split, which one task holds as two numbers a candidate, the jumps are doubled in memory; that tells where each candidate's
+    chain leaves the split. A gate is a candidate that a chain from another split arrives at, or a file's start; gates are a few a split. Joins double
+    the jumps between gates, in as many rounds as a file's splits have binary digits. At last each split that is entered marks what its gate leads
+    to; a chain enters a split once at most, as offsets only grow.
+    """
+    valid = nodes.where("off >= 0 AND succ > off").select("file", "block", "off", "succ")
+    chains = stage(valid.groupBy("file", "block").applyInPandas(_leave, "file string, block bigint, off bigint, succ bigint, leave bigint"), "chains")
+    arrivals = chains.select("file", F.col("leave").alias("off")).distinct()
+    arrived = chains.join(arrivals, ["file", "off"], "left_semi").where("off > 0")
+    gates = stage(chains.where("off = 0").unionByName(arrived).select("file", "block", "off", "leave"), "gates")
+    entered = gates.join(_jump_on(gates), ["file", "off"]).select("file", "block", F.col("off").alias("gate"))
+    held = chains.select("file", "block", "off", "succ").join(entered, ["file", "block"])
+    return held.groupBy("file", "block").applyInPandas(_passed, "file string, off bigint")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of all files: ``file, off, header, length, sha256`` (of the body).
 
@@ -137,7 +179,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     header ends its file's chain there.
     """
     found = stage(candidates(spark, path), "candidates")
-    chain = reachable(found)
+    chain = stage(reachable(found), "chain")
     known = found.join(chain.withColumn("_on", F.lit(True)), ["file", "off"], "left").withColumn("_on", F.col("_on") & F.col("succ").isNotNull())
     records = known.where("_on").select("file", "off", "header", "length", "head", "sha256")
     whole = records.where("sha256 IS NOT NULL")
