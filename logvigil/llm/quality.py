@@ -97,16 +97,15 @@ def log_count_ratios(rows: list[np.ndarray], label: np.ndarray, smooth: float =
 def fit_margin(rows: list[np.ndarray], label: np.ndarray, cost: float = 1.0, epochs: int = 8, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
     """Ratios, coefficients and bias of the hinge-loss model, by dual coordinate descent over unit-length rows."""
     ratios = log_count_ratios(rows, label)
-    values = [ratios[b] for b in rows]
-    values = [v / n if (n := np.sqrt(v @ v)) else v for v in values]
+    norm = np.array([np.sqrt(v @ v) or 1.0 for v in (ratios[b] for b in rows)])
     sign = np.where(label > 0, 1.0, -1.0)
     share = np.clip(np.array([(sign < 0).mean(), (sign > 0).mean()]), 1e-9, None)
     limit = cost * np.where(sign > 0, 0.5 / share[1], 0.5 / share[0])  # both classes weigh the same
     coef, bias, alpha, random = np.zeros(BUCKETS), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
-    square = np.array([v @ v for v in values]) + 1.0
+    square = np.array([v @ v for v in (ratios[b] / n for b, n in zip(rows, norm, strict=True))]) + 1.0
     for _ in range(epochs):
         for k in random.permutation(len(rows)):
-            b, v = rows[k], values[k]
+            v = ratios[b := rows[k]] / norm[k]  # made anew: the values of all rows would take three times the memory of the rows
             gradient = sign[k] * (coef[b] @ v + bias) - 1
             new = min(max(alpha[k] - gradient / square[k], 0.0), limit[k])
             if new != alpha[k]:
