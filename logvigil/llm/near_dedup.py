@@ -21,6 +21,7 @@ REGISTERS = BANDS * BAND_ROWS
 CENTERS = 2
 ESTIMATE_SLACK = 0.18  # pairs whose estimate is this far below the threshold (over four standard errors) are not verified
 BLOCK_ROWS, BLOCK_WORDS = 512, 500_000
+SLICE_WORDS = 200_000  # words that are signed at once, one text at least
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0xD1342543DE82EF95, k, 1 << 64) for k in range(64)], np.uint64)
 
@@ -97,8 +98,11 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     band = np.arange(BANDS, dtype=np.uint64)
     for whole in batches:
-        for lo in range(0, whole.num_rows, 512):
-            batch = whole.slice(lo, 512)
+        total = np.r_[0, np.cumsum([len(h) for h in _lists(whole.column("hashes"))])]
+        # about as many words a slice, whatever the lengths; a longer text is a slice of its own
+        cuts = np.flatnonzero(np.diff(total[1:] // SLICE_WORDS, prepend=-1))
+        for lo, hi in zip(cuts, np.r_[cuts[1:], whole.num_rows], strict=True):
+            batch = whole.slice(lo, hi - lo)
             table = signatures([shingles(h) for h in _lists(batch.column("hashes"))])
             keys = np.tile(band, (len(table), 1))
             for k in range(BAND_ROWS):
