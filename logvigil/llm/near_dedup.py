@@ -101,7 +101,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.r_[0, np.cumsum([len(h) for h in _lists(whole.column("hashes"))])]
         # about as many words a slice, whatever the lengths; a longer text is a slice of its own
         cuts = np.flatnonzero(np.diff(total[1:] // SLICE_WORDS, prepend=-1))
-        for lo, hi in zip(cuts, np.r_[cuts[1:], whole.num_rows], strict=True):
+        for lo, hi in zip(cuts, [*cuts[1:], whole.num_rows], strict=False):  # a batch without rows has no cuts
             batch = whole.slice(lo, hi - lo)
             table = signatures([shingles(h) for h in _lists(batch.column("hashes"))])
             keys = np.tile(band, (len(table), 1))
