@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logvigil.llm.near_dedup import _lists, mix
@@ -17,6 +17,7 @@ from logvigil.llm.words import word_hashes, words
 WINDOW = 13
 ROUNDS = 2
 BATCH_WORDS = 400_000
+KEYS = ("doc_id", "k1", "k2")  # what names a row: the id, where texts share an id also two hashes of the text
 _PAIR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _STEP = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -137,6 +138,12 @@ def _flat(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([*lists, np.empty(0, np.uint64)]), np.repeat(np.arange(len(lists)), sizes), np.cumsum(sizes) - sizes
 
 
+def _keys_at(part: pa.RecordBatch, rows: np.ndarray) -> tuple[list[pa.Array], list[str]]:
+    """The columns of ``KEYS`` that a slice has, at the given rows."""
+    names = [k for k in KEYS if k in part.schema.names]
+    return [part.column(k).take(pa.array(rows)) for k in names], names
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _groups(batch, "hashes"):
@@ -147,10 +154,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             long = np.diff(np.r_[first, len(best)])
             real = best[first] != 0
             first, long = first[real], long[real]
-            doc = part.column("doc_id").take(pa.array(owner[first]))
+            key, names = _keys_at(part, owner[first])
             start = pa.array((first - begins[owner[first]]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(best[first].view(np.int64)), doc, start, pa.array(long.astype(np.int32))], ["anchor", "doc_id", "start", "count"]
+                [pa.array(best[first].view(np.int64)), *key, start, pa.array(long.astype(np.int32))], ["anchor", *names, "start", "count"]
             )
 
 
@@ -176,8 +183,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
             owner = np.repeat(owner, count)
             w1, w2 = window_digests(word, at + begins[owner])
-            doc = part.column("doc_id").take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), doc, pa.array(at.astype(np.int32))], ["w1", "w2", "doc_id", "start"])
+            key, names = _keys_at(part, owner)
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), *key, pa.array(at.astype(np.int32))], ["w1", "w2", *names, "start"])
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +207,15 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _text_hashes() -> dict[str, Column]:
+    text = F.coalesce("text", F.lit(""))
+    return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``doc_id, starts`` of the windows that begin in a document with a smaller id too, and ``doc_id`` of whole copies
-    (same text, not the smallest id), which are not in the first table.
+    """Row key and ``starts`` of the windows that begin in a document with a smaller id too, and row keys of whole copies
+    (same text, not the smallest id), which are not in the first table. The key is ``doc_id``; if any id has several texts,
+    it is ``doc_id, k1, k2`` with two hashes of the text, so that each text has windows and marks of its own.
 
     1. Every document is parsed by ``ROUNDS`` rounds: runs of a word, then left-right pairs of symbols, become one symbol. A name is
        a hash of what it stands for, so all tasks give equal things equal names without a shuffle. Every window has one anchor among
@@ -214,23 +227,28 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.where("doc_id IS NOT NULL")
-    hashed = known.select("doc_id", word_hashes(F.col("text")).alias("hashes"))
     scratch = Scratch(docs.sparkSession)
-    keyed = scratch.stage(known.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")), "keys")
+    keyed = scratch.stage(known.select("doc_id", *[h.alias(k) for k, h in _text_hashes().items()]), "keys")
+    differ = keyed.groupBy("doc_id").agg(*[(F.min(k) != F.max(k)).alias(k) for k in ("k1", "k2")]).where("k1 OR k2")
+    keys = ["doc_id"] if differ.isEmpty() else [*KEYS]
+    if len(keys) > 1:
+        known = known.withColumns(_text_hashes())
+    kinds = ", ".join(f"{k} bigint" for k in keys)
+    hashed = known.select(*keys, word_hashes(F.col("text")).alias("hashes"))
     same = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = scratch.stage(keyed.join(same, ["k1", "k2"]).where("doc_id > first").select("doc_id").distinct(), "copies")
-    found = scratch.stage(hashed.mapInArrow(_anchor_rows, "anchor bigint, doc_id bigint, start int, count int"), "anchors", even=False)
+    copies = scratch.stage(keyed.join(same, ["k1", "k2"]).where("doc_id > first").select(*keys).distinct(), "copies")
+    found = scratch.stage(hashed.mapInArrow(_anchor_rows, f"anchor bigint, {kinds}, start int, count int"), "anchors", even=False)
     per_anchor = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = found.join(per_anchor.where("low < high").select("anchor"), "anchor")
-    per_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    live = scratch.stage(per_doc.join(copies, "doc_id", "left_anti"), "live")
+    per_doc = shared.groupBy(*keys).agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    live = scratch.stage(per_doc.join(copies, keys, "left_anti"), "live")
     scratch.drop(keyed, found)
-    texts = known.join(live, "doc_id").select("doc_id", "spans", word_hashes(F.col("text")).alias("hashes"))
-    windows = scratch.stage(texts.mapInArrow(_window_rows, "w1 bigint, w2 int, doc_id bigint, start int"), "windows", even=False)
+    texts = known.join(live, keys).select(*keys, "spans", word_hashes(F.col("text")).alias("hashes"))
+    windows = scratch.stage(texts.mapInArrow(_window_rows, f"w1 bigint, w2 int, {kinds}, start int"), "windows", even=False)
     scratch.drop(live)
     lowest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
     hits = windows.join(lowest.select("w1", "w2", "low"), ["w1", "w2"]).where("doc_id > low")
-    per_doc = scratch.stage(hits.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "hits")
+    per_doc = scratch.stage(hits.groupBy(*keys).agg(F.collect_set("start").alias("starts")), "hits")
     scratch.drop(windows)
     return per_doc, copies
 
@@ -244,10 +262,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     hits, copies = repeated_windows(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = hits.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>"))).groupBy("doc_id").agg(
+    keys = copies.columns
+    if len(keys) > 1:
+        rows = rows.withColumns(_text_hashes())
+    marks = hits.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>"))).groupBy(*keys).agg(
         F.first("starts", ignorenulls=True).alias("starts"), F.lit(True).alias("_marked")
     )
-    both = rows.join(marks, "doc_id", "left").withColumn("words", words(F.col("text"))).withColumn("n_words", F.size("words").cast("bigint"))
+    both = rows.join(marks, keys, "left").withColumn("words", words(F.col("text"))).withColumn("n_words", F.size("words").cast("bigint"))
     some = both.where("starts IS NOT NULL").select("doc_id", "n_words", "words", "starts")
     cut = some.mapInArrow(_rest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     whole = F.col("_marked").isNotNull() & (F.col("n_words") >= WINDOW)

@@ -122,6 +122,26 @@ def test_repeats_against_all_windows(spark, vocabulary):
     assert remove_repeats(table.where("false")).count() == 0
 
 
+def test_repeats_of_rows_with_equal_ids(spark):
+    a, b, c = words(40, 501), words(45, 502), words(30, 503)
+    rows = [
+        (1, a), (5, a), (5, b), (5, b), (5, c + a[5:25]), (5, a[:14]), (5, words(3, 504)), (6, b[10:30] + c), (7, words(20, 505) + c), (7, b), (7, None),
+    ]
+    lowest = {}
+    for i, word in sorted(rows, key=lambda r: r[0]):
+        for k in range(len(word or []) - 12):
+            lowest.setdefault(tuple(word[k : k + 13]), i)
+    want = []
+    for i, word in rows:
+        word = word or []
+        under = {k + j for k in range(len(word) - 12) if lowest[tuple(word[k : k + 13])] < i for j in range(13)}
+        kept = " ".join(w for k, w in enumerate(word) if k not in under)
+        want.append((i, len(word), len(under), hashlib.sha256(kept.encode()).hexdigest()))
+    table = spark.createDataFrame([(i, None if w is None else " ".join(w), "x") for i, w in rows], DOC).repartition(4)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(table).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_contamination(spark):
     item, short = words(30, 77), words(7, 78)
     changed = list(item)
