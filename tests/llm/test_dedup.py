@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from logvigil.llm.components import components
-from logvigil.llm.decontaminate import contamination, decontaminate
+from logvigil.llm.decontaminate import contamination, decontaminate, unsought
 from logvigil.llm.near_dedup import Postings, near_duplicates, probability_jaccard, shingles, signatures
 from logvigil.llm.substrings import anchors, remove_repeats
 
@@ -160,3 +160,21 @@ def test_contamination(spark):
     kept = [r.doc_id for r in decontaminate(docs, bench).collect()]
     assert sorted(kept, key=str) == sorted([4, 6, 7, 8, 9, 10, None], key=str)
     assert contamination(docs.where("false"), bench).count() == contamination(docs, bench.where("false")).count() == 0
+
+
+def test_contamination_by_short_items(spark):
+    items = {n: words(n, 600 + n) for n in range(1, 14)}
+    rows, want = [], []
+    for n, item in items.items():
+        for places in [(), *[(k,) for k in range(n)], (0, n - 1)]:
+            text = words(20, 700 + len(rows)) + ["other" if k in places else w for k, w in enumerate(item)] + words(9, 900 + len(rows))
+            allowed = 2 if n >= 13 else 1 if n >= 8 else 0
+            if n >= 5 and len(set(places)) <= allowed:
+                want.append((len(rows), n, 20, n - len(set(places)), n))
+            rows.append((len(rows), " ".join(text), "x"))
+        for edge in (item[1:], item[:-1]):  # a word that is missing is no substitution
+            rows.append((len(rows), " ".join(edge), "x"))
+    bench = spark.createDataFrame([*[(n, " ".join(w)) for n, w in items.items()], (20, None)], "item_id bigint, text string")
+    got = contamination(spark.createDataFrame(rows, DOC), bench).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, unsought(bench).collect())) == [(1, 1), (2, 2), (3, 3), (4, 4), (20, 0)]
