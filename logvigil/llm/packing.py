@@ -140,7 +140,7 @@ def pack_documents(
     """All documents as pieces in sequences: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ...``.
 
     A piece's segments count 1; its loss-bearing tokens (``loss_tokens`` column) are all but a document's first, which
-    nothing predicts. The pieces are written once to the shared folder, as encoding is the costly step.
+    nothing predicts. By default their limit is the capacity, which never binds. The pieces are written once to the shared folder, as encoding is the costly step.
     """
     pieces = token_pieces(docs, tokenizer, end_id, capacity).withColumns(
         {"segments": F.lit(1).cast("bigint"), "loss_tokens": F.col("length") - (F.col("start") == 0).cast("bigint")}
