@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     So no link between two classes is lost, and within a class none is needed.
 
-    ``links`` counts the verified links of the text. Texts under five words are one shingle; null, empty and blank texts are
+    ``links`` counts only the links of the text that were verified on the way to the classes. It is a lower bound of the text's near
+    duplicates and depends on the buckets: links within a class mostly show at its centers alone. Texts under five words are one shingle; null, empty and blank texts are
     classes of their own. Rows with equal ids count as one document; a null id is given its text's class, or null.
     """
     scratch = Scratch(docs.sparkSession)
