@@ -59,7 +59,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-ORACLE_SQL = None  # SQL cannot express the classifier or the tokenizer; tests/llm holds the stages against brute force
+ORACLE_SQL = None  # SQL cannot express the classifier or the tokenizer; tests/llm/test_pipeline.py holds run() against a plain model
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
