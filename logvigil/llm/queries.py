@@ -8,6 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from logvigil.llm.alignment import align_tokenizers
 from logvigil.llm.decontaminate import contamination
 from logvigil.llm.near_dedup import near_duplicates
 from logvigil.llm.neighbours import nearest
@@ -21,6 +22,7 @@ from logvigil.llm.warc import round_trip
 from logvigil.session import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER, PIECE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PACK_END, FILE_END = 1, 2
 
 
@@ -72,11 +74,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_probminhash, op2_projected_neighbours, op3_vector_packing, op4_spaced_seeds, op5_linked_secrets, op6_nbsvm_quality,
-        op7_token_files, op8_recompression, op9_warc_chain, op10_token_counts,
+        op7_token_files, op8_recompression, op9_warc_chain, op10_token_counts, op11_diagonal_runs,
     )
 }
 
