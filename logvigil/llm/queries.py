@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logvigil.llm.alignment import align_tokenizers
 from logvigil.llm.decontaminate import contamination
+from logvigil.llm.html_text import extract_text
 from logvigil.llm.near_dedup import near_duplicates
 from logvigil.llm.neighbours import nearest
 from logvigil.llm.packing import pack_documents
@@ -78,11 +79,16 @@ def op11_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
 
 
+def op12_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_probminhash, op2_projected_neighbours, op3_vector_packing, op4_spaced_seeds, op5_linked_secrets, op6_nbsvm_quality,
         op7_token_files, op8_recompression, op9_warc_chain, op10_token_counts, op11_diagonal_runs,
+        op12_tree_scoring,
     )
 }
 
