@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from logvigil.llm.alignment import align_tokenizers
+from logvigil.llm.collocations import collocations
 from logvigil.llm.decontaminate import contamination
 from logvigil.llm.html_text import extract_text
 from logvigil.llm.near_dedup import near_duplicates
@@ -83,12 +84,16 @@ def op12_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op13_de_bruijn_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_probminhash, op2_projected_neighbours, op3_vector_packing, op4_spaced_seeds, op5_linked_secrets, op6_nbsvm_quality,
         op7_token_files, op8_recompression, op9_warc_chain, op10_token_counts, op11_diagonal_runs,
-        op12_tree_scoring,
+        op12_tree_scoring, op13_de_bruijn_phrases,
     )
 }
 
@@ -125,4 +130,41 @@ SELECT page_id, n AS payload_bytes, sha256(body) AS payload_digest,
 FROM p
 """
 
-ORACLES = {"op8_recompression": _REPEATS, "op9_warc_chain": _WARC}
+_PHRASES = """
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), p AS (
+  SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM p
+), s AS (
+  SELECT lang, words, unnest(range(len(words))) AS i FROM w
+), f AS (
+  SELECT lang, k, array_to_string(words[i + 1:i + k], ' ') AS phrase, count(*) AS n
+  FROM s, range(1, 4) r(k) WHERE i + k <= len(words) GROUP BY ALL
+), total AS (
+  SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), often AS MATERIALIZED (
+  SELECT lang, k, phrase, n, string_split(phrase, ' ') AS words FROM f WHERE n >= 10
+), inner_ AS (
+  SELECT c.lang, c.phrase FROM often c JOIN (
+    SELECT lang, words[1] || ' ' || words[2] AS part, n FROM often WHERE k = 3
+    UNION ALL SELECT lang, words[2] || ' ' || words[3], n FROM often WHERE k = 3
+  ) longer ON c.lang = longer.lang AND c.phrase = longer.part WHERE 100 * longer.n >= 50 * c.n
+), parts AS MATERIALIZED (
+  SELECT lang, phrase, n AS a, j AS cut, array_to_string(words[1:j], ' ') AS head, array_to_string(words[j + 1:], ' ') AS rest
+  FROM often, range(1, 3) q(j) WHERE j < k
+), cut AS (
+  SELECT parts.lang, parts.phrase, a, cut, x.n AS l, y.n AS r, (1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n) AS score
+  FROM parts JOIN often x ON x.lang = parts.lang AND x.phrase = head JOIN often y ON y.lang = parts.lang AND y.phrase = rest
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), ranked AS (
+  SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+  FROM best ANTI JOIN inner_ ON best.lang = inner_.lang AND best.phrase = inner_.phrase
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op13_de_bruijn_phrases": _PHRASES, "op8_recompression": _REPEATS, "op9_warc_chain": _WARC}
