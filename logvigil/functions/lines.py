@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -107,30 +108,68 @@ def now_text(now: datetime | None) -> str:
     return "current_timestamp()" if now is None else f"TIMESTAMP '{now:%Y-%m-%d %H:%M:%S.%f}'"
 
 
-def emit(
-    df: DataFrame, ok: str, fields: dict[str, str], clock: str, zone_min: str = "NULL", now: datetime | None = None
-) -> DataFrame:
-    """Entries from SQL texts per column, a wall clock (or null) and minutes east of UTC (or null).
+@dataclass(frozen=True)
+class LineParser:
+    """How the lines of a format become entries, as SQL texts.
 
-    A line for which ``ok`` does not hold gives no entry. A line without a readable time gets
-    ``now`` and is marked. Every line is parsed exactly once: the entry leaves through a
-    generator, below which no later filter can be pushed to repeat the parsing.
+    ``steps`` are projections, one behind the other, that add columns under names no other parser uses; ``ok`` tells whether a
+    line is an entry, ``fields`` give its columns, ``clock`` its wall clock (or null), ``zone`` minutes east of UTC (or null).
     """
-    struct = ", ".join(
-        f"'{name}', CAST({text} AS {ENTRY_TYPES[name]})"
-        for name, text in {"file_path": "file_path", "line_seq": "line_seq", "raw_line": "line", **fields}.items()
-    )
-    entries = df.selectExpr(
+
+    name: str
+    steps: tuple[dict[str, str], ...]
+    ok: str
+    fields: dict[str, str]
+    clock: str
+    zone: str = "NULL"
+
+
+# What a parser may say of an entry; the rest follows from the line.
+_FIELDS = [
+    "source_ip", "user", "action", "resource", "status_code", "message", "log_type", "raw_line", "referer", "user_agent", "event_id",
+    "hostname", "process", "metadata",
+]
+NO_MATCH, NO_TIME = "no pattern matched", "unreadable time"
+EXCERPT = 200  # characters kept of a line without an entry
+
+
+def judge(lines: DataFrame, parsers: list[LineParser], now: datetime | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Every line once, as an entry or with what is wrong with it in ``verdict``.
+
+    With several parsers the column ``format`` names that of a line. Blank lines and comments have a null in ``line``'s place and the
+    verdict ``skipped``. A line without entry has null in all entry columns but its place and an excerpt as ``raw_line``. A line
+    without readable time gets ``now`` and is marked. Every line is parsed exactly once: what comes of it leaves through a generator, below
+    which no later filter can be pushed to repeat the parsing.
+    """
+    rows = lines
+    for parser in parsers:
+        for step in parser.steps:
+            rows = rows.selectExpr("*", *[f"{text} AS `{name}`" for name, text in step.items()])
+
+    def entry(parser: LineParser) -> str:
+        fields = {"raw_line": "line", **parser.fields}
+        struct = ", ".join(f"'{name}', CAST({fields.get(name, 'NULL')} AS {ENTRY_TYPES[name]})" for name in _FIELDS)
         # The lambda keeps dozens of patterns out of the generated code: a method that long
         # is never compiled to machine code and runs slower than the plain expressions.
-        f"inline(CASE WHEN {ok} THEN transform(array(0), once -> "
-        f"named_struct({struct}, '_clock', {clock}, '_zone', CAST({zone_min} AS INT))) END)"
-    ).selectExpr(
-        *[name for name in ("file_path", "line_seq", "raw_line")],
-        *[f"`{name}`" for name in fields if name != "raw_line"],
-        "_clock IS NULL AS ts_fallback",
-        f"coalesce(_clock, {now_text(now)}) AS _wall",
-        "if(_clock IS NULL, NULL, _zone) AS _zone",
+        return (
+            f"CASE WHEN {parser.ok} THEN transform(array(0), once -> "
+            f"named_struct({struct}, '_clock', {parser.clock}, '_zone', CAST({parser.zone} AS INT)))[0] END"
+        )
+
+    if len(parsers) == 1:
+        found = entry(parsers[0])
+    else:
+        found = f"CASE format {' '.join(f"WHEN '{p.name}' THEN {entry(p)}" for p in parsers)} END"
+    kept = ["file_path", "line_seq", *carried]
+    taken = rows.selectExpr(*[f"`{c}`" for c in kept], "line", f"explode(array({found})) AS e")
+    timed = taken.selectExpr(
+        *[f"`{c}`" for c in kept],
+        *[f"e.`{name}`" for name in _FIELDS if name != "raw_line"],
+        f"if(e IS NULL, substring(line, 1, {EXCERPT}), e.raw_line) AS raw_line",
+        f"CASE WHEN line IS NULL THEN 'skipped' WHEN e IS NULL THEN '{NO_MATCH}' WHEN e._clock IS NULL THEN '{NO_TIME}' END AS verdict",
+        "if(e IS NULL, NULL, e._clock IS NULL) AS ts_fallback",
+        f"if(e IS NULL, NULL, coalesce(e._clock, {now_text(now)})) AS _wall",
+        "if(e._clock IS NULL, NULL, e._zone) AS _zone",
     )
     computed = {
         "ts": "timestampadd(MINUTE, -coalesce(_zone, 0), _wall)",
@@ -138,5 +177,21 @@ def emit(
         "tz_offset": "CASE WHEN _zone IS NOT NULL THEN concat(if(_zone < 0, '-', '+'), "
         "lpad(CAST(abs(_zone) div 60 AS STRING), 2, '0'), ':', lpad(CAST(abs(_zone) % 60 AS STRING), 2, '0')) END",
     }
-    timed = project(entries, {c: t for c, t in ENTRY_TYPES.items() if c != "entry_hash"}, computed)
-    return project(timed, ENTRY_TYPES, {"entry_hash": ENTRY_HASH})
+    more = {c: dict(timed.dtypes)[c] for c in (*carried, "verdict")}
+    shaped = project(timed, {c: t for c, t in ENTRY_TYPES.items() if c != "entry_hash"} | more, computed)
+    return project(shaped, ENTRY_TYPES | more, {"entry_hash": f"CASE WHEN log_type IS NOT NULL THEN {ENTRY_HASH} END"})
+
+
+def emit(df: DataFrame, ok: str, fields: dict[str, str], clock: str, zone_min: str = "NULL", now: datetime | None = None) -> DataFrame:
+    """Entries only, from rows whose columns a parser has already added."""
+    return entries_of(judge(df, [LineParser("", (), ok, fields, clock, zone_min)], now))
+
+
+def parse(lines: DataFrame, parser: LineParser, now: datetime | None = None) -> DataFrame:
+    """Entries of lines of one format."""
+    return entries_of(judge(lines, [parser], now))
+
+
+def entries_of(judged: DataFrame) -> DataFrame:
+    """The judged lines that are entries."""
+    return judged.where("ts IS NOT NULL").select(*ENTRY_TYPES)

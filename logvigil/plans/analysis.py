@@ -16,7 +16,7 @@ from logvigil.operators.geo import GeoConfig, geo_alerts
 from logvigil.operators.temporal import TemporalConfig, temporal_alerts
 from logvigil.operators.web import sql_injection_alerts, traversal_alerts, web_matches, xss_alerts
 from logvigil.schema import ALERT_TYPES, ddl
-from logvigil.session import stage, stage_entries
+from logvigil.session import stage
 from logvigil.sources.ingest import Parsed, parse_logs
 
 BUILT_IN = ("brute_force", "sql_injection", "xss", "directory_traversal", "temporal_anomaly", "geo_anomaly")
@@ -148,7 +148,6 @@ def analyze_logs(
     geo: DataFrame | None = None,
     **parsing,
 ) -> tuple[Analysis, Parsed]:
-    """From files to alerts. The files are parsed once; ``parsing`` goes to ``parse_logs``."""
+    """From files to alerts. The files are scanned and parsed once, and staged by ``parse_logs``, to which ``parsing`` goes."""
     parsed = parse_logs(spark, paths, **parsing)
-    entries = stage_entries(parsed.entries)
-    return analyze(entries, settings, geo), replace(parsed, entries=entries)
+    return analyze(parsed.entries, settings, geo), parsed

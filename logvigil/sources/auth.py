@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from logvigil.functions.lines import bsd_clock, extract, emit, found, groups, optional
+from logvigil.functions.lines import LineParser, bsd_clock, extract, found, groups, optional, parse
 
 # Fixed value: time, host, process, pid, message.
 LINE = r"^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s*(.*)$"
@@ -70,44 +70,47 @@ def pam_event(message: str) -> str:
     )
 
 
-def parse_auth(lines: DataFrame, now: datetime | None = None, year: int | None = None) -> DataFrame:
-    """Entries of authentication lines.
+def parser(line: str = "line", year: int | None = None) -> LineParser:
+    """Authentication lines.
 
     ssh and sudo events are told by the process. PAM texts count for every process and
     override user and type; only a closed session keeps an earlier outcome.
     """
     year = year if year is not None else datetime.now().year
-    rows = (
-        lines.selectExpr("file_path", "line_seq", "line", f"{matched('line')} AS g")
-        .selectExpr("*", "g[5] AS message", "g[3] AS process")
-        .selectExpr(
-            "*",
-            f"CASE WHEN contains(lower(process), 'sshd') THEN {ssh_event('message')} "
-            f"WHEN contains(lower(process), 'sudo') THEN {sudo_event('message')} END AS ev",
-            f"{pam_event('message')} AS pam",
-        )
-        .selectExpr(
-            "*",
-            "coalesce(pam.type, ev.type, 'other') AS event_type",
-            "if(pam.type IN ('session_open', 'pam_auth'), pam.success, ev.success) AS success",
-        )
+    steps = (
+        {"au": matched(line)},
+        {"au_message": "au[5]", "au_process": "au[3]"},
+        {
+            "au_ev": f"CASE WHEN contains(lower(au_process), 'sshd') THEN {ssh_event('au_message')} "
+            f"WHEN contains(lower(au_process), 'sudo') THEN {sudo_event('au_message')} END",
+            "au_pam": pam_event("au_message"),
+        },
+        {
+            "au_type": "coalesce(au_pam.type, au_ev.type, 'other')",
+            "au_success": "if(au_pam.type IN ('session_open', 'pam_auth'), au_pam.success, au_ev.success)",
+        },
     )
-    return emit(
-        rows,
-        "g IS NOT NULL",
+    return LineParser(
+        "auth",
+        steps,
+        "au IS NOT NULL",
         {
-            "source_ip": "ev.ip",
-            "user": "if(pam IS NOT NULL, pam.user, ev.user)",
-            "action": "event_type",
-            "status_code": "CAST(success AS INT)",
-            "message": "message",
+            "source_ip": "au_ev.ip",
+            "user": "if(au_pam IS NOT NULL, au_pam.user, au_ev.user)",
+            "action": "au_type",
+            "status_code": "CAST(au_success AS INT)",
+            "message": "au_message",
             "log_type": "'auth'",
-            "hostname": "g[2]",
-            "process": "process",
-            "metadata": f"map_concat(map('pid', {optional('g[4]')}, 'event_type', event_type, 'success', CAST(success AS STRING), "
-            "'port', ev.port), coalesce(ev.extras, CAST(map() AS MAP<STRING, STRING>)))",
+            "hostname": "au[2]",
+            "process": "au_process",
+            "metadata": f"map_concat(map('pid', {optional('au[4]')}, 'event_type', au_type, 'success', CAST(au_success AS STRING), "
+            "'port', au_ev.port), coalesce(au_ev.extras, CAST(map() AS MAP<STRING, STRING>)))",
         },
-        bsd_clock('g[1]', year),
+        bsd_clock('au[1]', year),
         "NULL",
-        now,
     )
+
+
+def parse_auth(lines: DataFrame, now: datetime | None = None, year: int | None = None) -> DataFrame:
+    """Entries of authentication lines."""
+    return parse(lines, parser(year=year), now)

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from logvigil.functions.lines import extract, emit, groups, http_clock, http_zone, no_dash, optional, zone_minutes
+from logvigil.functions.lines import LineParser, extract, groups, http_clock, http_zone, no_dash, optional, parse, zone_minutes
 
 # Fixed value: ip, user, time, request, status, bytes, referer, agent, forwarded for.
 ACCESS = (
@@ -27,42 +27,46 @@ def matched_error(line: str) -> str:
     return groups(line, ERROR, 6)
 
 
-def parse_nginx(lines: DataFrame, now: datetime | None = None, year: int | None = None) -> DataFrame:
-    """Entries of Nginx lines: access format first, else error format.
+def parser(line: str = "line", year: int | None = None) -> LineParser:
+    """Nginx lines: access format first, else error format.
 
     The first hop of X-Forwarded-For stands for the client when there is one.
     """
-    rows = (
-        lines.selectExpr("file_path", "line_seq", "line", f"{matched_access('line')} AS a")
-        .selectExpr("*", f"CASE WHEN a IS NULL THEN {matched_error('line')} END AS e")
-        .selectExpr(
-            "*",
-            "a IS NOT NULL AS is_access",
-            "filter(split(trim(a[4]), '\\\\s+'), p -> p <> '') AS parts",
-            f"{http_zone('a[3]')} AS zone",
-        )
+    steps = (
+        {"nx": matched_access(line)},
+        {"ne": f"CASE WHEN nx IS NULL THEN {matched_error(line)} END"},
+        {
+            "nx_access": "nx IS NOT NULL",
+            "nx_parts": "filter(split(trim(nx[4]), '\\\\s+'), p -> p <> '')",
+            "nx_zone": http_zone("nx[3]"),
+        },
     )
-    return emit(
-        rows,
-        "is_access OR e IS NOT NULL",
+    return LineParser(
+        "nginx",
+        steps,
+        "nx_access OR ne IS NOT NULL",
         {
-            "source_ip": "CASE WHEN is_access THEN if(a[9] NOT IN ('', '-'), trim(split(a[9], ',')[0]), a[1]) "
-            f"ELSE {extract('e[6]', r'client:\s*([\d.]+)')} END",
-            "user": f"if(is_access, {no_dash('a[2]')}, NULL)",
-            "action": "if(is_access, coalesce(get(parts, 0), 'GET'), 'ERROR')",
-            "resource": "if(is_access, coalesce(get(parts, 1), '/'), NULL)",
-            "status_code": "if(is_access, CAST(a[5] AS INT), NULL)",
-            "message": "if(is_access, a[4], e[6])",
-            "log_type": "if(is_access, 'nginx', 'nginx_error')",
-            "referer": f"if(is_access, {optional('a[7]')}, NULL)",
-            "user_agent": f"if(is_access, {optional('a[8]')}, NULL)",
-            "metadata": "if(is_access, map('protocol', coalesce(get(parts, 2), 'HTTP/1.1'), "
-            "'response_size', if(a[6] = '-', '0', CAST(CAST(a[6] AS DECIMAL(38, 0)) AS STRING)), 'original_ip', a[1], "
-            f"'x_forwarded_for', {optional('a[9]')}), "
-            f"map('level', e[2], 'pid', e[3], 'tid', e[4], 'connection_id', {optional('e[5]')}))",
+            "source_ip": "CASE WHEN nx_access THEN if(nx[9] NOT IN ('', '-'), trim(split(nx[9], ',')[0]), nx[1]) "
+            f"ELSE {extract('ne[6]', r'client:\s*([\d.]+)')} END",
+            "user": f"if(nx_access, {no_dash('nx[2]')}, NULL)",
+            "action": "if(nx_access, coalesce(get(nx_parts, 0), 'GET'), 'ERROR')",
+            "resource": "if(nx_access, coalesce(get(nx_parts, 1), '/'), NULL)",
+            "status_code": "if(nx_access, CAST(nx[5] AS INT), NULL)",
+            "message": "if(nx_access, nx[4], ne[6])",
+            "log_type": "if(nx_access, 'nginx', 'nginx_error')",
+            "referer": f"if(nx_access, {optional('nx[7]')}, NULL)",
+            "user_agent": f"if(nx_access, {optional('nx[8]')}, NULL)",
+            "metadata": "if(nx_access, map('protocol', coalesce(get(nx_parts, 2), 'HTTP/1.1'), "
+            "'response_size', if(nx[6] = '-', '0', CAST(CAST(nx[6] AS DECIMAL(38, 0)) AS STRING)), 'original_ip', nx[1], "
+            f"'x_forwarded_for', {optional('nx[9]')}), "
+            f"map('level', ne[2], 'pid', ne[3], 'tid', ne[4], 'connection_id', {optional('ne[5]')}))",
         },
-        f"CASE WHEN NOT is_access THEN try_to_timestamp(regexp_replace(e[1], '\\\\s+', ' '), 'yyyy/MM/dd HH:mm:ss') "
-            f"WHEN zone <> '' THEN {http_clock('a[3]')} END",
-        f"if(is_access, {zone_minutes('zone')}, NULL)",
-        now,
+        f"CASE WHEN NOT nx_access THEN try_to_timestamp(regexp_replace(ne[1], '\\\\s+', ' '), 'yyyy/MM/dd HH:mm:ss') "
+            f"WHEN nx_zone <> '' THEN {http_clock('nx[3]')} END",
+        f"if(nx_access, {zone_minutes('nx_zone')}, NULL)",
     )
+
+
+def parse_nginx(lines: DataFrame, now: datetime | None = None, year: int | None = None) -> DataFrame:
+    """Entries of Nginx lines."""
+    return parse(lines, parser(), now)

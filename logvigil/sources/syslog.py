@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from logvigil.functions.lines import (
-    bsd_clock, extract, emit, groups, iso_clock, iso_zone, lookup, optional, zone_minutes,
+    LineParser, bsd_clock, extract, groups, iso_clock, iso_zone, lookup, optional, parse, zone_minutes,
 )
 from logvigil.functions.payload import bind
 
@@ -86,44 +86,48 @@ def matched_simple(line: str) -> str:
     return groups(line, SIMPLE, 3)
 
 
-def parse_syslog(lines: DataFrame, now: datetime | None = None, year: int | None = None) -> DataFrame:
-    """Entries of syslog lines; the three forms are tried in order."""
+def parser(line: str = "line", year: int | None = None) -> LineParser:
+    """Syslog lines; the three forms are tried in order."""
     year = year if year is not None else datetime.now().year
-    rows = (
-        lines.selectExpr("file_path", "line_seq", "line", f"{matched_5424('line')} AS n")
-        .selectExpr("*", f"CASE WHEN n IS NULL THEN {matched_3164('line')} END AS o")
-        .selectExpr("*", f"CASE WHEN n IS NULL AND o IS NULL THEN {matched_simple('line')} END AS s")
-        .selectExpr(
-            "*",
-            "coalesce(n[9], o[6], s[3]) AS message",
-            "coalesce(n[4], o[3], s[2]) AS hostname",
-            "coalesce(n[5], o[4]) AS process",
-            f"CASE WHEN n IS NOT NULL THEN CAST(n[1] AS INT) WHEN o IS NOT NULL "
-            f"THEN coalesce(try_cast(o[1] AS INT), {DEFAULT_PRIORITY}) END AS priority",
-            f"CASE WHEN n IS NOT NULL THEN {iso_clock('n[3]', '(?:Z|[+-]' + chr(92) + 'd{2}:?' + chr(92) + 'd{2})')} "
-            f"ELSE {bsd_clock('coalesce(o[2], s[1])', year)} END AS clock",
-            f"CASE WHEN n IS NOT NULL THEN {zone_minutes(iso_zone('n[3]'))} END AS zone_min",
-        )
+    steps = (
+        {"sn": matched_5424(line)},
+        {"so": f"CASE WHEN sn IS NULL THEN {matched_3164(line)} END"},
+        {"ss": f"CASE WHEN sn IS NULL AND so IS NULL THEN {matched_simple(line)} END"},
+        {
+            "sy_message": "coalesce(sn[9], so[6], ss[3])",
+            "sy_host": "coalesce(sn[4], so[3], ss[2])",
+            "sy_process": "coalesce(sn[5], so[4])",
+            "sy_priority": "CASE WHEN sn IS NOT NULL THEN CAST(sn[1] AS INT) WHEN so IS NOT NULL "
+            f"THEN coalesce(try_cast(so[1] AS INT), {DEFAULT_PRIORITY}) END",
+            "sy_clock": f"CASE WHEN sn IS NOT NULL THEN {iso_clock('sn[3]', '(?:Z|[+-]' + chr(92) + 'd{2}:?' + chr(92) + 'd{2})')} "
+            f"ELSE {bsd_clock('coalesce(so[2], ss[1])', year)} END",
+            "sy_zone": f"CASE WHEN sn IS NOT NULL THEN {zone_minutes(iso_zone('sn[3]'))} END",
+        },
     )
-    return emit(
-        rows,
-        "message IS NOT NULL",
+    return LineParser(
+        "syslog",
+        steps,
+        "sy_message IS NOT NULL",
         {
-            "source_ip": message_ip("message"),
-            "user": message_user("message"),
-            "action": "coalesce(process, 'syslog')",
-            "message": "message",
+            "source_ip": message_ip("sy_message"),
+            "user": message_user("sy_message"),
+            "action": "coalesce(sy_process, 'syslog')",
+            "message": "sy_message",
             "log_type": "'syslog'",
-            "hostname": "hostname",
-            "process": "process",
-            "metadata": "CASE WHEN priority IS NULL THEN map('hostname', hostname) ELSE map_concat("
-            f"map('pid', CASE WHEN n IS NOT NULL THEN n[6] ELSE {optional('o[5]')} END, "
-            f"'facility_code', CAST(priority div 8 AS STRING), 'facility', {facility('priority')}, "
-            f"'severity_code', CAST(priority % 8 AS STRING), 'severity', {severity('priority')}), "
-            "CASE WHEN n IS NOT NULL THEN map('msgid', n[7], 'structured_data', n[8]) "
+            "hostname": "sy_host",
+            "process": "sy_process",
+            "metadata": "CASE WHEN sy_priority IS NULL THEN map('hostname', sy_host) ELSE map_concat("
+            f"map('pid', CASE WHEN sn IS NOT NULL THEN sn[6] ELSE {optional('so[5]')} END, "
+            f"'facility_code', CAST(sy_priority div 8 AS STRING), 'facility', {facility('sy_priority')}, "
+            f"'severity_code', CAST(sy_priority % 8 AS STRING), 'severity', {severity('sy_priority')}), "
+            "CASE WHEN sn IS NOT NULL THEN map('msgid', sn[7], 'structured_data', sn[8]) "
             "ELSE CAST(map() AS MAP<STRING, STRING>) END) END",
         },
-        "clock",
-        "zone_min",
-        now,
+        "sy_clock",
+        "sy_zone",
     )
+
+
+def parse_syslog(lines: DataFrame, now: datetime | None = None, year: int | None = None) -> DataFrame:
+    """Entries of syslog lines."""
+    return parse(lines, parser(year=year), now)

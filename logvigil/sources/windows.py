@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logvigil.functions.lines import emit, groups, iso_clock, lookup, optional
+from logvigil.functions.lines import LineParser, emit, groups, iso_clock, lookup, optional, parse
 from logvigil.functions.payload import literal
 
 # Event id to category.
@@ -88,38 +88,39 @@ def matched_csv(line: str) -> str:
     return groups(line, CSV, 4)
 
 
-def parse_windows(lines: DataFrame, now: datetime | None = None, year: int | None = None) -> DataFrame:
-    """Entries of one-line event headers: text format first, else CSV."""
-    rows = (
-        lines.selectExpr("file_path", "line_seq", "line", f"{matched_text('line')} AS t")
-        .selectExpr("*", f"CASE WHEN t IS NULL THEN {matched_csv('line')} END AS c")
-        .selectExpr(
-            "*",
-            "CAST(coalesce(t[5], c[4]) AS INT) AS event_id",
-            "regexp_replace(CASE WHEN t IS NOT NULL THEN concat(t[1], ' ', trim(t[2])) ELSE c[2] END, '\\\\s+', ' ') AS at",
-        )
-        .selectExpr("*", f"{category('event_id')} AS event_type")
-    )
-    return emit(
-        rows,
-        "event_id IS NOT NULL",
+def parser(line: str = "line", year: int | None = None) -> LineParser:
+    """One-line event headers: text format first, else CSV."""
+    return LineParser(
+        "windows",
+        (
+            {"wt": matched_text(line)},
+            {"wc": f"CASE WHEN wt IS NULL THEN {matched_csv(line)} END"},
+            {
+                "w_id": "CAST(coalesce(wt[5], wc[4]) AS INT)",
+                "w_at": "regexp_replace(CASE WHEN wt IS NOT NULL THEN concat(wt[1], ' ', trim(wt[2])) ELSE wc[2] END, '\\\\s+', ' ')",
+            },
+            {"w_type": category("w_id")},
+        ),
+        "w_id IS NOT NULL",
         {
-            "action": "event_type",
-            "status_code": "event_id",
+            "action": "w_type",
+            "status_code": "w_id",
             "message": "line",
             "log_type": "'windows'",
-            "event_id": "event_id",
-            "metadata": "map_concat(map('level', coalesce(t[3], c[1]), 'source', coalesce(t[4], c[3]), 'event_type', event_type), "
-            f"CASE WHEN t IS NOT NULL THEN map('task_category', {optional('t[6]')}) "
+            "event_id": "w_id",
+            "metadata": "map_concat(map('level', coalesce(wt[3], wc[1]), 'source', coalesce(wt[4], wc[3]), 'event_type', w_type), "
+            f"CASE WHEN wt IS NOT NULL THEN map('task_category', {optional('wt[6]')}) "
             "ELSE CAST(map() AS MAP<STRING, STRING>) END)",
         },
-        "coalesce(try_to_timestamp(at, 'M/d/yyyy h:m:s a'), "
-            "CASE WHEN t IS NOT NULL THEN try_to_timestamp(at, 'M/d/yyyy H:m:s') END)",
-        "NULL",
-        now,
+        "coalesce(try_to_timestamp(w_at, 'M/d/yyyy h:m:s a'), CASE WHEN wt IS NOT NULL THEN try_to_timestamp(w_at, 'M/d/yyyy H:m:s') END)",
     )
 
 
+def parse_windows(lines: DataFrame, now: datetime | None = None, year: int | None = None) -> DataFrame:
+    """Entries of one-line event headers."""
+    return parse(lines, parser(), now)
+
+
 XML_SCHEMA = (
     "System STRUCT<EventID: STRING, TimeCreated: STRUCT<_SystemTime: STRING>, Computer: STRING>, "
     "EventData STRUCT<Data: ARRAY<STRUCT<_Name: STRING, _VALUE: STRING>>>"
@@ -165,18 +166,18 @@ def read_windows_xml(spark: SparkSession, paths: list[str] | str, now: datetime
 
 
 def _xml_entries(events: DataFrame, now: datetime | None) -> DataFrame:
-    # Of data with the same name the last one counts.
-    last_wins = (
-        "filter(EventData.Data, (d, i) -> coalesce(d._Name <> '', false) AND "
-        "NOT exists(slice(EventData.Data, i + 2, size(EventData.Data)), later -> later._Name = d._Name))"
-    )
+    # Of data with the same name the last one counts: it is the first from behind.
+    last = "element_at(texts, -CAST(array_position(backwards, n) AS INT))"
     rows = (
         events.selectExpr(
             "*",
+            "raw_line AS line",
             "if(coalesce(trim(System.EventID), '') = '', 0, try_cast(System.EventID AS INT)) AS event_id",
-            f"map_from_entries(transform(coalesce({last_wins}, array()), "
-            "d -> struct(d._Name, coalesce(d._VALUE, '')))) AS data",
+            "coalesce(EventData.Data._Name, array()) AS names",
+            "transform(EventData.Data._VALUE, v -> coalesce(v, '')) AS texts",
         )
+        .selectExpr("*", "reverse(names) AS backwards", "array_distinct(filter(names, n -> n <> '')) AS told")
+        .selectExpr("*", f"map_from_arrays(told, transform(told, n -> {last})) AS data")
         .selectExpr(
             "*",
             f"{category('event_id')} AS event_type",
@@ -198,7 +199,6 @@ def _xml_entries(events: DataFrame, now: datetime | None) -> DataFrame:
             "message": "concat('Event ', event_id, ': ', event_type, if(who <> '', concat(' - User: ', who), ''), "
             "if(ip <> '', concat(' from ', ip), ''))",
             "log_type": "'windows'",
-            "raw_line": "raw_line",
             "event_id": "event_id",
             "hostname": "hostname",
             "metadata": "map_concat(map('event_type', event_type, "
