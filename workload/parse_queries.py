@@ -6,6 +6,7 @@ counterpart knows the fields and needs no parsing, so it is independent of the p
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 from logvigil.operators import auth
 from logvigil.plans.analysis import Settings, analyze
 from logvigil.schema import ENTRY_HASH
-from logvigil.session import stage
+from logvigil.session import shared_dir, stage
 from logvigil.sources import apache, auth as auth_logs, ingest, nginx, sinks, syslog, windows
 from workload import oracle as O
 from workload.adapters import _DUCK, _SPARK, auth_entries, table, web_entries
-from workload.queries import AUTH, register
+from workload.queries import AUTH, EVERY, ORACLES, _analysis, register
 
 NOW = datetime(2024, 6, 1)
 NOW_DUCK = "TIMESTAMP '2024-06-01 00:00:00'"
@@ -357,12 +358,14 @@ def _line_of(sql: str) -> str:
     return sql.split("line_seq, ", 1)[1].split(" AS line", 1)[0]
 
 
-# Files of 25 lines, each of one of seven kinds, with a comment and a blank line in front.
+def _file_line(size: int, div: str) -> str:
+    """The line of an event in files of ``size`` lines, each file of one of seven kinds, with a comment and a blank line in front."""
+    arms = " ".join(f"WHEN line_seq {div} {size} % 7 = {n} THEN {_line_of(sql)}" for n, sql in enumerate(KINDS))
+    return f"CASE WHEN line_seq % {size} = 0 THEN '# comment' WHEN line_seq % {size} = 1 THEN '' {arms} END"
+
+
 FILE_LINES = (
-    "SELECT concat('file', CAST(line_seq div 25 AS STRING)) AS file_path, line_seq, CASE WHEN line_seq % 25 = 0 THEN '# comment' "
-    "WHEN line_seq % 25 = 1 THEN '' "
-    + " ".join(f"WHEN line_seq div 25 % 7 = {n} THEN {_line_of(sql)}" for n, sql in enumerate(KINDS))
-    + f" END AS line FROM ({EVENT_FIELDS})"
+    f"SELECT concat('file', CAST(line_seq div 25 AS STRING)) AS file_path, line_seq, {_file_line(25, 'div')} AS line FROM ({EVENT_FIELDS})"
 )
 
 
@@ -395,20 +398,121 @@ def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM events GROUP BY event_id // 25""",
 )
 def parse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _file_lines(spark, sf_dir)
-    entries = ingest.parse_lines(lines, "syslog", now=NOW, year=YEAR)
-    return ingest.parse_stats(lines, entries, "syslog").withColumn("success_rate", F.round("success_rate", 6))
+    return ingest.parse_stats(_as_syslog(spark, sf_dir)).withColumn("success_rate", F.round("success_rate", 6))
+
+
+def _as_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _file_lines(spark, sf_dir).withColumn("format", F.lit("syslog"))
+    return ingest.judge_lines(lines, now=NOW, year=YEAR, names=["syslog"])
 
 
 @register(
     "parse_errors",
-    """SELECT 'file' || (event_id // 25) AS file_path, event_id AS line_seq, 'no pattern matched' AS error
-  FROM events WHERE event_id % 25 > 1 AND event_id // 25 % 7 NOT IN (2, 3, 5)""",
+    f"""SELECT 'file' || (line_seq // 25) AS file_path, line_seq, substr({_duck(_file_line(25, '//'), 'events')}, 1, 200) AS line,
+  'no pattern matched' AS error FROM ({_duck(EVENT_FIELDS, 'events')})
+  WHERE line_seq % 25 > 1 AND line_seq // 25 % 7 NOT IN (2, 3, 5)""",
 )
 def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _file_lines(spark, sf_dir)
-    entries = ingest.parse_lines(lines, "syslog", now=NOW, year=YEAR)
-    return ingest.parse_errors(lines, entries).drop("line")
+    return ingest.parse_errors(_as_syslog(spark, sf_dir))
+
+
+# -- folders of log files -----------------------------------------------------------------
+
+FILE_SIZE = 250
+# Every fiftieth line of a file is one that no format knows.
+FOLDER_LINE = "CASE WHEN line_seq % 50 = 7 THEN concat('nothing here ', num) ELSE {} END"
+_KIND = f"event_id // {FILE_SIZE} % 7"
+_KIND_FORMAT = f"CASE {_KIND} WHEN 0 THEN 'apache' WHEN 1 THEN 'nginx' WHEN 4 THEN 'windows' WHEN 6 THEN NULL ELSE 'syslog' END"
+_DATA = f"event_id % {FILE_SIZE} > 1"
+_ENTRY = f"{_DATA} AND event_id % 50 <> 7 AND {_KIND} <> 6"
+_FILE_LINE_DUCK = _duck(FOLDER_LINE.format(_file_line(FILE_SIZE, "//")), "events")
+_NAME = "regexp_extract({}, 'name=([^/]+)/', 1) AS name"
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of log files in the shared folder: one file a name, its lines in order."""
+    sql = (
+        f"SELECT concat('f', CAST(line_seq div {FILE_SIZE} AS STRING)) AS name, line_seq, "
+        f"{FOLDER_LINE.format(_file_line(FILE_SIZE, 'div'))} AS value FROM ({EVENT_FIELDS})"
+    )
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    lines = _spark(spark, sf_dir, sql, "events").repartition("name").sortWithinPartitions("name", "line_seq")
+    lines.select("name", "value").write.partitionBy("name").text(path)
+    return path
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> ingest.Parsed:
+    path = _folder(spark, sf_dir)
+    return ingest.parse_logs(spark, [path, f"{path}/gone.log"], recursive=True, now=NOW, year=YEAR)
+
+
+@register(
+    "ingest_entries",
+    f"""SELECT 'f' || (event_id // {FILE_SIZE}) AS name, line AS raw_line,
+  CASE {_KIND} WHEN 1 THEN 'nginx_error' ELSE {_KIND_FORMAT} END AS log_type, false AS ts_fallback
+  FROM (SELECT line_seq AS event_id, {_FILE_LINE_DUCK} AS line FROM ({_duck(EVENT_FIELDS, 'events')})) WHERE {_ENTRY}""",
+)
+def ingest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files of several formats, found, told apart and parsed."""
+    return _parsed(spark, sf_dir).entries.selectExpr(_NAME.format("file_path"), "raw_line", "log_type", "ts_fallback")
+
+
+@register(
+    "ingest_errors",
+    f"""SELECT 'f' || (event_id // {FILE_SIZE}) AS name, 1 + event_id % {FILE_SIZE} AS line_number, substr(line, 1, 200) AS line,
+  'no pattern matched' AS error
+  FROM (SELECT line_seq AS event_id, {_FILE_LINE_DUCK} AS line FROM ({_duck(EVENT_FIELDS, 'events')}))
+  WHERE {_DATA} AND event_id % 50 = 7 AND {_KIND} <> 6""",
+)
+def ingest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that were not understood, with their numbers in the files."""
+    return _parsed(spark, sf_dir).errors.selectExpr(_NAME.format("file_path"), "line_number", "line", "error")
+
+
+@register(
+    "ingest_stats",
+    f"""SELECT 'f' || (event_id // {FILE_SIZE}) AS name, {_KIND_FORMAT} AS log_type, count(*) AS lines_processed,
+  count(*) FILTER ({_ENTRY}) AS lines_parsed, count(*) FILTER ({_DATA} AND event_id % 50 = 7) AS parse_errors,
+  round(100.0 * count(*) FILTER ({_ENTRY}) / count(*), 6) AS success_rate
+  FROM events WHERE {_KIND} <> 6 GROUP BY event_id // {FILE_SIZE}, {_KIND_FORMAT}""",
+)
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = _parsed(spark, sf_dir).stats
+    return stats.selectExpr(
+        _NAME.format("file_path"), "log_type", "lines_processed", "lines_parsed", "parse_errors", "round(success_rate, 6) AS success_rate"
+    )
+
+
+@register(
+    "ingest_files",
+    f"""SELECT DISTINCT 'f' || (event_id // {FILE_SIZE}) AS name, {_KIND_FORMAT} AS format,
+  CASE WHEN {_KIND} = 6 THEN 'no known format' END AS reason FROM events
+  UNION ALL SELECT 'gone.log', NULL, 'no such file or folder'""",
+)
+def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found and what was not, with reasons."""
+    parsed = _parsed(spark, sf_dir)
+    files = parsed.files.selectExpr(_NAME.format("file_path"), "format", "reason")
+    lost = parsed.problems.where("path LIKE '%gone.log'")
+    return files.unionByName(lost.selectExpr("'gone.log' AS name", "CAST(NULL AS STRING) AS format", "reason"))
+
+
+@register("ingest_xml", ORACLES["parse_windows_xml"].replace("SELECT line_seq, ", "SELECT ", 1))
+def ingest_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of XML events, told apart by their first line."""
+    documents = _spark(spark, sf_dir, XML_DOCUMENTS, "events").selectExpr(
+        f"concat('x', CAST(line_seq div {FILE_SIZE} AS STRING)) AS name", "line_seq", "regexp_replace(line, '</?Events>', '') AS value"
+    )
+    frame = documents.select("name").distinct().selectExpr(
+        "name", f"inline(array(struct(-1L AS line_seq, '<Events>' AS value), struct({2**62}L AS line_seq, '</Events>' AS value)))"
+    )
+    path = f"{shared_dir(spark)}/xml-{uuid.uuid4().hex}"
+    files = documents.unionByName(frame).repartition("name").sortWithinPartitions("name", "line_seq")
+    files.select("name", "value").write.partitionBy("name").text(path)
+    return ingest.parse_logs(spark, path, recursive=True, now=NOW).entries.selectExpr(
+        STAMP, "source_ip", "`user` AS user_name", "action", "status_code", "message", "hostname",
+        "metadata['logon_type'] AS logon_type", "metadata['failure_reason'] AS failure_reason",
+    )
 
 
 @register(
@@ -425,32 +529,50 @@ def entry_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END"
 
 
+_TEXTS = "CAST(get_json_object(json, '$.{0}') AS STRING) AS {0}"
+
+
+def _alert_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """The alerts of all detectors, written as a user would export them."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    (sinks.write_csv if kind == "csv" else sinks.write_json)(_analysis(spark, sf_dir).alerts, path)
+    return path
+
+
 @register(
     "export_csv",
-    O.over(
-        O.AUTH_E, f"{O.PAIRS},{O.GUESSING}",
-        f"SELECT {O.ALERT_ID} AS alert_id, {_ISO} AS timestamp, {O.LEVEL} AS level, threat_type, source_ip, target, description FROM guessing",
+    O.with_alerts(
+        O.ALL_E, EVERY,
+        f"SELECT {O.ALERT_ID} AS alert_id, {_ISO} AS timestamp, {O.LEVEL} AS level, threat_type, coalesce(source_ip, '') AS source_ip, "
+        "coalesce(target, '') AS target, description FROM alerts",
     ),
 )
 def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.csv_rows(auth.auth_alerts(auth_entries(spark, sf_dir), AUTH, ("brute_force",)))
+    """The files written and read back."""
+    names = "alert_id STRING, timestamp STRING, level STRING, threat_type STRING, source_ip STRING, target STRING, description STRING"
+    reader = spark.read.schema(names).option("header", True).option("escape", '"').option("multiLine", True)
+    return reader.csv(_alert_files(spark, sf_dir, "csv")).na.fill("")
 
 
 @register(
     "export_json",
-    O.over(
-        O.AUTH_E, f"{O.PAIRS},{O.GUESSING}",
-        f"SELECT {O.ALERT_ID} AS alert_id, {_ISO} AS timestamp, {O.LEVEL} AS level, description, "
-        "CAST(n AS VARCHAR) AS attempts FROM guessing JOIN (SELECT source_ip, account AS target, n FROM pairs) USING (source_ip, target)",
+    O.with_alerts(
+        O.ALL_E, EVERY,
+        f"SELECT {O.ALERT_ID} AS alert_id, {_ISO} AS timestamp, threat_type, {O.LEVEL} AS level, CAST(level_value AS VARCHAR) AS level_value, "
+        "source_ip, target, description, CAST(evidence_count AS VARCHAR) AS evidence_count, mitre AS mitre_attack, "
+        "array_to_string(advice, '|') AS recommendations, CAST(coordinated_attack AS VARCHAR) AS coordinated_attack, attack_vectors FROM alerts",
     ),
 )
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = auth.auth_alerts(auth_entries(spark, sf_dir), AUTH, ("brute_force",))
-    texts = sinks.as_json(sinks.alert_records(alerts))
-    return texts.selectExpr(
-        *[f"get_json_object(json, '$.{c}') AS {c}" for c in ("alert_id", "timestamp", "level", "description")],
-        "get_json_object(get_json_object(json, '$.metadata'), '$.attempt_count') AS attempts",
-    )
+    """The files written and read back, all fields but the metadata, which differ per detector."""
+    lists = [
+        f"array_join(from_json(get_json_object(json, '$.{name}'), 'array<string>'), '{sep}') AS {name}"
+        for name, sep in (("mitre_attack", ","), ("recommendations", "|"), ("attack_vectors", ","))
+    ]
+    single = ["alert_id", "timestamp", "threat_type", "level", "level_value", "source_ip", "target", "description", "evidence_count",
+              "coordinated_attack"]
+    texts = spark.read.text(_alert_files(spark, sf_dir, "json")).withColumnRenamed("value", "json")
+    return texts.selectExpr(*[_TEXTS.format(name) for name in single], *lists)
 
 
 @register(
