@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logvigil.operators.runs import in_runs, long_keys, with_carries
 from logvigil.operators.skew import attach
 from logvigil.schema import EVIDENCE_COLUMNS, EVIDENCE_STRUCT, ROW_ORDER, shape_alerts
 from logvigil.session import stage
@@ -312,27 +313,42 @@ def failures_of(entries: DataFrame) -> DataFrame:
 
 
 def trailing_failures(entries: DataFrame, config: AuthConfig = AuthConfig()) -> DataFrame:
-    """Every failed login with the number of failures of its pair in the window ending there.
+    """Every failed login with the number of failures of its pair in the window ending there, and the first time among them.
 
-    Time is cut into slices as long as the window. A row is counted in its own slice and
-    offered to the next one as history, so a pair with a long past is spread over
-    its slices and no task sees all of it.
+    A pair with a long history becomes a stream of events: a failure comes in, and leaves again when the window has passed. The number
+    in the window is the sum of both so far, and the first failure in it is the one that leaves next. Both carry over from run to run, so a pair
+    is spread over tasks even if all its failures lie in one window.
     """
     width = config.window_micros
-    failures = failures_of(entries)
-    copies = failures.selectExpr("*", "unix_micros(ts) AS _us").selectExpr(
-        "*", f"floor(_us / {width}) AS _own", f"explode(sequence(floor(_us / {width}), floor(_us / {width}) + 1)) AS _slice"
+    failures = failures_of(entries).selectExpr("*", "unix_micros(ts) AS _us")
+    found = [c for c in failures.columns if c != "_us"]
+    long = long_keys(failures, PAIR)
+    short = failures if long is None else failures.join(F.broadcast(long), PAIR, "left_anti")
+    pair = "OVER (PARTITION BY source_ip, account ORDER BY _us"
+    counted = short.selectExpr(
+        *[f"`{c}`" for c in found],
+        f"row_number() {pair}, file_path, line_seq) "
+        f"- count(*) {pair} RANGE BETWEEN UNBOUNDED PRECEDING AND {width + 1} PRECEDING) AS trailing_count",
+        f"timestamp_micros(min(_us) {pair} RANGE BETWEEN {width} PRECEDING AND CURRENT ROW)) AS first_ts",
     )
-    pair = "OVER (PARTITION BY source_ip, account, _slice ORDER BY _us"
-    return (
-        copies.selectExpr(
-            "*",
-            f"row_number() {pair}, file_path, line_seq) "
-            f"- count(*) {pair} RANGE BETWEEN UNBOUNDED PRECEDING AND {width + 1} PRECEDING) AS trailing_count",
-            f"timestamp_micros(min(_us) {pair} RANGE BETWEEN {width} PRECEDING AND CURRENT ROW)) AS first_ts",
+    if long is None:
+        return counted
+    comes = failures.join(F.broadcast(long), PAIR, "left_semi").selectExpr("*", "_us AS _at", "1 AS _change", "CAST(NULL AS BIGINT) AS _left")
+    leaves = comes.selectExpr(*PAIR, "file_path", "line_seq", f"_us + {width + 1} AS _at", "-1 AS _change", "_us AS _left")
+    order = ["_at", "_change", "file_path", "line_seq"]
+    runs = in_runs(comes.unionByName(leaves, allowMissingColumns=True), PAIR, order, "failure-events")
+    sums = runs.groupBy(*PAIR, "_run").agg(F.sum("_change").alias("_sum"), F.min("_left").alias("_next"))
+    along = "OVER (PARTITION BY source_ip, account ORDER BY _run{} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carries = sums.selectExpr(
+        *PAIR, "_run", f"coalesce(sum(_sum) {along.format('')}, 0) AS _inside", f"min(_next) {along.format(' DESC')} AS _later"
+    )
+    forth = "OVER (PARTITION BY source_ip, account, _run ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    forward, backward = forth.format(", ".join(order)), forth.format(", ".join(f"{c} DESC" for c in order))
+    scanned = runs.selectExpr("*", f"sum(_change) {forward} AS _so_far", f"min(_left) {backward} AS _leaves_next").where("_change = 1")
+    return counted.unionByName(
+        with_carries(scanned, PAIR, carries).selectExpr(
+            *[f"`{c}`" for c in found], "_inside + _so_far AS trailing_count", "timestamp_micros(coalesce(_leaves_next, _later)) AS first_ts"
         )
-        .where("_slice = _own")
-        .select(*failures.columns, "trailing_count", "first_ts")
     )
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logvigil.operators.runs import scan, with_carries
 from logvigil.operators.skew import attach
 from logvigil.schema import EVIDENCE_STRUCT, ROW_ORDER, shape_alerts
 
@@ -108,39 +109,37 @@ def temporal_alerts(entries: DataFrame, config: TemporalConfig = TemporalConfig(
 def running_baselines(entries: DataFrame, config: TemporalConfig = TemporalConfig()) -> DataFrame:
     """Per row with a user: the user's counts up to and including this row (the online view).
 
-    Days are counted first and summed up per user; inside a day the running counts need only
-    that day's rows. So a busy user is spread over days, and what one task sees of all days
-    is one small row per day.
+    A busy user's history is cut into runs, also inside a day; a run begins with the counts of the runs before it.
     """
-    rows = entries.where(f"{HAS_USER} AND ts IS NOT NULL").selectExpr("*", "to_date(ts) AS _day")
-    daily = rows.groupBy("user", "_day").agg(
-        F.expr("count(*) AS n"), F.expr(f"count_if({WEEKEND}) AS weekend"), *_per_hour()
-    )
-    before = "OVER (PARTITION BY `user` ORDER BY _day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    carried = daily.selectExpr(
-        "`user`", "_day",
-        f"coalesce(sum(n) {before}, 0) AS _before",
-        f"coalesce(sum(weekend) {before}, 0) AS _weekend_before",
-        "array(" + ", ".join(f"coalesce(sum(h{h}) {before}, 0)" for h in range(24)) + ") AS _hours_before",
-    )
+    rows = entries.where(f"{HAS_USER} AND ts IS NOT NULL")
     order = f"ORDER BY {', '.join(ROW_ORDER)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    in_day = f"OVER (PARTITION BY `user`, _day {order})"
-    in_hour = f"OVER (PARTITION BY `user`, _day, {HOUR} {order})"
-    return (
-        rows.selectExpr(
+
+    def counted(part: DataFrame, partition: str) -> DataFrame:
+        along = f"OVER (PARTITION BY {partition} {order})"
+        return part.selectExpr(
             "*",
-            f"count(*) {in_day} AS _n",
-            f"count_if({WEEKEND}) {in_day} AS _weekend",
-            f"count(*) {in_hour} AS _in_hour",
+            f"count(*) {along} AS events",
+            f"count_if({WEEKEND}) {along} AS weekend_events",
+            f"count(*) OVER (PARTITION BY {partition}, {HOUR} {order}) AS hour_events",
         )
-        .join(carried, ["user", "_day"])
-        .selectExpr(
+
+    def of_runs(runs: DataFrame, partition: str) -> DataFrame:
+        sums = runs.groupBy("user", "_run").agg(F.expr("count(*) AS n"), F.expr(f"count_if({WEEKEND}) AS weekend"), *_per_hour())
+        before = "OVER (PARTITION BY `user` ORDER BY _run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        carries = sums.selectExpr(
+            "`user`", "_run",
+            f"coalesce(sum(n) {before}, 0) AS _n",
+            f"coalesce(sum(weekend) {before}, 0) AS _weekend",
+            "array(" + ", ".join(f"coalesce(sum(h{h}) {before}, 0)" for h in range(24)) + ") AS _hours",
+        )
+        return with_carries(counted(runs, partition), ["user"], carries).selectExpr(
             *[f"`{c}`" for c in entries.columns],
-            "_before + _n AS events",
-            "_weekend_before + _weekend AS weekend_events",
-            f"_hours_before[{HOUR}] + _in_hour AS hour_events",
+            "_n + events AS events",
+            "_weekend + weekend_events AS weekend_events",
+            f"_hours[{HOUR}] + hour_events AS hour_events",
         )
-    )
+
+    return scan(rows, ["user"], ROW_ORDER, "running", counted, of_runs)
 
 
 def online_flags(config: TemporalConfig) -> tuple[str, str]:

@@ -4,7 +4,7 @@ from datetime import timedelta
 
 import pytest
 
-from logvigil.operators import auth, geo, skew
+from logvigil.operators import auth, geo, runs, skew
 from tests.conftest import T0
 from tests.test_auth import failure
 from tests.test_temporal_geo import GEO_DDL
@@ -45,7 +45,8 @@ def test_salt_is_part_of_the_partitioning(entries_of, no_broadcast):
     assert any("source_ip#" in e and "account#" in e and "_salt#" in e for e in exchanges)
 
 
-def test_places_of_one_busy_user_and_of_nobody_are_spread(spark, entries_of, no_broadcast):
+def test_places_of_one_busy_user_and_of_nobody_are_spread(spark, entries_of, no_broadcast, monkeypatch):
+    monkeypatch.setattr(runs, "RUN_ROWS", 500)
     rows = [
         {"user": None if n % 2 else "hot", "source_ip": "p1", "ts_local": T0 + timedelta(minutes=n), "line_seq": n} for n in range(4000)
     ]
@@ -53,6 +54,7 @@ def test_places_of_one_busy_user_and_of_nobody_are_spread(spark, entries_of, no_
     assert largest_share(geo.with_previous_place(geo.geo_enrich(entries_of(rows), table))) < 0.35
 
 
-def test_trailing_counts_spread_a_pair_over_time(entries_of, no_broadcast):
+def test_trailing_counts_spread_a_pair_over_time(entries_of, no_broadcast, monkeypatch):
+    monkeypatch.setattr(runs, "RUN_ROWS", 500)
     rows = [failure("1.1.1.1", "a", n * 60, line_seq=n) for n in range(3000)]
     assert largest_share(auth.trailing_failures(entries_of(rows))) < 0.35
