@@ -26,7 +26,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 AUTH_SQL = """
 SELECT event_id AS line_seq, ts AS ts_local, 'auth' AS log_type, '' AS message,
-  concat('10.0.0.', CAST(CASE WHEN user_id % 10 = 0 THEN 1 ELSE event_id % 16 END AS {string})) AS source_ip,
+  concat('10.0.0.', CAST(CASE WHEN user_id % 10 = 0 THEN 1 ELSE event_id % 32 END AS {string})) AS source_ip,
   concat('user', CAST(user_id % 12 AS {string})) AS user_name,
   CASE event_type WHEN 'error' THEN 'ssh_failure' WHEN 'purchase' THEN 'ssh_success' ELSE 'other' END AS action,
   CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 END AS status_code,
@@ -69,9 +69,9 @@ def web_entries(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     return conform_entries(spark.sql(WEB_SQL.format(pages="{pages}", **_SPARK), pages=pages))
 
 
-# A geo table: nations 0 to 13 place ips of the login log, two of whose ips stay unplaced; the others place ips that never log in.
+# A geo table: every nation places one ip of the login log; seven of its 32 ips stay unplaced.
 GEO_SQL = """
-SELECT concat(CASE WHEN n_nationkey < 14 THEN '10.0.0.' ELSE '10.9.0.' END, CAST(n_nationkey AS {string})) AS ip, n_name AS country,
+SELECT concat('10.0.0.', CAST(n_nationkey AS {string})) AS ip, n_name AS country,
   CASE n_nationkey WHEN 4 THEN 'RU' WHEN 9 THEN 'CN' ELSE concat('N', CAST(n_nationkey % 12 AS {string})) END AS country_code,
   concat('city', CAST(n_nationkey AS {string})) AS city,
   CAST(n_nationkey * 7 - 60 AS DOUBLE) AS latitude, CAST(n_nationkey * 13 - 160 AS DOUBLE) AS longitude,

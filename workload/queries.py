@@ -19,7 +19,6 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 AUTH = AuthConfig(window_minutes=WINDOW_MINUTES)
-# Report tables need neither evidence nor samples.
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -364,7 +363,7 @@ def geo_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A range per supplier: sizes /24 to /32 around the ips of both logs.
 _RANGES = """SELECT concat('10.', CAST(s_suppkey % 2 AS {string}), '.0.', CAST(s_suppkey % 32 AS {string}), '/',
-  CAST(24 + s_suppkey % 9 AS {string})) AS cidr, concat('list', CAST(s_suppkey % 3 AS {string})) AS label FROM {supplier}"""
+  CAST(8 + s_suppkey % 25 AS {string})) AS cidr, concat('list', CAST(s_suppkey % 3 AS {string})) AS label FROM {supplier}"""
 _NUMBER = (
     "(split_part({0}, '.', 1)::BIGINT * 16777216 + split_part({0}, '.', 2)::BIGINT * 65536 "
     "+ split_part({0}, '.', 3)::BIGINT * 256 + split_part({0}, '.', 4)::BIGINT)"
@@ -384,6 +383,39 @@ def ip_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.ip_reputation(all_entries(spark, sf_dir), ranges)
 
 
+# IPv6: addresses and ranges whose groups come from the tables' keys; a prefix covers whole groups.
+_V6 = """SELECT concat('2001:db8:', {hex_a}, ':', {hex_b}, CASE WHEN {key} % 2 = 0 THEN '::' ELSE ':0:0:0:' END, {hex_key}) AS ip,
+  {key} % 48 AS a, {key} % 4 AS b, {key} AS k{more} FROM {source}"""
+
+
+def _v6(hexed: str, key: str, source: str, more: str = "") -> str:
+    return _V6.format(
+        hex_a=hexed.format(f"{key} % 48"), hex_b=hexed.format(f"{key} % 4"), hex_key=hexed.format(f"{key} % 60000"), key=key, source=source,
+        more=more,
+    )
+
+
+_BITS = ", 16 * (1 + {0} % 8) AS prefix, concat('list', CAST({0} % 3 AS {1})) AS label"
+
+
+@register(
+    "ip_reputation_v6",
+    f"""WITH ips AS ({_v6("format('{{{{:x}}}}', {})", "c_custkey", "customer")}),
+nets AS ({_v6("format('{{{{:x}}}}', {})", "s_suppkey", "supplier", _BITS.format("s_suppkey", "VARCHAR"))}),
+found AS (SELECT DISTINCT ips.ip AS source_ip, nets.ip || '/' || prefix AS cidr, label, prefix FROM ips JOIN nets
+  ON (prefix < 48 OR ips.a = nets.a) AND (prefix < 64 OR ips.b = nets.b) AND (prefix < 128 OR ips.k % 60000 = nets.k % 60000))
+SELECT source_ip, cidr, label FROM found QUALIFY prefix = max(prefix) OVER (PARTITION BY source_ip)""".replace("{{:x}}", "{:x}"),
+)
+def ip_reputation_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges with the longest prefix for every address."""
+    ips = spark.sql(_v6("lower(hex({}))", "c_custkey", "{t}"), t=table(spark, sf_dir, "customer"))
+    nets = spark.sql(
+        _v6("lower(hex({}))", "s_suppkey", "{t}", _BITS.format("s_suppkey", "STRING")), t=table(spark, sf_dir, "supplier")
+    )
+    ranges = nets.selectExpr("concat(ip, '/', CAST(prefix AS STRING)) AS cidr", "label")
+    return reputation.ip_reputation(ips.selectExpr("ip AS source_ip"), ranges, longest=True)
+
+
 # -- the whole analysis -------------------------------------------------------------------
 
 EVERY = list(O.PARTS)
