@@ -75,12 +75,42 @@ def path_text(text: str) -> str:
     return f"replace(replace({url_decode(text, 5, keep_plus=True)}, '\\\\', '/'), '\\0', '')"
 
 
-# The same matches without trying every pair of places again: where the first "where", the first "and" or "or" after it and the
-# first end of a statement after that are not there, no later choice finds one either, so the choices need not be kept.
+# The same matches in linear time; the match is group 1. Where the first begin of a part (a line, or a stretch without the sign that ends
+# the pattern's own stretch) leads to no match, no later begin in that part does, since it sees less. So every part is tried once, from its
+# begin, and the first place where each piece of the pattern ends is kept.
+def _per_part(begin_of_part: str, before: str, begin: str, rest: str) -> str:
+    return f"{begin_of_part}(?>{before}*?(?={begin}))({rest})"
+
+
+_LINE, _ALL = "(?m:^)", r"\A"
+_TAGS = r"(?:\A|>)"
 _STEADY = {
-    r"\bwhere\b.*?\b(?:and|or)\b.*?(?:--|#|/\*)": r"\bwhere\b(?>.*?\b(?:and|or)\b)(?>.*?(?:--|#|/\*))",
-    r"(?:and|or).*?(?:sleep|benchmark)\s*\(": r"(?:and|or)(?>.*?(?:sleep|benchmark)\s*\()",
-    r"(?:%00|\\0).*?(?:select|union|drop)": r"(?:%00|\\0)(?>.*?(?:select|union|drop))",
+    published: _per_part(part, before, begin, rest)
+    for published, part, before, begin, rest in (
+        (
+            r"\bwhere\b.*?\b(?:and|or)\b.*?(?:--|#|/\*)", _LINE, ".", r"\bwhere\b",
+            r"where\b(?>.*?\b(?:and|or)\b)(?>.*?(?:--|#|/\*))",
+        ),
+        (
+            r"(?:and|or).*?(?:sleep|benchmark)\s*\(", _LINE, ".", "and|or",
+            r"(?:and|or)(?>.*?(?:sleep|benchmark)\s*\()",
+        ),
+        (
+            r"(?:%00|\\0).*?(?:select|union|drop)", _LINE, ".", r"%00|\\0",
+            r"(?:%00|\\0)(?>.*?(?:select|union|drop))",
+        ),
+        (
+            r"(?:conv|convert)\s*\([^)]+,\s*\d+\s*,\s*\d+\s*\)", r"(?:\A|\))", "[^)]", r"(?:conv|convert)\s*\(",
+            r"(?:conv|convert)\s*\([^)]+,\s*\d+\s*,\s*\d+\s*\)",
+        ),
+        (r"<script[^>]*>", _ALL, r"[\s\S]", "<script", "<script[^>]*>"),
+        (r"<[a-z]+[^>]*>", _ALL, r"[\s\S]", "<[a-z]", "<[a-z]+[^>]*>"),
+        (r"<img[^>]+onerror\s*=", _TAGS, "[^>]", "<img", r"<img[^>]+onerror\s*="),
+        (r"<svg[^>]+onload\s*=", _TAGS, "[^>]", "<svg", r"<svg[^>]+onload\s*="),
+        (r"<body[^>]+onload\s*=", _TAGS, "[^>]", "<body", r"<body[^>]+onload\s*="),
+        (r"<(?:a|link)[^>]+href\s*=", _TAGS, "[^>]", "<(?:a|link)", r"<(?:a|link)[^>]+href\s*="),
+        (r"<meta[^>]+http-equiv", _TAGS, "[^>]", "<meta", "<meta[^>]+http-equiv"),
+    )
 }
 
 
@@ -88,6 +118,10 @@ def _pattern(pattern: str) -> str:
     return literal(FLAGS + _STEADY.get(pattern, pattern))
 
 
+def _matched(var: str, pattern: str) -> str:
+    return f"regexp_extract({var}, {_pattern(pattern)}, {1 if pattern in _STEADY else 0})"
+
+
 def _any(patterns: list[str]) -> str:
     return literal(FLAGS + "|".join(f"(?:{_STEADY.get(p, p)})" for p in patterns))
 
@@ -102,7 +136,7 @@ def _hit(severity: str, name: str, matched: str) -> str:
 
 def _first_match(var: str, by_severity: dict[str, list[str]], more: str = "") -> str:
     arms = " ".join(
-        f"WHEN rlike({var}, {_pattern(p)}) THEN {_hit(sev, name, f'regexp_extract({var}, {_pattern(p)}, 0)')}"
+        f"WHEN rlike({var}, {_pattern(p)}) THEN {_hit(sev, name, _matched(var, p))}"
         for sev, name, p in _flat(by_severity)
     )
     return f"CASE {arms} {more} END"
