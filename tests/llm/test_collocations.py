@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from logvigil.llm import collocations as C
-from logvigil.llm.collocations import collocations, gram_counts, phrase_graph, unary_paths
+from logvigil.llm.collocations import collocations, phrase_graph, unary_paths
 from logvigil.llm.scratch import Scratch
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -47,7 +47,7 @@ def random_rows(seed, n=60):
     rows = []
     for _ in range(n):
         text = "".join(draw.choice(words) + draw.choice(gaps) for _ in range(draw.randint(0, 80)))
-        rows.append((text, draw.choice(["en", "de", None, "und", ""])))
+        rows.append((text, draw.choice(["en", "de", None, "und", "", "x\ty z"])))
     return rows + [(None, "en"), ("", None), (" . , ", "de"), ("a b a b a b a b a b a b a b", "en"), ("one two three", "only")]
 
 
@@ -69,20 +69,74 @@ def test_no_rows(spark):
     assert collocations(frame(spark, [(None, None), ("a", "en")])).count() == 0
 
 
-def test_edges_and_piece_ends(spark):
-    got = {(r.lang, r.gram): r.n for r in gram_counts(frame(spark, [("a b c d. a b", "en"), ("A b C", "en"), ("x", None)])).collect()}
-    assert got == {("en", "a b c"): 2, ("en", "b c d"): 1, ("en", "c d "): 1, ("en", "d  "): 1, ("en", "a b "): 1, ("en", "b  "): 1,
-                   ("en", "b c "): 1, ("en", "c  "): 1, ("und", "x  "): 1}
+def counted(rows, min_count):
+    """All phrases of one to three words by language, by counting; rare words are left out."""
+    f = Counter()
+    for text, lang in rows:
+        for words in pieces_of(text):
+            for k in (1, 2, 3):
+                f.update((lang, k, " ".join(words[i : i + k])) for i in range(len(words) - k + 1))
+    return {p: n for p, n in f.items() if n >= min_count}
+
+
+def graph_of(spark, rows, min_count=2):
+    graph = phrase_graph(frame(spark, rows), Scratch(spark), min_count).where(f"phrase IS NOT NULL AND n >= {min_count}")
+    return {(r.lang, r.words, r.phrase): r.n for r in graph.collect()}
+
+
+@pytest.mark.parametrize("numbered", [None, 0, 1, 3])
+def test_flows_and_piece_ends(spark, monkeypatch, numbered):
+    """All words, none or some have numbers; languages likewise."""
+    if numbered is not None:
+        monkeypatch.setattr(C, "frequent_words", lambda docs: (["the", "a", "b"][:numbered], ["en", "und", "x\ty z"][:numbered]))
+    rows = [(t, "und" if g is None else g) for t, g in random_rows(9)]
+    assert graph_of(spark, rows) == counted(rows, 2)
+    graph = phrase_graph(frame(spark, rows), Scratch(spark), 5)
+    totals = {r.lang: r["sum(n)"] for r in graph.where("words = 1").groupBy("lang").agg({"n": "sum"}).collect()}
+    words = Counter()
+    for text, lang in rows:
+        words[lang] += sum(map(len, pieces_of(text)))
+    assert totals == {lang: n for lang, n in words.items() if n}
+
+
+@pytest.mark.parametrize("numbered", [0, 2])
+def test_phrases_do_not_depend_on_the_sample(spark, monkeypatch, numbered):
+    monkeypatch.setattr(C, "frequent_words", lambda docs: (["of", "z"][:numbered], ["en", "de"][:numbered]))
+    rows = random_rows(5)
+    assert sorted(map(tuple, collocations(frame(spark, rows), top=15, min_count=4).collect())) == model(rows, 15, 4)
+
+
+@pytest.mark.parametrize("begin", [0, 7, 30])
+def test_slices_of_a_batch(begin):
+    rows = [(t, g or "und") for t, g in random_rows(4)]
+    texts, langs = pa.array([t for t, _ in rows]), pa.array([g for _, g in rows])
+    none = pa.array([], pa.string())
+    got = C.text_grams(texts.slice(begin, 20), langs.slice(begin, 20), none, none).to_pydict()
+    want = Counter()
+    for text, lang in rows[begin : begin + 20]:
+        for words in pieces_of(text):
+            want.update("0" + " ".join((*words, "", "")[i : i + 3]) + f"\t{lang}" for i in range(len(words)))
+    assert dict(zip(got["gram"], got["n"])) == want and set(got["key"]) <= {None}
+
+
+def test_grams_of_a_frequent_node_are_spread(spark):
+    rows = spark.createDataFrame([(f"hot node w{k} and x. a b", "en") for k in range(400)], "text string, lang string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        grams = C.gram_counts(rows, ["hot", "node"] + [f"w{k}" for k in range(400)], ["en"])
+        places = grams.where("key IS NOT NULL").selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+        sizes = [r["count"] for r in places]
+        assert max(sizes) < 0.4 * sum(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_long_texts_are_cut_behind_pieces(monkeypatch):
+def test_long_texts_are_cut_behind_pieces(spark, monkeypatch):
     text = "one two three four. five six, seven " * 40
-    whole = C.count_grams(pa.array([text]), pa.array(["en"]))
-    monkeypatch.setattr(C, "PIECE_BYTES", 50)
-    monkeypatch.setattr(C._cut, "__defaults__", (50,))
-    cut = C.count_grams(pa.array([text]), pa.array(["en"]))
-    assert dict(zip(whole[1].to_pylist(), whole[2])) == dict(zip(cut[1].to_pylist(), cut[2]))
-    assert len(C._cut(text)) > 5
+    assert len(list(C._cut(text, 50))) > 5
+    monkeypatch.setattr(C, "BATCH_BYTES", 50)
+    rows = [(text, "en"), ("a b", "en")]
+    assert graph_of(spark, rows, 1) == counted(rows, 1)
 
 
 def test_exact_beyond_64_bits(spark):
