@@ -9,6 +9,7 @@ detector. A fresh checkpoint location starts with empty state.
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -78,22 +79,39 @@ def stream_brute_force(entries: DataFrame, config: AuthConfig = AuthConfig(), de
     )
 
 
+def _micros(keep: timedelta | None) -> int | None:
+    return None if keep is None else keep // timedelta(microseconds=1)
+
+
+def _kept(entries: DataFrame, keep: timedelta | None, delay: str) -> tuple[DataFrame, list[str], str]:
+    """For state that expires: rows with a watermark, the column that carries it, and the kind of timeout."""
+    if keep is None:
+        return entries, [], GroupStateTimeout.NoTimeout
+    return entries.withWatermark("ts", delay), ["ts AS event_time"], GroupStateTimeout.EventTimeTimeout
+
+
 # -- unusual times ------------------------------------------------------------------------
 
 
-def stream_temporal(entries: DataFrame, config: TemporalConfig = TemporalConfig()) -> DataFrame:
-    """Alerts on unusual times, judged by the user's habits up to the row."""
+def stream_temporal(
+    entries: DataFrame, config: TemporalConfig = TemporalConfig(), keep: timedelta | None = None, delay: str = "10 minutes"
+) -> DataFrame:
+    """Alerts on unusual times, judged by the user's habits up to the row.
+
+    With ``keep`` a user without rows for so long is forgotten, and the state goes once the watermark has passed; without, nobody is.
+    """
     timed = entries.where("ts_local IS NOT NULL")
+    timed, clock, timeout = _kept(timed, keep, delay)
     counted = (
         timed.where(temporal.HAS_USER)
-        .selectExpr(*_OUT, "`user`", f"{temporal.HOUR} AS hour", f"{temporal.WEEKEND} AS is_weekend")
+        .selectExpr(*_OUT, "`user`", f"{temporal.HOUR} AS hour", f"{temporal.WEEKEND} AS is_weekend", *clock)
         .groupBy("user")
         .applyInPandasWithState(
-            count_hours,
+            count_hours(_micros(keep)),
             _ddl("user string", "events bigint", "weekend_events bigint", "hour_events bigint"),
-            "hours array<bigint>, weekend bigint, events bigint",
+            "last bigint, hours array<bigint>, weekend bigint, events bigint",
             "append",
-            GroupStateTimeout.NoTimeout,
+            timeout,
         )
     )
     known = temporal.anomaly_alerts(counted.selectExpr(*_BACK, "`user`", "events", "weekend_events", "hour_events"),
@@ -110,24 +128,30 @@ _GEO = {
 }
 
 
-def stream_geo(entries: DataFrame, places: DataFrame, config: GeoConfig = GeoConfig()) -> DataFrame:
-    """Alerts on unusual places; the geo table is a static side, joined per micro-batch."""
+def stream_geo(
+    entries: DataFrame, places: DataFrame, config: GeoConfig = GeoConfig(), keep: timedelta | None = None, delay: str = "10 minutes"
+) -> DataFrame:
+    """Alerts on unusual places; the geo table is a static side, joined per micro-batch.
+
+    With ``keep`` a user without rows for so long is forgotten, and the state goes once the watermark has passed; without, nobody is.
+    """
     table = geo.conform_geo(places).withColumnRenamed("ip", "source_ip").drop("region")
-    located = entries.where("ts IS NOT NULL").join(table, "source_ip")
+    timed, clock, timeout = _kept(entries.where("ts IS NOT NULL"), keep, delay)
+    located = timed.join(table, "source_ip")
     geo_columns = list(_GEO)
     followed = (
         located.where(geo.HAS_USER)
-        .selectExpr(*_OUT, "`user`", *geo_columns)
+        .selectExpr(*_OUT, "`user`", *geo_columns, *clock)
         .groupBy("user")
         .applyInPandasWithState(
-            follow_user(config.min_countries),
+            follow_user(config.min_countries, _micros(keep)),
             _ddl(
                 "user string", *[f"{c} {t}" for c, t in _GEO.items()], "p_us bigint", "p_lat double", "p_lon double",
                 "p_city string", "p_country string", "known_countries bigint",
             ),
             "us bigint, lat double, lon double, city string, country string, seen array<string>",
             "append",
-            GroupStateTimeout.NoTimeout,
+            timeout,
         )
         .selectExpr(
             *_BACK, "`user`", *geo_columns, "known_countries",
@@ -145,10 +169,14 @@ def stream_geo(entries: DataFrame, places: DataFrame, config: GeoConfig = GeoCon
 # -- running ------------------------------------------------------------------------------
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a streaming query over everything its source holds now and give its output as a table."""
+def drain(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Run a streaming query over everything its source holds now and give its output so far as a table.
+
+    A run with the folder ``base`` of an earlier one goes on where that ended, with its state; a run in a new folder, as without
+    ``base``, begins anew and so resets all detectors.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{base}/data")

@@ -52,26 +52,52 @@ def count_failures(width: int):
     return handle
 
 
-def count_hours(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: events per hour of the day, weekend events, all events of a user."""
-    hours, weekend, events = state.get if state.exists else ([0] * 24, 0, 0)
-    hours = list(hours)
-    rows = _in_order(batches)
-    out = []
-    for hour, is_weekend in zip(rows["hour"], rows["is_weekend"]):
-        hours[hour] += 1
-        weekend += int(is_weekend)
-        events += 1
-        out.append((events, weekend, hours[hour]))
-    state.update((hours, weekend, events))
-    counts = pd.DataFrame(out, columns=["events", "weekend_events", "hour_events"])
-    yield pd.concat([rows.drop(columns=["hour", "is_weekend"]), counts], axis=1)
-
-
-def follow_user(min_countries: int):
+def _forget_after(state: GroupState, last_us: int, keep: int | None) -> None:
+    """Let the state go when the watermark has left the key's last row behind by ``keep`` micros."""
+    if keep is not None:
+        state.setTimeoutTimestamp(max((last_us + keep) // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
+def count_hours(keep: int | None = None):
+    """State: time of the user's last row, events per hour of the day, weekend events, all events."""
+
+    def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, hours, weekend, events = state.get if state.exists else (None, [0] * 24, 0, 0)
+        hours = np.array(hours, np.int64)
+        rows = _in_order(batches)
+        us, hour, off = rows["us"].to_numpy(np.int64), rows["hour"].to_numpy(np.int64), rows["is_weekend"].to_numpy(np.int64)
+        latest = np.maximum.accumulate(np.append(us[0] if last is None else last, us))
+        breaks = np.flatnonzero(us - latest[:-1] > keep) if keep is not None else np.empty(0, np.int64)
+        counts = np.empty((3, len(us)), np.int64)
+        for lo, hi in zip((0, *breaks), (*breaks, len(us))):
+            if lo in breaks:
+                hours, weekend, events = np.zeros(24, np.int64), 0, 0
+            part = slice(lo, hi)
+            counts[0, part] = events + np.arange(1, hi - lo + 1)
+            counts[1, part] = weekend + np.cumsum(off[part])
+            for h in np.unique(hour[part]):  # at most 24
+                at = lo + np.flatnonzero(hour[part] == h)
+                counts[2, at] = hours[h] + np.arange(1, len(at) + 1)
+            hours, weekend, events = hours + np.bincount(hour[part], minlength=24), weekend + int(off[part].sum()), events + int(hi - lo)
+        rows = rows.drop(columns=["hour", "is_weekend"]).assign(events=counts[0], weekend_events=counts[1], hour_events=counts[2])
+        last = int(latest[-1])
+        state.update((last, hours.tolist(), weekend, events))
+        _forget_after(state, last, keep)
+        yield rows.drop(columns="event_time", errors="ignore")
+
+    return handle
+
+
+def follow_user(min_countries: int, keep: int | None = None):
     """State: time and place of the user's last row, and the countries seen."""
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         us, lat, lon, city, country, seen = state.get if state.exists else (None, None, None, None, None, [])
         seen = list(seen)
         known = set(seen)
@@ -79,6 +105,8 @@ def follow_user(min_countries: int):
         out = []
         for row in rows[["us", *_PLACE, "country_code"]].itertuples(index=False):
             code = row.country_code or ""
+            if keep is not None and us is not None and row.us - us > keep:
+                us, lat, lon, city, country, seen, known = None, None, None, None, None, [], set()
             fresh = len(known) if code not in known and len(known) >= min_countries else None
             out.append((us, lat, lon, city, country, fresh))
             us, lat, lon, city, country = int(row.us), row.latitude, row.longitude, row.city, row.country
@@ -86,8 +114,9 @@ def follow_user(min_countries: int):
                 known.add(code)
                 seen.append(code)
         state.update((us, lat, lon, city, country, seen))
+        _forget_after(state, us, keep)
         before = pd.DataFrame(out, columns=["p_us", "p_lat", "p_lon", "p_city", "p_country", "known_countries"])
         before = before.astype({"p_us": "Int64", "known_countries": "Int64"})
-        yield pd.concat([rows, before], axis=1)
+        yield pd.concat([rows.drop(columns="event_time", errors="ignore"), before], axis=1)
 
     return handle

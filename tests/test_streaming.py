@@ -76,3 +76,57 @@ def test_place_stream_equals_batch(spark, history):
     expected = rows(geo.geo_alerts(batch, table, config))
     assert len(expected) > 50
     assert rows(online.drain(online.stream_geo(stream(), table, config), "t")) == expected
+
+
+def visits(times, ip="p1"):
+    return [
+        {"user": "u", "source_ip": ip if isinstance(ip, str) else ip[n], "ts_local": t, "line_seq": n, "resource": "/r"} for n, t in enumerate(times)
+    ]
+
+
+def file_stream(spark, entries_of, folder, batches):
+    """A stream that takes one file of rows at a time; more files may follow."""
+    for rows in batches:
+        n = len(list(folder.glob("b*")))
+        entries_of(rows).coalesce(1).write.parquet(str(folder / f"b{n}"))
+        for k, part in enumerate(sorted((folder / f"b{n}").glob("*.parquet"))):
+            part.rename(folder / f"{n:03d}-{k}.parquet")
+            os.utime(folder / f"{n:03d}-{k}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    schema = entries_of([]).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(folder))
+
+
+def test_places_are_forgotten_after_a_while(spark, entries_of, tmp_path):
+    table = spark.createDataFrame([(f"p{i}", f"P{i}", f"C{i}", "r", f"c{i}", 10.0 * i, 20.0 * i, False, False, False) for i in range(9)], GEO_DDL)
+    days = [0, 1, 2, 3, 40, 80, 81]
+    batches = [visits([T0 + timedelta(days=d)], [f"p{n}"]) for n, d in enumerate(days)]
+    config = geo.GeoConfig(min_countries=2, max_speed_kmh=1e9)
+
+    def found(keep, name):
+        folder = tmp_path / name
+        folder.mkdir()
+        alerts = online.drain(online.stream_geo(file_stream(spark, entries_of, folder, batches), table, config, keep), "t")
+        return [(r.ts_local - T0).days for r in alerts.orderBy("ts").collect()]
+
+    assert found(None, "all") == [2, 3, 40, 80, 81]
+    # on the 40th day the user of the first four is forgotten, on the 80th that of the 40th
+    assert found(timedelta(days=30), "some") == [2, 3]
+
+
+def test_habits_are_forgotten_and_streams_go_on(spark, entries_of, tmp_path):
+    config = temporal.TemporalConfig(min_events=5, hour_share=0.2)
+    days = [0, 1, 2, 3, 4, 7]  # Mondays to Fridays
+    usual = [visits([T0 + timedelta(days=d, minutes=m) for m in range(3)]) for d in days]
+    odd = visits([T0 + timedelta(days=8, hours=2)])
+    folder = tmp_path / "in"
+    folder.mkdir()
+    base = str(tmp_path / "run")
+
+    def run(rows, base=None):
+        return online.drain(online.stream_temporal(file_stream(spark, entries_of, folder, rows), config, timedelta(days=30)), "t", base)
+
+    assert run(usual, base).count() == 0
+    assert run([odd], base).count() == 1  # goes on with the state of the first run
+    assert run([], base).count() == 1  # nothing is read twice
+    assert run([visits([T0 + timedelta(days=100, hours=h)]) for h in (0, 1)], base).count() == 1  # forgotten: no habit to break
+    assert run([]).count() == 1  # a new folder: from the start
