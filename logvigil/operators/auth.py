@@ -206,7 +206,7 @@ def with_time_span(alerts: DataFrame) -> DataFrame:
     ).selectExpr("*", "attempts / span_minutes AS attempts_per_minute")
 
 
-# Texts and facts per kind of attack, as SQL over the grouped row.
+# Descriptions, advice and technique per kind of attack. As SQL over the grouped row.
 _WORDING = {
     "brute_force": {
         "level": "CASE WHEN last_success IS NOT NULL THEN 5 WHEN attempts >= 50 THEN 4 WHEN attempts >= 20 THEN 3 ELSE 2 END",
@@ -372,6 +372,7 @@ def online_alerts(counted: DataFrame, config: AuthConfig = AuthConfig()) -> Data
         "named_struct('attempt_count', attempts, 'compromised', false, 'time_span_minutes', span_minutes, "
         "'attempts_per_minute', attempts_per_minute)"
     )
+    # The texts below.
     found = with_time_span(
         counted.where(f"trailing_count >= {config.failed_attempts}").withColumnRenamed("trailing_count", "attempts")
     )

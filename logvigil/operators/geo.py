@@ -165,6 +165,7 @@ def geo_findings(entries: DataFrame, geo: DataFrame, config: GeoConfig = GeoConf
 
 def geo_alerts_from(findings: DataFrame) -> DataFrame:
     """Turn checked rows into alerts; the level is that of the gravest finding."""
+    # The texts of findings and advice.
     texts = f"""array_compact(array(
       CASE WHEN is_tor THEN 'Tor exit node detected' WHEN is_vpn THEN 'VPN detected' WHEN is_proxy THEN 'Proxy detected' END,
       CASE WHEN high_risk THEN concat('Access from high-risk country: ', country) END,

@@ -62,6 +62,7 @@ def user_baselines(entries: DataFrame, config: TemporalConfig = TemporalConfig()
 
 def anomaly_alerts(rows: DataFrame, config: TemporalConfig, rare_hour: str, rare_weekend: str) -> DataFrame:
     """Turn rows with their two habit flags (SQL texts) into alerts; rows without a finding drop out."""
+    # The texts of findings and advice.
     findings = f"""array_compact(array(
       CASE WHEN {off_hours(config)} THEN concat('Access outside business hours (', {HOUR}, ':00)') END,
       CASE WHEN {HIGH_RISK} THEN concat('Access during high-risk hour (', {HOUR}, ':00 UTC)') END,

@@ -77,6 +77,7 @@ def sql_injection_hits(matches: DataFrame) -> DataFrame:
         "sql_injection",
         1,
         level_value=_level("_hit.hit.severity"),
+        # Description and advice.
         description=f"concat('SQL injection attempt detected in ', _hit.source, ': \\'', "
         f"CASE WHEN length({text}) > 50 THEN concat(substring({text}, 1, 50), '...') ELSE {text} END, '\\'')",
         mitre_attack="array('T1190')",
@@ -102,6 +103,7 @@ def xss_hits(matches: DataFrame) -> DataFrame:
         "xss",
         2,
         level_value=_level("_hit.hit.severity"),
+        # Description and advice.
         description=f"concat('XSS attempt detected in ', _hit.source, ': \\'', substring({text}, 1, 50), '\\'')",
         mitre_attack="array('T1059.007')",
         recommendations=_advice(
@@ -143,6 +145,7 @@ def traversal_hits(matches: DataFrame) -> DataFrame:
         "directory_traversal",
         3,
         level_value=_level("CASE WHEN _won THEN if(_severity = 'medium', 'high', 'critical') ELSE _severity END"),
+        # Description and advice.
         description="concat(if(_won, 'SUCCESSFUL ', ''), "
         "if(_hit.traversal, 'Directory traversal', 'Sensitive file access'), ' attempt: ', substring(_file, 1, 100))",
         mitre_attack="array('T1083', 'T1005')",

@@ -27,6 +27,8 @@ WEB_E = f"""SELECT 'web' AS file_path, line_seq, log_type, message, ts_local AS
   CAST(NULL AS VARCHAR) AS user_name, action, resource, status_code, referer, user_agent FROM ({WEB_DUCK})"""
 ALL_E = f"{AUTH_E} UNION ALL {WEB_E}"
 
+# The texts of alerts in this file are those of the detectors.
+
 # -- login attacks ------------------------------------------------------------------------
 
 _FAILED = """(lower(message) LIKE '%failed%' OR lower(message) LIKE '%failure%' OR lower(message) LIKE '%invalid%'
