@@ -177,3 +177,8 @@ def byte_batches(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts as strings, null as empty."""
     return pc.fill_null(batch.column(column), "").to_pylist()
+
+
+def release() -> None:
+    """Give memory of freed batches back: workers outlive their tasks, and Arrow would keep it in every one of them."""
+    pa.default_memory_pool().release_unused()

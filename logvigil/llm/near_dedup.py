@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logvigil.llm.components import components
+from logvigil.llm.encoding import release
 from logvigil.llm.words import word_hashes
 from logvigil.llm.scratch import Scratch
 
@@ -117,6 +118,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["doc_id", "k1", "k2", "bands", "signature"],
             )
+        release()
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

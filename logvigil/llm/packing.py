@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvigil.llm.encoding import byte_batches, encoder, texts_of
+from logvigil.llm.encoding import byte_batches, encoder, release, texts_of
 from logvigil.llm.token_files import crc32, with_end
 from logvigil.session import stage
 
@@ -55,6 +55,7 @@ def token_pieces(
                 keys = part.column("doc_id").take(pa.array(owner, pa.int64()))
                 values = [pa.array(v, pa.int64()) for v in (start, length, crc, total)]
                 yield pa.RecordBatch.from_arrays([keys, *values], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

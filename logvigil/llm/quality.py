@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvigil.llm.encoding import byte_batches, texts_of
+from logvigil.llm.encoding import byte_batches, release, texts_of
 
 BUCKETS = 1 << 17
 SAMPLE_ROWS = 12_000  # labelled rows to fit on; the only bound, whatever the size of the corpus
@@ -61,6 +61,20 @@ def ngrams(text: str) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+def packed(buckets: np.ndarray) -> bytes:
+    """Ascending buckets as gaps of a byte each, a quarter of what whole numbers take; a byte of 255 only adds to the next gap."""
+    full, last = np.divmod(np.diff(buckets, prepend=0), 255)
+    out = np.full(len(last) + int(full.sum()), 255, np.uint8)
+    out[np.cumsum(full + 1) - 1] = last
+    return out.tobytes()
+
+
+def unpacked(gaps: bytes) -> np.ndarray:
+    """The buckets that :func:`packed` wrote."""
+    step = np.frombuffer(gaps, np.uint8)
+    return np.cumsum(step, dtype=np.int32)[step != 255]
+
+
 def _tail(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The last byte of a word if it is a mark, else its kind."""
     last = data[end - 1]
@@ -171,27 +185,27 @@ def training_sample(labels: DataFrame, label_col: str, sample_rows: int, id_col:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the bounded sample, in one task; only the fitted vectors come to the driver.
 
-    The sample's ids are broadcast, as ``sample_rows`` bounds them, so no text is shuffled but the sample's own. Tables without
-    usable labels give a model that scores 0.5.
+    The sample's ids are broadcast, as ``sample_rows`` bounds them; of its texts the n-gram buckets are shuffled, a byte each. Tables
+    without usable labels give a model that scores 0.5.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_batches(batch, "text"):
-                rows = [ngrams(t).astype(np.int32) for t in texts_of(part, "text")]
-                lists = pa.array(rows, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), lists], ["_id", "_label", "buckets"])
+                rows = pa.array([packed(ngrams(t)) for t in texts_of(part, "text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), rows], ["_id", "_label", "buckets"])
+                release()
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_id", kind="stable")
-        model = fit(list(rows["buckets"]), rows["_label"].to_numpy(np.int64))
+        model = fit([unpacked(b) for b in rows["buckets"]], rows["_label"].to_numpy(np.int64))
         head = [model.bias, model.slope, model.shift]
         return pd.DataFrame({"weights": [model.weights.tobytes()], "ratios": [model.ratios.tobytes()], "head": [head]})
 
     sample = training_sample(labels, label_col, sample_rows, id_col)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")
-    rows = texts.mapInArrow(features, f"_id {kind}, _label int, buckets array<int>").withColumn("_all", F.lit(0))
+    rows = texts.mapInArrow(features, f"_id {kind}, _label int, buckets binary").withColumn("_all", F.lit(0))
     found = rows.groupBy("_all").applyInPandas(fitted, "weights binary, ratios binary, head array<double>").collect()
     if not found:
         return fit([], np.empty(0, np.int64))
@@ -211,6 +225,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
         known = shared.value
         for part in texts:
             yield pd.Series([known.score(ngrams(t or "")) for t in part], dtype="float64")
+            release()
 
     held = F.coalesce(remainder(id_col) == HELD_OUT_FOLD, F.lit(False))
     return docs.withColumn("score", scored(F.col(text_col))).withColumns(

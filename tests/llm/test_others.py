@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from logvigil.llm.neighbours import chi_square_cdf, chi_square_quantile, nearest
-from logvigil.llm.quality import Model, fit, ngrams, score_documents, train
+from logvigil.llm.quality import BUCKETS, Model, fit, ngrams, packed, score_documents, train, unpacked
 from logvigil.llm.queries import ORACLES, QUERIES
 from logvigil.llm.secrets import redact_secrets, scan_secrets, secret_spans
 from logvigil.llm.warc import round_trip
@@ -45,6 +45,16 @@ def test_nearest(spark):
     assert nearest(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
+def test_buckets_travel_as_a_byte_each():
+    cases = [[], [0], [BUCKETS - 1], [0, 1, 254, 255, 256, 510, 765, 1020, BUCKETS - 1], list(range(BUCKETS))]
+    for buckets in cases:
+        assert unpacked(packed(np.array(buckets, np.int64))).tolist() == buckets
+    text = " ".join(f"w{n * 7919 % 5003}" for n in range(600))
+    buckets = ngrams(text)
+    assert unpacked(packed(buckets)).tolist() == buckets.tolist()
+    assert len(packed(buckets)) <= len(buckets) + BUCKETS // 255  # the fit holds the sample in one task
+
+
 def test_quality(spark):
     draw = np.random.default_rng(3)
     word = lambda: "".join(draw.choice(list("abcdefgh"), draw.integers(2, 7)))
