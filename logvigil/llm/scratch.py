@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logvigil import session
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # a query's shuffle files go when it ends
 
 class Scratch:
     """Tables in the shared folder, so that a lost executor costs only its tasks, for as long as they are needed."""
@@ -19,7 +20,13 @@ class Scratch:
     def stage(self, df: DataFrame, name: str, even: bool = True) -> DataFrame:
         """Write a frame once and read it back; ``even`` deals the rows out anew, for what is unevenly left of a scan."""
         path = f"{session.shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        (df.hint("rebalance") if even else df).write.parquet(path)
+        conf = self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            (df.hint("rebalance") if even else df).write.parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         held = self.spark.read.schema(df.schema).parquet(path)
         self.path[id(held)] = path
         self._collect()
@@ -33,5 +40,5 @@ class Scratch:
             place.getFileSystem(conf).delete(place, True)
 
     def _collect(self) -> None:
-        # Spark removes a finished plan's shuffle files when the driver's garbage is collected, which may be long after
+        # other actions' shuffle files go when the driver's garbage is collected, which may be long after
         self.spark._jvm.System.gc()

@@ -188,19 +188,20 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words kept of documents with repeated windows."""
+    """Rows with repeated windows (those that bring their words) get the count and the digest of what is left; the others pass as they are."""
     for batch in batches:
-        removed, digest = [], []
-        for list_, starts in zip(batch.column("words"), batch.column("starts"), strict=True):
-            word = list_.as_py()
+        removed, digest = batch.column("n_removed").to_pylist(), batch.column("kept_sha256").to_pylist()
+        lists, starts = batch.column("words"), batch.column("starts")
+        for row in np.flatnonzero(starts.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            word = lists[row].as_py()
             edge = np.zeros(len(word) + 1, np.int64)
-            at = starts.values.to_numpy(zero_copy_only=False)
+            at = starts[row].values.to_numpy(zero_copy_only=False)
             np.add.at(edge, at, 1)
             np.add.at(edge, at + WINDOW, -1)
             gone = np.cumsum(edge)[:-1] > 0
-            removed.append(int(gone.sum()))
+            removed[row] = int(gone.sum())
             kept = " ".join([w for w, g in zip(word, gone.tolist(), strict=True) if not g])
-            digest.append(hashlib.sha256(kept.encode()).hexdigest())
+            digest[row] = hashlib.sha256(kept.encode()).hexdigest()
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
             ["doc_id", "n_words", "n_removed", "kept_sha256"],
@@ -269,11 +270,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.first("starts", ignorenulls=True).alias("starts"), F.lit(True).alias("_marked")
     )
     both = rows.join(marks, keys, "left").withColumn("words", words(F.col("text"))).withColumn("n_words", F.size("words").cast("bigint"))
-    some = both.where("starts IS NOT NULL").select("doc_id", "n_words", "words", "starts")
-    cut = some.mapInArrow(_rest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     whole = F.col("_marked").isNotNull() & (F.col("n_words") >= WINDOW)
     kept = F.when(whole, F.lit("")).otherwise(F.array_join("words", " "))
-    rest = both.where("starts IS NULL").select(
-        "doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256")
-    )
-    return cut.unionByName(rest)
+    cut = F.col("starts").isNotNull()
+    sent = both.select(  # one pass, so that the texts are shuffled once
+        "doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"),
+        F.when(~cut, F.sha2(kept.cast("binary"), 256)).alias("kept_sha256"), F.when(cut, F.col("words")).alias("words"), "starts",
+    )
+    return sent.mapInArrow(_rest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

@@ -1,13 +1,18 @@
 import hashlib
 import random
 import re
+import tempfile
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logvigil.llm.components import components
 from logvigil.llm.decontaminate import contamination, decontaminate, unsought
 from logvigil.llm.near_dedup import Postings, near_duplicates, probability_jaccard, shingles, signatures
+from logvigil.llm.scratch import CLEANUP, Scratch
 from logvigil.llm.substrings import anchors, remove_repeats
 
 DOC = "doc_id bigint, text string, class_id string"
@@ -122,6 +127,34 @@ def test_repeats_against_all_windows(spark, vocabulary):
     assert remove_repeats(table.where("false")).count() == 0
 
 
+def test_repeats_read_the_texts_once_for_the_result(spark, tmp_path, capsys):
+    rows = [(i, " ".join(words(40, i % 3)), "x") for i in range(6)]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents"))
+    out = remove_repeats(spark.read.parquet(str(tmp_path / "documents")))
+    capsys.readouterr()
+    out.explain()
+    assert capsys.readouterr().out.count("ReadSchema: struct<doc_id:bigint,text:string>") == 1
+    assert sorted(r.n_removed for r in out.collect()) == [0, 0, 0, 40, 40, 40]
+
+
+def test_staging_leaves_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(Scratch, "_collect", lambda self: None)  # as where the driver's garbage is collected too early
+    folder = Path(spark.conf.get("spark.local.dir", tempfile.gettempdir()))
+
+    def files():
+        return {*folder.glob("blockmgr-*/*/shuffle_*.data")}
+
+    old, kept = files(), spark.conf.get(CLEANUP)
+    scratch = Scratch(spark)
+    held = scratch.stage(spark.range(10000).groupBy((F.col("id") % 100).alias("k")).count(), "counted")
+    until = time.time() + 20
+    while files() - old and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - old
+    assert held.count() == 100
+    assert spark.conf.get(CLEANUP) == kept
+
+
 def test_repeats_of_rows_with_equal_ids(spark):
     a, b, c = words(40, 501), words(45, 502), words(30, 503)
     rows = [
