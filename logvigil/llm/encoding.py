@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 BATCH_BYTES = 8 << 20  # texts are encoded in groups of about this many bytes
 PIECE_CHARS = 2 << 20  # longer texts are cut at blanks into pieces of about this size
 CACHE_PARTS = 400_000  # distinct parts of words remembered between batches
+BLOCK_WORDS = 20_000  # distinct words that are strings of Python at a time
+GATHER_RUNS = 1 << 16  # runs that are copied at a time
 
 # The split pattern of the tokenizer file, and what it comes to for lower-case words of the plain characters.
 _FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -50,8 +52,14 @@ def cut_at_blanks(text: str, limit: int = PIECE_CHARS) -> list[str]:
 def gather(table: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``table`` that begin and last as given, one after the other."""
     ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return table[np.arange(total) + np.repeat(begins - (ends - sizes), sizes)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, table.dtype)
+    for lo in range(0, len(ends), GATHER_RUNS):  # the places take four times the room of the ids
+        part = slice(lo, lo + GATHER_RUNS)
+        first, last = int(ends[lo] - sizes[lo]), int(ends[part][-1])
+        places = np.repeat(begins[part] - (ends[part] - sizes[part]), sizes[part])
+        places += np.arange(first, last)
+        out[first:last] = table[places]
+    return out
 
 
 class WordEncoder:
@@ -97,9 +105,12 @@ class WordEncoder:
         self.table = np.concatenate((self.table, np.array(ids, np.int32)))
 
     def _simple(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of plain characters, and how many each has."""
-        if not len(words):
-            return np.empty(0, np.int32), np.empty(0, np.int64)
+        """Ids of words of plain characters, and how many each has; in blocks, as what is remembered keeps the memory around it."""
+        blocks = [self._block(words.slice(lo, BLOCK_WORDS)) for lo in range(0, len(words), BLOCK_WORDS)]
+        ids, sizes = zip(*blocks, strict=True) if blocks else ([np.empty(0, np.int32)], [np.empty(0, np.int64)])
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _block(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = _PARTS(_BREAK.join(words.to_pylist()).lower())
         if len(self.code) > CACHE_PARTS:
             self._forget()
@@ -120,8 +131,8 @@ class WordEncoder:
             simple = mask.to_numpy(zero_copy_only=False)
         easy_ids, easy = self._simple(words.filter(pa.array(simple)))
         hard, ids = words.filter(pa.array(~simple)).to_pylist(), []
-        for lo in range(0, len(hard), 20_000):
-            coded = self.tokenizer.encode_batch_fast(hard[lo : lo + 20_000], add_special_tokens=False)
+        for lo in range(0, len(hard), BLOCK_WORDS):
+            coded = self.tokenizer.encode_batch_fast(hard[lo : lo + BLOCK_WORDS], add_special_tokens=False)
             ids += [one.ids for one in coded]
         sizes = np.empty(len(words), np.int64)
         sizes[simple], sizes[~simple] = easy, np.fromiter(map(len, ids), np.int64, len(ids))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logvigil.llm.encoding import byte_batches, encoder, texts_of
+from logvigil.llm.encoding import WordEncoder, byte_batches, encoder, release, texts_of
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -23,7 +23,14 @@ def crc32(ids: np.ndarray) -> int:
 
 def with_end(ids: np.ndarray, begins: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same texts, each followed by the end id."""
-    return np.insert(ids, begins[1:], end_id).astype(np.int32), begins + np.arange(len(begins))
+    return np.insert(ids, begins[1:], end_id).astype(np.int32, copy=False), begins + np.arange(len(begins))
+
+
+def _lists(coder: WordEncoder, part: pa.RecordBatch, end_id: int) -> pa.RecordBatch:
+    """``doc_id, n_tokens, ids`` of a batch of texts."""
+    ids, begins = with_end(*coder.ids(texts_of(part, "text")), end_id)
+    lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(begins), pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
 
 
 def write_token_files(
@@ -49,10 +56,8 @@ def write_token_files(
         coder = encoder(tokenizer)
         for batch in batches:
             for part in byte_batches(batch, "text"):
-                ids, begins = with_end(*coder.ids(texts_of(part, "text")), end_id)
-                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
-                n_tokens = pa.array(np.diff(begins), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n_tokens, lists], ["doc_id", "n_tokens", "ids"])
+                yield _lists(coder, part, end_id)
+                release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -86,9 +91,9 @@ def token_starts(spark: SparkSession, path: str) -> DataFrame:
     return with_starts(rows)
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    """Adds ``start`` to rows with ``doc_id, n_tokens, file, row``."""
-    per_file = rows.groupBy("file").agg(
+def with_starts(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Adds ``start`` to rows with ``doc_id, n_tokens, file, row``; ``counts`` are the same rows, the first three columns, read at less cost."""
+    per_file = (rows if counts is None else counts).groupBy("file").agg(
         F.sum("n_tokens").alias("_sum"), F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "file")).alias("_first")
     )
     before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
@@ -103,21 +108,27 @@ def with_starts(rows: DataFrame) -> DataFrame:
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files.
+
+    The ids are read once; the totals of the files come from the metadata columns. Fails where ``n_tokens`` is not a list's length.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids")
             values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            if not np.array_equal(np.diff(ends), batch.column("n_tokens").to_numpy(zero_copy_only=False)):
+                raise ValueError("n_tokens differs from the number of ids")
             sums = [crc32(values[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(sums, pa.int64()), *map(batch.column, ("file", "row"))],
                 ["doc_id", "n_tokens", "ids_crc32", "file", "row"],
             )
+            release()
 
     rows = read_token_files(spark, path).select(
-        "doc_id", "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+        "doc_id", "n_tokens", "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     digests = rows.mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, file string, row bigint")
-    return with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(digests, rows.select("doc_id", "n_tokens", "file")).select("doc_id", "start", "n_tokens", "ids_crc32")

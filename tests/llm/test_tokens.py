@@ -1,12 +1,15 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from logvigil.llm.encoding import WordEncoder, cut_at_blanks
+from logvigil.llm import encoding
+from logvigil.llm.encoding import WordEncoder, cut_at_blanks, gather
 from logvigil.llm.packing import cut_points, pack, pack_documents, place
 from logvigil.llm.token_counts import token_counts
 from logvigil.llm.token_files import read_token_files, token_digests, write_token_files
@@ -66,6 +69,37 @@ def test_files_round_trip(spark, docs, library, tmp_path):
     assert read_token_files(spark, str(tmp_path / "t")).where("doc_id = 1").first()["ids"] == [2]
 
 
+def test_words_encode_in_blocks(library, monkeypatch):
+    monkeypatch.setattr(encoding, "BLOCK_WORDS", 7)
+    monkeypatch.setattr(encoding, "GATHER_RUNS", 5)
+    monkeypatch.setattr(encoding, "CACHE_PARTS", 20)
+    texts = [" ".join(f"w{'abc'[k % 3] * (k % 11)}{k * n} É{k} Σ{n}" for k in range(40)) for n in range(5)] + ["", " "]
+    ids, begins = WordEncoder(PATH).ids(texts)
+    for k, one in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert one.ids == ids[begins[k] : begins[k + 1]].tolist()
+
+
+def test_gather_takes_little_more_than_its_result():
+    table, sizes = np.arange(100, dtype=np.int32), np.arange(1_500_000) % 4
+    begins = np.arange(len(sizes)) % 97
+    tracemalloc.start()
+    got = gather(table, begins, sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < got.nbytes + sizes.nbytes + (8 << 20)
+    assert got.tolist() == [b + k for b, n in zip(begins.tolist(), sizes.tolist()) for k in range(n)]
+
+
+def test_digests_read_the_ids_once(spark, docs, tmp_path):
+    write_token_files(docs, str(tmp_path / "t"), PATH, 2)
+    digests = token_digests(spark, str(tmp_path / "t"))
+    assert digests._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert digests.count() == len(ROWS)
+    read_token_files(spark, str(tmp_path / "t")).withColumn("n_tokens", F.col("n_tokens") + 1).write.parquet(str(tmp_path / "wrong"))
+    with pytest.raises(Exception, match="n_tokens differs"):
+        token_digests(spark, str(tmp_path / "wrong")).collect()
+
+
 def test_cut_points():
     for n in (1, 127, 128, 129, 300, 2047, 2048, 2049, 5000):
         cuts = cut_points(n)
