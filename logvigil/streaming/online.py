@@ -4,6 +4,10 @@ Web detectors look at single rows and run on a stream as they are. Login, time a
 detectors keep state per key. Rows of a micro-batch are handled in time order; rows later
 than the watermark are dropped, which is what lets Spark forget idle keys of the login
 detector. A fresh checkpoint location starts with empty state.
+
+The place detector sends sums of a micro-batch to the state, and takes the rows past it:
+a union with one row per user that holds the state before, dealt out by user and ordered
+on local disk. So a user's rows need not fit in memory.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from logvigil.operators import auth, geo, temporal, web
@@ -19,7 +24,7 @@ from logvigil.operators.auth import AuthConfig
 from logvigil.operators.geo import GeoConfig
 from logvigil.operators.temporal import TemporalConfig
 from logvigil.session import shared_dir
-from logvigil.streaming.state import count_failures, count_hours, follow_user
+from logvigil.streaming.state import count_failures, count_hours, follow_user, sum_places, with_places
 
 # How rows travel through the state handlers: times as numbers and texts, so nothing is
 # converted between time zones or widened because of nulls.
@@ -37,6 +42,8 @@ _BACK = [
     "resource", "CAST(status AS INT) AS status_code", "message", "log_type", "raw_line", "file_path", "line_seq",
 ]
 
+_CARRIED_STATE = "user string, us bigint, carried string"
+
 
 def _ddl(*more: str) -> str:
     return ", ".join([*[f"{name} {ddl}" for name, ddl in CARRIED.items()], *more])
@@ -90,6 +97,21 @@ def _kept(entries: DataFrame, keep: timedelta | None, delay: str) -> tuple[DataF
     return entries.withWatermark("ts", delay), ["ts AS event_time"], GroupStateTimeout.EventTimeTimeout
 
 
+def _span(keep: timedelta | None) -> str:
+    """The stretch of time a row belongs to, as SQL text: within one no user is forgotten."""
+    return "0L" if keep is None else f"unix_micros(ts) - pmod(unix_micros(ts), {max(1, _micros(keep))}L)"
+
+
+def _sums(rows: DataFrame, add_up, keep: timedelta | None) -> DataFrame:
+    """Rows for the state, added up in the tasks that read them; not where rows may be late, which only Spark knows of every single one."""
+    return rows.mapInArrow(add_up, rows.schema) if keep is None else rows
+
+
+def _behind(before: DataFrame, rows: DataFrame, walk, ddl: str) -> DataFrame:
+    """Rows in order behind the row with their user's state before the micro-batch."""
+    return rows.unionByName(before, allowMissingColumns=True).repartition("user").mapInArrow(walk, ddl)
+
+
 # -- unusual times ------------------------------------------------------------------------
 
 
@@ -139,25 +161,34 @@ def stream_geo(
     timed, clock, timeout = _kept(entries.where("ts IS NOT NULL"), keep, delay)
     located = timed.join(table, "source_ip")
     geo_columns = list(_GEO)
-    followed = (
-        located.where(geo.HAS_USER)
-        .selectExpr(*_OUT, "`user`", *geo_columns, *clock)
-        .groupBy("user")
-        .applyInPandasWithState(
-            follow_user(config.min_countries, _micros(keep)),
-            _ddl(
-                "user string", *[f"{c} {t}" for c, t in _GEO.items()], "p_us bigint", "p_lat double", "p_lon double",
-                "p_city string", "p_country string", "known_countries bigint",
-            ),
-            "us bigint, lat double, lon double, city string, country string, seen array<string>",
-            "append",
-            timeout,
-        )
-        .selectExpr(
-            *_BACK, "`user`", *geo_columns, "known_countries",
-            "if(p_us IS NULL, NULL, named_struct('ts', timestamp_micros(p_us), 'latitude', p_lat, 'longitude', p_lon, "
-            "'city', p_city, 'country', p_country)) AS previous",
-        )
+    # a coordinate that is no number is unknown
+    named = located.where(geo.HAS_USER).withColumns({c: F.expr(f"nanvl({c}, NULL)") for c in ("latitude", "longitude")})
+    sums = _sums(
+        named.selectExpr(
+            "`user`", f"{_span(keep)} AS span", f"{geo.CODE} AS code", "unix_micros(ts) AS lo", "unix_micros(ts) AS us",
+            "file_path", "line_seq", "latitude", "longitude", "city", "country", *clock,
+        ),
+        sum_places(), keep,
+    )
+    before = sums.groupBy("user").applyInPandasWithState(
+        follow_user(_micros(keep)),
+        _CARRIED_STATE,
+        "us bigint, lat double, lon double, city string, country string, seen array<string>",
+        "append",
+        timeout,
+    )
+    followed = _behind(
+        before,
+        named.selectExpr(*_OUT, "`user`", *geo_columns),
+        with_places(config.min_countries, _micros(keep)),
+        _ddl(
+            "user string", *[f"{c} {t}" for c, t in _GEO.items()], "p_us bigint", "p_lat double", "p_lon double",
+            "p_city string", "p_country string", "known_countries bigint",
+        ),
+    ).selectExpr(
+        *_BACK, "`user`", *geo_columns, "known_countries",
+        "if(p_us IS NULL, NULL, named_struct('ts', timestamp_micros(p_us), 'latitude', p_lat, 'longitude', p_lon, "
+        "'city', p_city, 'country', p_country)) AS previous",
     )
     anonymous = located.where(f"NOT {geo.HAS_USER}").selectExpr(
         *[c.split(" AS ")[-1] for c in _BACK], "`user`", *geo_columns, "CAST(NULL AS BIGINT) AS known_countries",

@@ -1,12 +1,13 @@
 import os
 import random
+import uuid
 from datetime import timedelta
 
 import pytest
 
 from logvigil.operators import auth, geo, temporal
 from logvigil.schema import conform_entries
-from logvigil.streaming import online
+from logvigil.streaming import online, ordered
 from tests.conftest import T0
 from tests.test_temporal_geo import GEO_DDL
 
@@ -130,3 +131,61 @@ def test_habits_are_forgotten_and_streams_go_on(spark, entries_of, tmp_path):
     assert run([], base).count() == 1  # nothing is read twice
     assert run([visits([T0 + timedelta(days=100, hours=h)]) for h in (0, 1)], base).count() == 1  # forgotten: no habit to break
     assert run([]).count() == 1  # a new folder: from the start
+
+
+@pytest.fixture
+def tiny_runs(monkeypatch):
+    """Tasks order their rows in runs of a few rows, so that all is written and merged on several levels."""
+    for name, value in {"RUN_BYTES": 60_000, "BLOCK_BYTES": 6_000, "FAN_IN": 4}.items():
+        monkeypatch.setattr(ordered, name, value)
+
+
+def watched(monkeypatch, name, folder):
+    """Note the rows that each call of a state handler is given."""
+    make = getattr(online, name)
+    folder.mkdir()
+
+    def watching(*args):
+        handle = make(*args)
+
+        def counting(key, batches, state):
+            seen = []
+
+            def through():
+                for batch in batches:
+                    seen.append(len(batch))
+                    yield batch
+
+            yield from handle(key, through(), state)
+            (folder / f"{key[0]}-{sum(seen)}-{uuid.uuid4().hex}").touch()
+
+        return counting
+
+    monkeypatch.setattr(online, name, watching)
+    return lambda: [int(p.name.split("-")[1]) for p in folder.iterdir()]
+
+
+def busy_user(seed):
+    """Many rows of one user and a few of others, out of order and often at the same time."""
+    rng = random.Random(seed)
+    return [
+        {
+            "source_ip": f"p{rng.randrange(6)}", "user": rng.choice(["a", "b", "c"]) if rng.random() < 0.1 else "busy", "resource": "/r",
+            "ts_local": T0 + timedelta(minutes=rng.randrange(3000)), "line_seq": n, "file_path": f"f{rng.randrange(2)}",
+        }
+        for n in rng.sample(range(4000), 4000)
+    ]
+
+
+def test_places_of_a_busy_user_stay_out_of_the_state(spark, entries_of, tmp_path, monkeypatch, tiny_runs):
+    table = spark.createDataFrame(
+        [(f"p{i}", f"P{i}", f"C{i}" if i else None, "r", f"c{i}", 10.0 * i, 20.0 * i if i != 2 else None, i == 1, False, False) for i in range(5)], GEO_DDL
+    )
+    config = geo.GeoConfig(min_countries=2)
+    rows_in = busy_user(5)
+    given = watched(monkeypatch, "follow_user", tmp_path / "given")
+    (tmp_path / "in").mkdir()
+    expected = rows(geo.geo_alerts(entries_of(rows_in), table, config))
+    assert len(expected) > 1000
+    assert rows(online.drain(online.stream_geo(file_stream(spark, entries_of, tmp_path / "in", [rows_in]), table, config), "t")) == expected
+    assert max(given()) <= 100
