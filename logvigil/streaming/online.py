@@ -5,8 +5,8 @@ detectors keep state per key. Rows of a micro-batch are handled in time order; r
 than the watermark are dropped, which is what lets Spark forget idle keys of the login
 detector. A fresh checkpoint location starts with empty state.
 
-The place detector sends sums of a micro-batch to the state, and takes the rows past it:
-a union with one row per user that holds the state before, dealt out by user and ordered
+The time and place detectors send sums of a micro-batch to the state, and take the rows past
+it: a union with one row per user that holds the state before, dealt out by user and ordered
 on local disk. So a user's rows need not fit in memory.
 """
 
@@ -24,7 +24,9 @@ from logvigil.operators.auth import AuthConfig
 from logvigil.operators.geo import GeoConfig
 from logvigil.operators.temporal import TemporalConfig
 from logvigil.session import shared_dir
-from logvigil.streaming.state import count_failures, count_hours, follow_user, sum_places, with_places
+from logvigil.streaming.state import (
+    count_failures, count_hours, follow_user, sum_hours, sum_places, with_counts, with_places,
+)
 
 # How rows travel through the state handlers: times as numbers and texts, so nothing is
 # converted between time zones or widened because of nulls.
@@ -124,17 +126,26 @@ def stream_temporal(
     """
     timed = entries.where("ts_local IS NOT NULL")
     timed, clock, timeout = _kept(timed, keep, delay)
-    counted = (
-        timed.where(temporal.HAS_USER)
-        .selectExpr(*_OUT, "`user`", f"{temporal.HOUR} AS hour", f"{temporal.WEEKEND} AS is_weekend", *clock)
-        .groupBy("user")
-        .applyInPandasWithState(
-            count_hours(_micros(keep)),
-            _ddl("user string", "events bigint", "weekend_events bigint", "hour_events bigint"),
-            "last bigint, hours array<bigint>, weekend bigint, events bigint",
-            "append",
-            timeout,
-        )
+    named = timed.where(temporal.HAS_USER)
+    sums = _sums(
+        named.selectExpr(
+            "`user`", f"{_span(keep)} AS span", f"{temporal.HOUR} AS hour", "unix_micros(ts) AS lo", "unix_micros(ts) AS hi",
+            "1L AS n", f"CAST({temporal.WEEKEND} AS BIGINT) AS weekend", *clock,
+        ),
+        sum_hours(), keep,
+    )
+    before = sums.groupBy("user").applyInPandasWithState(
+        count_hours(_micros(keep)),
+        _CARRIED_STATE,
+        "last bigint, hours array<bigint>, weekend bigint, events bigint",
+        "append",
+        timeout,
+    )
+    counted = _behind(
+        before,
+        named.selectExpr(*_OUT, "`user`", f"{temporal.HOUR} AS hour", f"{temporal.WEEKEND} AS is_weekend"),
+        with_counts(_micros(keep)),
+        _ddl("user string", "events bigint", "weekend_events bigint", "hour_events bigint"),
     )
     known = temporal.anomaly_alerts(counted.selectExpr(*_BACK, "`user`", "events", "weekend_events", "hour_events"),
                                     config, *temporal.online_flags(config))

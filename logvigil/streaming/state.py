@@ -1,6 +1,6 @@
 """State handlers of the streaming detectors.
 
-The place detector works in two steps, for Spark sends all rows that a state handler gets of a key to Python in one piece. The
+The time and place detectors work in two steps, for Spark sends all rows that a state handler gets of a key to Python in one piece. The
 handler sees sums of the micro-batch only; it brings the state up to date and gives out a row with the state before. A second
 function then passes over the rows of a task in order, each user's behind that row, and holds no more than a block of them.
 """
@@ -91,6 +91,17 @@ def _summed(group):
     return add_up
 
 
+def sum_hours():
+    """Per user, span and hour: first and last time, events, weekend events."""
+
+    def group(rows: pa.Table) -> pa.Table:
+        sums = rows.group_by(["user", "span", "hour"]).aggregate([("lo", "min"), ("hi", "max"), ("n", "sum"), ("weekend", "sum")])
+        names = {"lo_min": "lo", "hi_max": "hi", "n_sum": "n", "weekend_sum": "weekend"}
+        return sums.rename_columns([names.get(c, c) for c in sums.column_names]).select(rows.column_names)
+
+    return _summed(group)
+
+
 def sum_places():
     """Per user, span and country: the last row, with the first time of all in ``lo``."""
 
@@ -122,34 +133,25 @@ def _carry(key: tuple, first_us: int, *before) -> pd.DataFrame:
 
 
 def count_hours(keep: int | None = None):
-    """State: time of the user's last row, events per hour of the day, weekend events, all events."""
+    """State: time of the user's last row, events per hour of the day, weekend events, all events. Spans are no longer than ``keep``."""
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last, hours, weekend, events = state.get if state.exists else (None, [0] * 24, 0, 0)
+        sums = pd.concat(list(batches), ignore_index=True)
+        carry = _carry(key, int(sums["lo"].min()), last, list(hours), weekend, events)
         hours = np.array(hours, np.int64)
-        rows = _in_order(batches)
-        us, hour, off = rows["us"].to_numpy(np.int64), rows["hour"].to_numpy(np.int64), rows["is_weekend"].to_numpy(np.int64)
-        latest = np.maximum.accumulate(np.append(us[0] if last is None else last, us))
-        breaks = np.flatnonzero(us - latest[:-1] > keep) if keep is not None else np.empty(0, np.int64)
-        counts = np.empty((3, len(us)), np.int64)
-        for lo, hi in zip((0, *breaks), (*breaks, len(us))):
-            if lo in breaks:
+        for _, span in sums.groupby("span"):
+            if keep is not None and last is not None and int(span["lo"].min()) - last > keep:
                 hours, weekend, events = np.zeros(24, np.int64), 0, 0
-            part = slice(lo, hi)
-            counts[0, part] = events + np.arange(1, hi - lo + 1)
-            counts[1, part] = weekend + np.cumsum(off[part])
-            for h in np.unique(hour[part]):  # at most 24
-                at = lo + np.flatnonzero(hour[part] == h)
-                counts[2, at] = hours[h] + np.arange(1, len(at) + 1)
-            hours, weekend, events = hours + np.bincount(hour[part], minlength=24), weekend + int(off[part].sum()), events + int(hi - lo)
-        rows = rows.drop(columns=["hour", "is_weekend"]).assign(events=counts[0], weekend_events=counts[1], hour_events=counts[2])
-        last = int(latest[-1])
+            np.add.at(hours, span["hour"].to_numpy(np.int64), span["n"].to_numpy(np.int64))
+            weekend, events = weekend + int(span["weekend"].sum()), events + int(span["n"].sum())
+            last = int(span["hi"].max()) if last is None else max(last, int(span["hi"].max()))
         state.update((last, hours.tolist(), weekend, events))
         _forget_after(state, last, keep)
-        yield rows.drop(columns="event_time", errors="ignore")
+        yield carry
 
     return handle
 
@@ -199,6 +201,50 @@ def _out(table: pa.Table, taken: np.ndarray, drop: list[str], **more: pa.Array)
     yield from table.filter(pa.array(taken)).combine_chunks().to_batches(max_chunksize=OUT_ROWS)
 
 
+def with_counts(keep: int | None = None):
+    """Add the user's events, weekend events and events of the hour up to and with the row."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user = state = None
+        for table in in_order(batches):
+            us, hour, off = (pc.fill_null(table[c], v).to_numpy() for c, v in (("us", 0), ("hour", 0), ("is_weekend", False)))
+            taken, counts = np.zeros(len(us), bool), np.zeros((3, len(us)), np.int64)
+            for name, begin, end in _users(table):
+                if name != user:
+                    user, state = name, None
+                if us[begin] == CARRY:
+                    first, last, hours, weekend, events = json.loads(table["carried"][begin].as_py())
+                    state, begin = (last, np.array(hours, np.int64), weekend, events), begin + 1
+                if state is None:  # all rows are behind the watermark
+                    continue
+                begin += int(np.searchsorted(us[begin:end], first))
+                if begin < end:
+                    taken[begin:end] = True
+                    state = _count(us[begin:end], hour[begin:end], off[begin:end], counts[:, begin:end], state, keep)
+            added = dict(zip(("events", "weekend_events", "hour_events"), map(pa.array, counts)))
+            yield from _out(table, taken, ["hour", "is_weekend"], **added)
+
+    return walk
+
+
+def _count(us, hour, off, counts, state: tuple, keep: int | None) -> tuple:
+    """Fill in the counts of a user's next rows, and give the state after them."""
+    last, hours, weekend, events = state
+    latest = np.maximum.accumulate(np.append(us[0] if last is None else last, us))
+    breaks = np.flatnonzero(us - latest[:-1] > keep) if keep is not None else np.empty(0, np.int64)
+    for lo, hi in zip((0, *breaks), (*breaks, len(us))):
+        if lo in breaks:
+            hours, weekend, events = np.zeros(24, np.int64), 0, 0
+        part = slice(lo, hi)
+        counts[0, part] = events + np.arange(1, hi - lo + 1)
+        counts[1, part] = weekend + np.cumsum(off[part])
+        for h in np.unique(hour[part]):  # at most 24
+            at = lo + np.flatnonzero(hour[part] == h)
+            counts[2, at] = hours[h] + np.arange(1, len(at) + 1)
+        hours, weekend, events = hours + np.bincount(hour[part], minlength=24), weekend + int(off[part].sum()), events + int(hi - lo)
+    return int(latest[-1]), hours, weekend, events
+
+
 def with_places(min_countries: int, keep: int | None = None):
     """Add time and place of the user's row before, and for a new country how many were known, if enough were."""
 

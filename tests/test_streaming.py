@@ -189,3 +189,14 @@ def test_places_of_a_busy_user_stay_out_of_the_state(spark, entries_of, tmp_path
     assert len(expected) > 1000
     assert rows(online.drain(online.stream_geo(file_stream(spark, entries_of, tmp_path / "in", [rows_in]), table, config), "t")) == expected
     assert max(given()) <= 100
+
+
+def test_habits_of_a_busy_user_stay_out_of_the_state(spark, entries_of, tmp_path, monkeypatch, tiny_runs):
+    config = temporal.TemporalConfig(min_events=5, hour_share=0.05)
+    rows_in = busy_user(6)
+    given = watched(monkeypatch, "count_hours", tmp_path / "given")
+    (tmp_path / "in").mkdir()
+    expected = rows(temporal.online_temporal_alerts(entries_of(rows_in), config))
+    assert len(expected) > 1000
+    assert rows(online.drain(online.stream_temporal(file_stream(spark, entries_of, tmp_path / "in", [rows_in]), config), "t")) == expected
+    assert max(given()) <= 24 * 4
